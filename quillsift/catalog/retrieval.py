@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.config import Retrieval
-from quillsift.operators import boosts, context, corpus, dense, fusion, lexical
-from quillsift.operators.sizing import hinted, lookup_join
+from quillsift.operators import context, corpus, dense, fusion, lexical
+from quillsift.operators.sizing import lookup_join
 from quillsift.plans import retrieval as plans
+from quillsift.session import settled
 from quillsift.sources import tables
 
 CFG = Retrieval()
@@ -100,7 +101,7 @@ def hybrid_fusion(spark, folder) -> DataFrame:
 def answer_token_coverage(spark, folder) -> DataFrame:
     """The item's own text serves as its answer."""
     docs, qs = _inputs(spark, folder)
-    ranked = lexical.rankings(docs.chunks(), qs, CFG).select("branch", "qid", "chunk_id", "rank")
+    ranked = settled(lexical.rankings(docs.chunks(), qs, CFG).select("branch", "qid", "chunk_id", "rank"))
     fused = fusion.fuse(ranked, lexical.BRANCHES, CFG.rrf_constant)
     deepest = 20
     picked = ranked.withColumnRenamed("branch", "stage").unionByName(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from quillsift.functions import lexicon as lx
@@ -66,16 +63,17 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"[{lx.WS}]+", " "))
 
 
-@F.pandas_udf("string")
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition. Only rows that may need it travel to Python; the rest send a null."""
+    """Canonical composition, in the JVM by the Unicode library Spark itself ships.
+
+    Only text holding a character that may change is sent through; the first test is a single range
+    and settles nearly all Latin text. The reflective call counts as non-deterministic for the
+    optimizer, so use the result as a column before grouping by it.
+    """
     beyond_latin = text.rlike("[\\x{300}-\\x{10FFFF}]")
-    suspicious = F.when(beyond_latin & text.rlike(f"[^{lx.NFC_SAFE}]"), text)
-    return F.coalesce(_nfc(suspicious), text)
+    suspicious = beyond_latin & text.rlike(f"[^{lx.NFC_SAFE}]")
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(suspicious, composed).otherwise(text)
 
 
 def normalized(text: Column) -> Column:

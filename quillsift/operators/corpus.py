@@ -68,7 +68,7 @@ def parents(docs: DataFrame, heading_line: str = lx.ARTICLE_LINE,
     ``ordinal`` counts all pieces of a document, blank ones included; ``position`` counts the stored
     (non-blank) ones. Both come from the array of pieces of the row, so nothing is shuffled.
     """
-    pieces = F.split("text", f"(?imU)(?=^{heading_line})")
+    pieces = F.split("text", f"(?imUd)(?=^{heading_line})")
     numbered = F.transform(pieces, lambda p, i: F.struct(i.alias("ordinal"), tx.strip(p).alias("body")))
     stored = F.filter(numbered, lambda s: F.length(s["body"]) > 0)
     extra = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]

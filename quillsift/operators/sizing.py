@@ -51,6 +51,12 @@ def hot_split_join(facts: DataFrame, dims: DataFrame, on: str, weight: str, tota
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give narrow work enough tasks when a table arrives in fewer pieces than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Give a small table that arrives in fewer files than there are cores one task per core.
+
+    Anything that would fill a scan task per core anyway is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = 128 << 20
+    return df.repartition(cores) if size < cores * split and len(df.inputFiles()) < cores else df

@@ -10,6 +10,7 @@ from quillsift.config import Retrieval, Settings
 from quillsift.functions import text as tx
 from quillsift.operators import boosts, context, corpus, fusion, lexical
 from quillsift.operators.sizing import hinted, lookup_join
+from quillsift.session import settled
 
 
 class Corpus:
@@ -58,7 +59,8 @@ def fused_candidates(chunks: DataFrame, fetch, questions: lexical.Questions, cfg
     if dense is not None:
         ranked = ranked.unionByName(dense.select(F.lit("dense").alias("branch"), "qid", "chunk_id", "rank"))
         branches, per_question = [*branches, "dense"], per_question + cfg.dense_k
-    fused = fusion.fuse(ranked, branches, cfg.rrf_constant)
+    # The only wide part ends here with a few hundred rows per question, used twice below.
+    fused = settled(fusion.fuse(ranked, branches, cfg.rrf_constant))
     rows = questions.count * per_question
     return lookup_join(fetch(fused.select("chunk_id"), rows), fused, "chunk_id", rows,
                        spread_by=["chunk_id"])

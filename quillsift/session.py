@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quillsift", master: str | None = None, **conf) -> SparkSession:
@@ -41,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="quillsift-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a bounded intermediate once and read it back from reliable storage afterwards.
+
+    For results several later steps need: the work before is not repeated, a lost executor does not
+    bring it back, and the plan that follows starts small.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
