@@ -64,16 +64,16 @@ def numbered_loops(spark, folder) -> DataFrame:
 
 def dedup_answers(spark, folder) -> DataFrame:
     """Repeated blocks removed under the extended policy; only changed documents are listed."""
-    rows = _docs(spark, folder).withColumn("d", loops.deduplicated(F.col("text"), loops.EXTENDED))
-    return rows.where(F.size("d.changes") > 0).select(
-        "doc_id", F.size("d.changes").alias("n_cuts"), F.length("text").alias("chars_before"),
-        F.length("d.text").alias("chars_after"), F.sha2("d.text", 256).alias("text_sha"))
+    rows = loops.with_loops_removed(_docs(spark, folder), "text", loops.EXTENDED)
+    return rows.where(F.size("changes") > 0).select(
+        "doc_id", F.size("changes").alias("n_cuts"), F.length("text").alias("chars_before"),
+        F.length("proposed").alias("chars_after"), F.sha2("proposed", 256).alias("text_sha"))
 
 
 def loop_reasons(spark, folder) -> DataFrame:
-    rows = _docs(spark, folder).withColumn("d", loops.deduplicated(F.col("text"), loops.EXTENDED))
+    rows = loops.with_loops_removed(_docs(spark, folder), "text", loops.EXTENDED)
     return rows.select("doc_id", F.array_join(
-        loops.measurement_reasons(F.col("text"), F.col("d.changes")), "|").alias("reasons"))
+        loops.measurement_reasons(F.col("text"), F.col("changes")), "|").alias("reasons"))
 
 
 def _contexts(spark, folder) -> DataFrame:

@@ -60,25 +60,29 @@ def is_unfinished(text: Column) -> Column:
     return (F.length(trimmed) == 0) | F.endswith(trimmed, F.lit(":")) | lead
 
 
-def _duplicates(items: Column) -> Column:
+def spare(items: Column) -> Column:
+    """How many items of an array repeat an earlier one."""
     return F.size(items) - F.size(F.array_distinct(items))
 
 
 def repetition_ratio(text: Column) -> Column:
     """Share of repeated lines among the lines of 35 characters and more."""
-    found = tx.long_lines(text)
-    return F.when(F.size(found) > 0, _duplicates(found) / F.size(found)).otherwise(F.lit(0.0))
+    return tx.let(tx.long_lines(text), lambda found: F.when(
+        F.size(found) > 0, spare(found) / F.size(found)).otherwise(F.lit(0.0)))
 
 
 def completed_prefix(answer: Column, minimum: int = 24) -> Column:
     """A cut-off answer up to its last finished sentence, else without its last line, else empty."""
-    text = clean_answer(answer)
-    sentence = tx.strip(F.regexp_extract(text, f"(?s)^(.*[.!?;:])(?={S}|$)", 1))
-    kept = F.filter(F.transform(tx.lines(text), tx.strip), lambda x: F.length(x) > 0)
-    shorter = F.array_join(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), "\n")
-    return (F.when(tx.word_count(sentence) >= minimum, sentence)
-            .when((F.size(kept) > 1) & (tx.word_count(shorter) >= minimum), shorter)
-            .otherwise(F.lit("")))
+    def shortened(text: Column) -> Column:
+        sentence = tx.strip(F.regexp_extract(text, f"(?s)^(.*[.!?;:])(?={S}|$)", 1))
+        kept = F.filter(F.transform(tx.lines(text), tx.strip), lambda x: F.length(x) > 0)
+        shorter = tx.let(kept, lambda k: F.array_join(
+            F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0))), "\n"))
+        parts = F.struct(sentence.alias("sentence"), shorter.alias("shorter"))
+        return tx.let(parts, lambda p: F.when(tx.word_count(p["sentence"]) >= minimum, p["sentence"])
+                      .when(tx.word_count(p["shorter"]) >= minimum, p["shorter"]).otherwise(F.lit("")))
+
+    return tx.let(clean_answer(answer), shortened)
 
 
 def route(conflict: Column, hit_limit: Column, flags: Column, strong: Column,

@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillsift.config import RepairPolicy
 from quillsift.functions import answers as an, lexicon as lx, text as tx
@@ -19,15 +19,21 @@ S = an.S
 EXTENDED = RepairPolicy(version=2)
 
 
+RUN = "array<struct<start:int,length:int,value:string>>"
+
+
 def runs(values: Column) -> Column:
-    """Maximal runs of equal neighbours of an array column: structs of start (from 1), length, value."""
-    n = F.size(values)
-    starts = F.filter(F.sequence(F.lit(1), n),
-                      lambda i: (i == 1) | ~F.element_at(values, i).eqNullSafe(F.get(values, i - 2)))
-    return F.when(n > 0, F.transform(starts, lambda s, k: F.struct(
-        s.alias("start"),
-        (F.coalesce(F.get(starts, k + 1), n + 1) - s).alias("length"),
-        F.element_at(values, s).alias("value"))))
+    """Maximal runs of equal neighbours of an array of strings: start (from 1), length, value."""
+
+    def found(v: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: (i == 1)
+                           | ~F.element_at(v, i).eqNullSafe(F.get(v, i - 2)))
+        return tx.let(changes, lambda s: F.transform(s, lambda at, k: F.struct(
+            at.alias("start"),
+            (F.coalesce(F.get(s, k + 1), F.size(v) + 1) - at).alias("length"),
+            F.element_at(v, at).alias("value"))))
+
+    return tx.let(values, lambda v: F.when(F.size(v) > 0, found(v)).otherwise(F.array().cast(RUN)))
 
 
 def plain_lines(text: Column) -> Column:
@@ -63,29 +69,44 @@ def numbered_loops(keys: Column, policy: RepairPolicy = EXTENDED) -> Column:
 def runaway_list(text: Column, repeats: int = 4, min_chars: int = 60) -> Column:
     """A list whose numbers (or letters) go on while the text of the items stays the same."""
     pattern = f"(?iud)^{S}*(\\d+|[a-zđ])[.)]{S}+(.+)$"
-    label, body = lambda x: F.lower(F.regexp_extract(x, pattern, 1)), lambda x: F.regexp_extract(x, pattern, 2)
-    number = lambda x: F.when(label(x).rlike("^\\d{1,18}$"), F.expr("bigint(0)") + label(x).try_cast("bigint")) \
-        .when(F.length(label(x)) > 0, F.ascii(label(x)).cast("bigint") - 96)
-    items = F.transform(tx.lines(text), lambda x: F.struct(
-        number(x).alias("n"), F.when(F.length(label(x)) > 0, tx.squeeze(tx.fold(body(x)))).alias("b")))
+    def item(line: Column) -> Column:
+        parts = F.struct(F.lower(F.regexp_extract(line, pattern, 1)).alias("label"),
+                         tx.squeeze(tx.fold(F.regexp_extract(line, pattern, 2))).alias("body"))
+        number = lambda p: F.when(p["label"].rlike("^\\d{1,18}$"), p["label"].try_cast("bigint")).otherwise(
+            (F.ascii(p["label"]) - 96).cast("bigint"))
+        return tx.let(parts, lambda p: F.when(
+            F.length(p["body"]) >= min_chars, F.struct(number(p).alias("n"), p["body"].alias("body"))))
+
     # Along a run of equal text the number minus the line index stays constant.
-    keys = F.transform(items, lambda s, i: F.when(
-        s["b"].isNotNull() & (F.length(s["b"]) >= min_chars),
-        F.concat_ws("|", (s["n"] - i).cast("string"), s["b"])))
-    return F.exists(F.coalesce(runs(keys), F.array().cast("array<struct<start:int,length:int,value:string>>")),
-                    lambda r: r["value"].isNotNull() & (r["length"] >= repeats))
+    keys = F.transform(F.transform(tx.lines(text), item), lambda s, i: F.when(
+        s.isNotNull(), F.concat_ws("|", (s["n"] - i).cast("string"), s["body"])))
+    return F.exists(runs(keys), lambda r: r["value"].isNotNull() & (r["length"] >= repeats))
 
 
 def inline_phrase_loop(text: Column) -> Column:
-    """Three to 24 words repeated back to back inside a line, at least 24 words and four times."""
-    joined = F.transform(tx.lines(text), lambda x: F.concat(
-        F.array_join(tx.tokens(x), " "), F.lit(" ")))
-    forms = []
-    for width in range(3, 25):
-        more = max(4, -(-24 // width)) - 1
-        letter = f"(?=(?:[^ ]+ ){{0,{width - 1}}}[^ ]*\\p{{L}})"
-        forms.append(f"{letter}((?:[^ ]+ ){{{width}}})\\{width - 2}{{{more}}}")
-    return F.exists(joined, lambda x: x.rlike("(?<![^ ])(?:" + "|".join(forms) + ")"))
+    """Three to 24 words repeated back to back inside a line, at least 24 words and four times.
+
+    For a block width the line becomes a string with one mark per word: ``a`` or ``n`` when the word
+    (with or without a letter) equals the one a block later, ``-`` otherwise. A loop is a long enough
+    stretch of marks that holds an ``a``.
+    """
+
+    def looped(words: Column, width: int) -> Column:
+        needed = max(4, -(-24 // width))
+        marks = F.transform(F.sequence(F.lit(1), F.size(words) - width), lambda i: F.when(
+            F.element_at(words, i) != F.element_at(words, i + width), F.lit("-")).when(
+            F.element_at(words, i).rlike("\\p{L}"), F.lit("a")).otherwise(F.lit("n")))
+        stretch = F.array_join(marks, "").rlike(f"(?=n*a)[an]{{{width * (needed - 1)}}}")
+        return (F.size(words) >= width * needed) & stretch
+
+    def line_loops_inside(words: Column) -> Column:
+        out = F.lit(False)
+        for width in range(24, 2, -1):
+            out = looped(words, width) | out
+        # Even the shortest loop repeats 18 words.
+        return F.when(an.spare(words) >= 18, out).otherwise(F.lit(False))
+
+    return F.exists(F.transform(tx.lines(text), tx.tokens), line_loops_inside)
 
 
 def long_numeric_run(text: Column, length: int = 20) -> Column:
@@ -93,20 +114,16 @@ def long_numeric_run(text: Column, length: int = 20) -> Column:
     number = "(?<![\\w./-])\\d{1,6}(?![\\w./-])"
     chains = F.regexp_extract_all(
         text, F.lit(f"(?U){number}(?:(?:{S}|[,;])+{number})*"), F.lit(0))
-    return F.exists(chains, lambda c: F.exists(
-        F.coalesce(runs(F.transform(F.regexp_extract_all(c, F.lit("\\d+"), F.lit(0)),
-                                    lambda n, i: (n.cast("int") - i).cast("string"))),
-                   F.array().cast("array<struct<start:int,length:int,value:string>>")),
-        lambda r: r["length"] >= length))
+    # Along a run of consecutive integers the value minus the position stays constant.
+    steps = lambda c: F.transform(F.regexp_extract_all(c, F.lit("\\d+"), F.lit(0)),
+                                  lambda n, i: (n.cast("int") - i).cast("string"))
+    return F.exists(chains, lambda c: F.exists(runs(steps(c)), lambda r: r["length"] >= length))
 
 
 def heading_only(text: Column, max_words: int = 16) -> Column:
     """True when an answer consists of titles, markers and lead-ins without any statement."""
-    lead = "#>*_` "
-    rows = F.transform(tx.lines(text), lambda x: tx.strip(F.btrim(tx.strip(x), F.lit(lead))))
-    present = F.filter(F.transform(tx.lines(text), tx.strip), lambda x: F.length(x) > 0)
-    rows = F.filter(F.arrays_zip(F.transform(tx.lines(text), tx.strip).alias("raw"), rows.alias("x")),
-                    lambda s: F.length(s["raw"]) > 0)
+    trimmed = F.filter(F.transform(tx.lines(text), tx.strip), lambda x: F.length(x) > 0)
+    bare = F.transform(trimmed, lambda x: tx.strip(F.btrim(x, F.lit("#>*_` "))))
     marker = "(?iu)^(?:\\d+(?:\\.\\d+)*|[a-zđ]|[ivxlcdm]+)[.)]$"
     opening = "(?iuU)^(?:căn cứ|theo)\\b"
     announcing = f"(?iu)(?:như sau|sau đây){S}*[:.]?$"
@@ -116,26 +133,27 @@ def heading_only(text: Column, max_words: int = 16) -> Column:
     title = ("(?iuU)^(?:thời hiệu|thời hạn|điều kiện|hồ sơ|thủ tục|mức phạt|trách nhiệm|"
              "quyền hạn|căn cứ pháp lý|nội dung|hình thức thi|kiểm định|nguyên tắc)\\b")
 
-    def classify(s):
-        x = s["x"]
-        scaffold = x.rlike(marker) | (x.rlike(opening) & x.rlike(announcing))
+    def classify(x):
         in_section = x.rlike(section)
         rest = F.when(in_section, tx.strip(F.regexp_replace(x, section, ""))).otherwise(x)
-        statement = ((~in_section & x.rlike(item)) | (tx.word_count(rest) > max_words)
-                     | rest.rlike("[.;!?]") | rest.rlike(verb))
-        good = ~rest.rlike("(?U)\\d") & (in_section | F.endswith(rest, F.lit(":")) | rest.rlike(title))
-        return (F.when(scaffold, "scaffold")
+        return (F.when(x.rlike(marker) | (x.rlike(opening) & x.rlike(announcing)), "scaffold")
                 .when(~in_section & x.rlike(item), "statement")
-                .when((F.length(rest) == 0) & in_section, "scaffold")
-                .when(F.length(rest) == 0, "nothing")
-                .when(statement, "statement").when(good & in_section, "section")
-                .when(good, "title").otherwise("other"))
+                .otherwise(tx.let(F.struct(in_section.alias("section"), rest.alias("rest")), judge)))
+
+    def judge(s):
+        rest = s["rest"]
+        statement = (tx.word_count(rest) > max_words) | rest.rlike("[.;!?]") | rest.rlike(verb)
+        good = ~rest.rlike("(?U)\\d") & (s["section"] | F.endswith(rest, F.lit(":")) | rest.rlike(title))
+        return (F.when((F.length(rest) == 0) & s["section"], "scaffold").when(F.length(rest) == 0, "nothing")
+                .when(statement, "statement").when(good, "title").otherwise("other"))
+
+    def decide(kinds):
+        has = lambda kind: F.array_contains(kinds, kind)
+        headings = has("title") | has("other")
+        return ((F.size(kinds) > 0) & ~has("statement")
+                & F.when(headings, ~has("other")).otherwise(has("scaffold")))
 
-    kinds = F.transform(rows, classify)
-    has = lambda *k: F.exists(kinds, lambda x: x.isin(*k))
-    headings = has("section", "title", "other")
-    return (F.size(present) > 0) & ~has("statement") & F.when(headings, ~has("other")).otherwise(
-        has("scaffold"))
+    return tx.let(F.transform(bare, classify), decide)
 
 
 # --- block removal -----------------------------------------------------------------------------
@@ -230,20 +248,21 @@ def remove_loops(text: str, policy: RepairPolicy):
 
 
 def may_loop(text: Column, policy: RepairPolicy) -> Column:
-    """Necessary condition for a repeated block: some line or sentence occurs three times."""
+    """Necessary condition for a repeated block: lines, sentences or list items that come again.
+
+    Lambdas are not nested here: the condition ends up in the argument of a Python function, and
+    Spark does not extract one whose argument refers to the variable of an outer lambda.
+    """
     sentences = F.filter(F.transform(F.split(text, f"(?<=[.!?])(?={S})"), tx.strip), lambda x: F.length(x) > 0)
-    out = (_spare(plain_lines(text)) >= 2) | (_spare(sentences) >= 2)
+    out = (an.spare(plain_lines(text)) >= 2) | (an.spare(sentences) >= 2)
     if policy.version == 2:
-        out = out | (F.size(numbered_loops(numbered_keys(text), policy)) > 0)
+        out = out | (an.spare(F.filter(numbered_keys(text), lambda k: k.isNotNull())) >= policy.numbered_repeats - 1)
     return out
 
 
-def _spare(items: Column) -> Column:
-    return F.size(items) - F.size(F.array_distinct(items))
-
-
-def deduplicated(text: Column, policy: RepairPolicy = RepairPolicy()) -> Column:
-    """Struct of the text without loops and the list of cuts."""
+def with_loops_removed(df: DataFrame, column: str, policy: RepairPolicy = RepairPolicy(),
+                       name: str = "proposed", changes: str = "changes") -> DataFrame:
+    """Add the text of ``column`` without repeated blocks and the list of cuts."""
 
     @F.pandas_udf(RESULT)
     def cut(values: pd.Series) -> pd.DataFrame:
@@ -252,10 +271,13 @@ def deduplicated(text: Column, policy: RepairPolicy = RepairPolicy()) -> Column:
                              "changes": [None if r[1] is None else
                                          [dict(zip(CHANGE.names, c)) for c in r[1]] for r in rows]})
 
-    done = cut(F.when(may_loop(text, policy), text))
+    # Rows that cannot loop send a null. Non-deterministic to the optimizer, so that a later filter
+    # on the outcome does not run the function a second time.
+    suspects = df.withColumn("_suspect", F.when(may_loop(F.col(column), policy), F.col(column)))
+    done = suspects.withColumn("_cut", cut.asNondeterministic()("_suspect"))
     none = F.array().cast(T.ArrayType(CHANGE))
-    return F.struct(F.coalesce(done["text"], text).alias("text"),
-                    F.coalesce(done["changes"], none).alias("changes"))
+    return (done.withColumn(name, F.coalesce("_cut.text", column))
+            .withColumn(changes, F.coalesce("_cut.changes", none)).drop("_suspect", "_cut"))
 
 
 def loop_reasons(text: Column, changes: Column) -> Column:

@@ -11,6 +11,11 @@ def _lit(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where a lambda uses it repeatedly."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Case folding: lower case, and the sharp s becomes two letters."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
