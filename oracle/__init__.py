@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "retrieval", "answers", "quality")
+MODULES = ("corpus", "retrieval", "answers", "quality", "records")
 
 
 def statements() -> dict[str, str]:

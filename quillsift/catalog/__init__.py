@@ -7,7 +7,7 @@ from importlib import import_module
 
 from quillsift.session import ship_package
 
-MODULES = ("corpus", "retrieval", "answers", "quality")
+MODULES = ("corpus", "retrieval", "answers", "quality", "records")
 
 
 def queries() -> dict:

@@ -82,12 +82,8 @@ def chunk_units(toks: str, phrases: bool) -> Column:
     return F.concat(col, tx.ngrams(col, 3), tx.ngrams(col, 4)) if phrases else col
 
 
-def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool) -> DataFrame:
-    """``(chunk_id, unit, length, f)`` for the units of the vocabulary, clustered by chunk.
-
-    ``f`` weighs header and text occurrences, ``length`` is the token count of both fields. The
-    vocabulary (at most ``rows`` entries) filters the exploded units on the map side.
-    """
+def _occurrences(chunks: DataFrame, phrases: bool) -> DataFrame:
+    """One row per occurrence of a unit: ``(chunk_id, length, unit, w)``."""
     # Tokens become columns first: the runs refer to them once per position.
     cut = chunks.select("chunk_id", tx.tokens(F.col("header")).alias("head"),
                         tx.tokens(F.col("text")).alias("body"))
@@ -100,6 +96,16 @@ def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool)
         "chunk_id", "length",
         F.when(in_header, F.substring("raw", 2, 1 << 20)).otherwise(F.col("raw")).alias("unit"),
         F.when(in_header, F.lit(HEADER_WEIGHT)).otherwise(F.lit(TEXT_WEIGHT)).alias("w"))
+    return exploded
+
+
+def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool) -> DataFrame:
+    """``(chunk_id, unit, length, f)`` for the units of the vocabulary, clustered by chunk.
+
+    ``f`` weighs header and text occurrences, ``length`` is the token count of both fields. The
+    vocabulary (at most ``rows`` entries) filters the exploded units on the map side.
+    """
+    exploded = _occurrences(chunks, phrases)
     # The null test is what joins on the unit would push down; stated here, every reader of the
     # shuffle below sees the same plan and it runs once.
     kept = lookup_join(exploded.where(F.col("unit").isNotNull()), vocabulary, "unit", rows,
@@ -108,6 +114,12 @@ def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool)
             .agg(F.sum("w").alias("f")))
 
 
+def all_postings(chunks: DataFrame, phrases: bool = False) -> DataFrame:
+    """Postings of every unit, for storing. Same columns as ``postings``."""
+    counted = _occurrences(chunks, phrases)
+    return counted.groupBy("chunk_id", "unit", "length").agg(F.sum("w").alias("f"))
+
+
 def with_statistics(units: DataFrame, posts: DataFrame, rows: int) -> DataFrame:
     """Give every question unit its inverse document frequency and the corpus averages.
 
@@ -195,9 +207,32 @@ def rankings(chunks: DataFrame, questions: Questions, cfg: Retrieval | None = No
     per_question = cfg.max_query_tokens + cfg.max_query_phrases + max(cfg.and_levels)
     rows = questions.count * per_question + 1
     units = question_units(questions.rows, cfg, branches)
-    spark = chunks.sparkSession
-    every = spark.range(1).select(F.lit(EVERY).alias("unit"))
-    vocabulary = units.select("unit").unionByName(every).distinct()
-    posts = postings(chunks, vocabulary, rows, "bm25_phrases" in branches)
+    posts = postings(chunks, vocabulary_of(units), rows, "bm25_phrases" in branches)
+    return _ranked(posts, units, rows, cfg, branches)
+
+
+def stored_rankings(index: DataFrame, questions: Questions, cfg: Retrieval | None = None,
+                    buckets: int = 64) -> DataFrame:
+    """Broad and strict rankings from stored postings; only the folders of asked tokens are read.
+
+    Phrases need the text and are ranked by ``rankings``.
+    """
+    cfg, branches = cfg or Retrieval(), ("bm25", "bm25_precise")
+    rows = questions.count * (cfg.max_query_tokens + max(cfg.and_levels)) + 1
+    units = question_units(questions.rows, cfg, branches)
+    asked = vocabulary_of(units).withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int"))
+    folders = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``
+    near = index.where(F.col("bucket").isin(folders)).select("chunk_id", "unit", "length", "f")
+    kept = lookup_join(near, asked.select("unit"), "unit", rows, "left_semi", spread_by=["chunk_id"])
+    return _ranked(kept.where(F.col("unit").isNotNull()).repartition("chunk_id"), units, rows, cfg, branches)
+
+
+def vocabulary_of(units: DataFrame) -> DataFrame:
+    """Distinct units with the pseudo unit every chunk holds."""
+    every = units.sparkSession.range(1).select(F.lit(EVERY).alias("unit"))
+    return units.select("unit").unionByName(every).distinct()
+
+
+def _ranked(posts, units, rows, cfg, branches) -> DataFrame:
     weighed = with_statistics(units, posts, rows)
     return top_ranked(branch_scores(posts, weighed, rows, cfg, branches), cfg)
