@@ -66,7 +66,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 100,
 
     def sliced(df, key, own, own_n, other, other_n):
         return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).cast("long")))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))))
 
     left = sliced(questions, "qid", "qs", q_slices, "vs", v_slices).groupBy("qs", "vs")
     right = sliced(vectors, "id", "vs", v_slices, "qs", q_slices).groupBy("qs", "vs")
