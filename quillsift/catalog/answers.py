@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillsift.config import RepairPolicy
 from quillsift.functions import answers as an, loops, text as tx
 from quillsift.operators import evidence as ev
+from quillsift.operators.sizing import spread
 from quillsift.sources import tables
 
 
@@ -78,7 +79,7 @@ def loop_reasons(spark, folder) -> DataFrame:
 
 def _contexts(spark, folder) -> DataFrame:
     """The two next replies of a conversation as evidence for a user turn."""
-    turns = tables.load(spark, folder, "conversations")
+    turns = spread(tables.load(spark, folder, "conversations"))
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"),
         F.posexplode(F.array(F.lit(1), F.lit(3))).alias("context", "ahead"))

@@ -64,8 +64,10 @@ def lexical_retrieval(spark, folder) -> DataFrame:
 
 def contexts(spark, folder) -> DataFrame:
     docs, qs = _inputs(spark, folder)
-    ordered = plans.lexical_retrieval(docs.chunks(), docs.chunks_of, qs, CFG)
-    return context.materialize(ordered, docs.parents(), qs.count, CFG)
+    # Ordered candidates are needed for the parents to read and for the result.
+    ordered = settled(plans.lexical_retrieval(docs.chunks(), docs.chunks_of, qs, CFG).drop("text"))
+    parents = docs.parents_of(ordered.select("chunk_id"), qs.count * CFG.lexical_pool_k)
+    return context.materialize(ordered, parents, qs.count, CFG)
 
 
 def context_materialize(spark, folder) -> DataFrame:

@@ -26,12 +26,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), _lit(lx.WORD), F.lit(0))
 
 
-def stop_array(words=None) -> Column:
-    return F.array(*[F.lit(w) for w in (lx.STOP_WORDS if words is None else words)])
-
-
 def is_stop(token: Column) -> Column:
-    return token.isin(lx.STOP_WORDS)
+    """Is a token in the stop list? Tokens hold no blanks, so one substring test decides."""
+    listed = F.lit(" " + " ".join(lx.STOP_WORDS) + " ")
+    return F.contains(listed, F.concat(F.lit(" "), token, F.lit(" ")))
 
 
 def content_terms(toks: Column) -> Column:
@@ -40,12 +38,12 @@ def content_terms(toks: Column) -> Column:
 
 
 def ngrams(toks: Column, size: int) -> Column:
-    """All runs of ``size`` neighbouring tokens, joined by one blank."""
-    last = F.size(toks) - (size - 1)
+    """All runs of ``size`` neighbouring tokens of an array column, joined by one blank."""
+    last = F.size(toks) - size
     return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                    lambda i: F.array_join(F.slice(toks, i, F.lit(size)), " ")),
+        last >= 0,
+        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                    lambda i: F.concat_ws(" ", *[F.get(toks, i + k if k else i) for k in range(size)])),
     ).otherwise(F.array().cast("array<string>"))
 
 

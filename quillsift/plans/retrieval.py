@@ -23,7 +23,15 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, settings: Settings | None = None):
         self.settings = settings or Settings()
-        self.docs = docs.withColumn("text", tx.clean_document(F.col("text")))
+        self.raw = docs
+
+    @staticmethod
+    def _cleaned(docs: DataFrame) -> DataFrame:
+        return docs.withColumn("text", tx.clean_document(F.col("text")))
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._cleaned(self.raw)
 
     def unique(self) -> DataFrame:
         return corpus.first_passages(self.docs)
@@ -31,15 +39,18 @@ class Corpus:
     def chunks(self) -> DataFrame:
         return corpus.document_chunks(self.unique(), self.settings.chunking)
 
+    def _named(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Documents owning the given chunks; others are dropped before their text is touched."""
+        owners = ids.select(F.shiftright("chunk_id", corpus.WINDOW_BITS).alias("doc_id")).distinct()
+        return self._cleaned(lookup_join(self.raw, owners, "doc_id", rows, "left_semi", spread_by=["doc_id"]))
+
     def chunks_of(self, ids: DataFrame, rows: int) -> DataFrame:
-        """Chunks named in ``ids`` (at most ``rows``), found through their documents."""
-        owners = ids.select(
-            F.shiftright("chunk_id", corpus.WINDOW_BITS).alias("doc_id")).distinct()
-        near = lookup_join(self.docs, owners, "doc_id", rows, "left_semi", spread_by=["doc_id"])
-        return corpus.document_chunks(near, self.settings.chunking)
-
-    def parents(self) -> DataFrame:
-        return self.docs.select(
+        """Chunks of the documents behind ``ids`` (at most ``rows`` chunk ids)."""
+        return corpus.document_chunks(self._named(ids, rows), self.settings.chunking)
+
+    def parents_of(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Parents of the chunks in ``ids`` (at most ``rows``)."""
+        return self._named(ids, rows).select(
             F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"),
             "doc_id", F.lit("").alias("number"), F.lit("").alias("heading"), "text")
 
