@@ -50,6 +50,10 @@ SQL = {
     "dense_knn": select([DENSE], "SELECT qid, vec_id, rank::INT AS rank, round(score, 6) AS score FROM dense"),
     "hybrid_fusion": select([*RANKED, DENSE, fused((*LEX, "dense"))],
                             "SELECT qid, chunk_id, rank::INT AS rank, round(rrf, 9) AS rrf FROM fused"),
+    "hybrid_retrieval": select(
+        [*RANKED, DENSE.replace("CROSS JOIN embeddings v)", "CROSS JOIN embeddings v WHERE v.vec_id IN (SELECT doc_id FROM kept))"),
+         fused((*LEX, "dense")), pool(32), BOOSTED],
+        """SELECT qid, chunk_id, parent_id, final_place::INT AS place, round(final_score, 6) AS final_score FROM final"""),
     "answer_token_coverage": select([*FUSED, PICKED], f"""
         SELECT stage, k::INT AS k, round(sum(hit / n) / (SELECT count(*) FROM benchmark), 9) AS coverage FROM (
           SELECT stage, k, qid, sum(least(found, wanted)) AS hit, any_value(n) AS n FROM (

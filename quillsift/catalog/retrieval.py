@@ -76,12 +76,14 @@ def context_materialize(spark, folder) -> DataFrame:
         "window_end", "seed_start", "seed_end", F.sha2("text", 256).alias("text_sha"))
 
 
-def _dense(spark, folder) -> DataFrame:
-    """The vector with an item's number stands for its question; all vectors are searched."""
+def _dense(spark, folder, indexed: DataFrame | None = None) -> DataFrame:
+    """The vector with an item's number stands for its question; all (or all indexed) vectors are searched."""
     vectors = tables.load(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     items = tables.load(spark, folder, "benchmark").select(F.col("item_id").alias("id"))
     asked = vectors.join(items, "id").select(F.col("id").alias("qid"), "vector")
+    if indexed is not None:
+        vectors = vectors.join(indexed.select(F.col("doc_id").alias("id")), "id", "left_semi")
     return dense.nearest(asked, vectors, CFG.dense_k)
 
 
@@ -100,6 +102,15 @@ def hybrid_fusion(spark, folder) -> DataFrame:
     return fused.select("qid", "chunk_id", "rank", F.round("rrf", 9).alias("rrf"))
 
 
+def hybrid_retrieval(spark, folder) -> DataFrame:
+    """Lexical and dense rankings fused, pooled, boosted and ordered; vectors of kept documents only."""
+    docs, qs = _inputs(spark, folder)
+    vec = _dense(spark, folder, docs.unique()).select(
+        "qid", corpus.chunk_key(F.col("id"), F.lit(0)).alias("chunk_id"), "rank")
+    rows = plans.full_retrieval(docs.chunks(), docs.chunks_of, qs, vec, cfg=CFG)
+    return rows.select("qid", "chunk_id", "parent_id", "place", F.round("final_score", 6).alias("final_score"))
+
+
 def answer_token_coverage(spark, folder) -> DataFrame:
     """The item's own text serves as its answer."""
     docs, qs = _inputs(spark, folder)
@@ -121,5 +132,6 @@ QUERIES = {
     "rrf_fusion": rrf_fusion, "diversified_pool": diversified_pool,
     "retrieval_boosts": retrieval_boosts, "lexical_retrieval": lexical_retrieval,
     "context_materialize": context_materialize, "dense_knn": dense_knn,
-    "hybrid_fusion": hybrid_fusion, "answer_token_coverage": answer_token_coverage,
+    "hybrid_fusion": hybrid_fusion, "hybrid_retrieval": hybrid_retrieval,
+    "answer_token_coverage": answer_token_coverage,
 }

@@ -184,3 +184,29 @@ def choose_penalty(rows: DataFrame) -> DataFrame:
     pick = first.select("repetition_penalty").scalar()
     return base.select(F.coalesce(pick, F.lit(1.0)).alias("recommended_penalty"),
                        pick.isNotNull().alias("improvement_found"))
+
+
+def drifted(stored: DataFrame, fresh: DataFrame, metrics, tolerance: float = 1e-10) -> DataFrame:
+    """Items whose stored scores are not reproduced; a baseline with any must not be compared with."""
+    new = fresh.select("id", *[F.col(m).alias(f"_{m}") for m in metrics])
+    off = F.lit(False)
+    for m in metrics:
+        off = off | ~F.coalesce(F.abs(F.col(m) - F.col(f"_{m}")) <= tolerance, F.lit(False))
+    return stored.join(new, "id", "full").where(off).select("id")
+
+
+def penalty_summary(details: DataFrame) -> DataFrame:
+    """One row per repetition penalty from per-item measurements, as ``choose_penalty`` wants them.
+
+    ``details`` is ``(repetition_penalty, meteor, rougeL, raw_reasons, final_reasons, raw_repetition,
+    final_repetition)``; the reasons are arrays. An answer of headings only is counted apart.
+    """
+    def loops_in(c):
+        return F.count_if(F.size(F.array_remove(c, "heading_only")) > 0)
+
+    headings = lambda c: F.count_if(F.array_contains(c, "heading_only"))
+    return details.groupBy("repetition_penalty").agg(
+        F.count("*").alias("samples"), F.avg("meteor").alias("meteor"), F.avg("rougeL").alias("rougeL"),
+        loops_in("raw_reasons").alias("raw_loop_count"), loops_in("final_reasons").alias("final_loop_count"),
+        headings("raw_reasons").alias("raw_heading_only_count"), headings("final_reasons").alias("final_heading_only_count"),
+        F.avg("raw_repetition").alias("raw_repetition_mean"), F.avg("final_repetition").alias("final_repetition_mean"))

@@ -87,3 +87,18 @@ def claim(spark: SparkSession, path: str, identity: dict) -> None:
             raise ValueError("inputs or settings changed; choose a new output")
     else:
         spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(marker)
+
+
+def with_provenance(rows: DataFrame, identity: dict) -> DataFrame:
+    """Carry the identity of the run that produced the rows as a column."""
+    return rows.withColumn("provenance", F.lit(json.dumps(identity, sort_keys=True, ensure_ascii=False)))
+
+
+def find_snapshot(spark: SparkSession, root: str, stage: str, name: str = "manifest.json") -> str:
+    """The one folder below ``root`` whose manifest says it holds ``stage``; names do not matter."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+    match = found.where(F.get_json_object("value", "$.stage") == stage).select(
+        F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).limit(2).collect()
+    if len(match) != 1:
+        raise ValueError(f"{'several' if match else 'no'} snapshots of stage {stage} below {root}")
+    return match[0]["folder"]

@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.operators import lexical
+from quillsift.sources import integrity
 
 
 def write_index(chunks: DataFrame, parents: DataFrame, path: str, buckets: int = 64) -> None:
@@ -25,14 +26,24 @@ def write_index(chunks: DataFrame, parents: DataFrame, path: str, buckets: int =
         "_spread", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
     posts.repartition("bucket", "_spread").drop("_spread").sortWithinPartitions("bucket", "unit").write.partitionBy(
         "bucket").mode("overwrite").parquet(f"{path}/postings")
+    manifest = integrity.table_digest(stored, "chunk_id", "parent_id", "header", "text")
+    manifest.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def bucket_of(unit: str, buckets: int):
     return F.pmod(F.xxhash64(unit), F.lit(buckets)).cast("int")
 
 
-def read_index(spark: SparkSession, path: str):
-    """``(parents, chunks, postings)``."""
+def read_index(spark: SparkSession, path: str, identity: str | None = None):
+    """``(parents, chunks, postings)``; fails if the index is unfinished or not the expected one.
+
+    The manifest is written last, so an interrupted build has none.
+    """
+    if not integrity.exists(spark, f"{path}/manifest/_SUCCESS"):
+        raise ValueError("the index was not completed")
+    manifest = spark.read.schema("n long, identity string, buckets int").json(f"{path}/manifest").first()
+    if identity is not None and manifest.identity != identity:
+        raise ValueError("the index was built from other chunks")
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("parents", "chunks", "postings"))
 
 
@@ -45,7 +56,10 @@ def package_answers(answers: DataFrame, target: str, member: str = "submission.j
         raise ValueError("the member must be a plain .json name")
     temporary, count, last = target + ".tmp", 0, None
     rows = answers.select(F.col("id").cast("string").alias("id"), "answer").orderBy("id").toLocalIterator()
-    with zipfile.ZipFile(temporary, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w", force_zip64=True) as out:
+    # A fixed time stamp: equal answers give equal bytes.
+    info = zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0))
+    info.compress_type = zipfile.ZIP_DEFLATED
+    with zipfile.ZipFile(temporary, "w") as archive, archive.open(info, "w", force_zip64=True) as out:
         out.write(b"{")
         for row in rows:
             if row.id == last or row.answer is None or not row.answer.strip():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import overlap
 from quillsift.operators import evaluate as ev, repair, sizing, splits
+from quillsift.plans import quality
 from quillsift.plans.retrieval import variant
 from quillsift.config import RETRIEVAL_VARIANTS, Settings
 
@@ -201,3 +202,31 @@ def test_settings():
         with pytest.raises(ValueError):
             base.patched(wrong)
     assert variant(base.retrieval, pool_k=3).pool_k == 3
+
+
+def test_drift_and_penalty_summary(spark):
+    a = spark.createDataFrame([("1", 0.5), ("2", 0.5), ("3", 0.5)], "id string, meteor double")
+    b = spark.createDataFrame([("1", 0.5), ("2", 0.5001)], "id string, meteor double")
+    assert {r.id for r in ev.drifted(a, b, ["meteor"]).collect()} == {"2", "3"}
+    rows = spark.createDataFrame([(1.0, .5, .5, ["heading_only"], [], .1, .0), (1.0, .7, .5, ["numbered_loop"], ["heading_only", "x"], .3, .2)],
+                                 "repetition_penalty double, meteor double, rougeL double, raw_reasons array<string>, "
+                                 "final_reasons array<string>, raw_repetition double, final_repetition double")
+    r = ev.penalty_summary(rows).first()
+    assert (r.raw_loop_count, r.final_loop_count, r.raw_heading_only_count, r.final_heading_only_count) == (1, 1, 1, 1)
+    assert r.meteor == pytest.approx(.6) and r.raw_repetition_mean == pytest.approx(.2)
+
+
+def test_repair_job_and_group_screens(spark):
+    tail = "Hết."
+    rows = [("1", f"{LINE}.\n" * 5 + tail, "generated", False), ("2", tail, "source_fallback", False)]
+    df = spark.createDataFrame(rows, "id string, answer string, route string, hit_token_limit boolean")
+    refs = spark.createDataFrame([("1", f"{LINE}.\n{tail}"), ("2", "Đáp án đúng.")], "id string, answer string")
+    selected, name, review = quality.repair_job(df, refs)
+    assert {r.id: r.answer for r in selected.collect()}["1"] == f"{LINE}.\n{tail}" and review.count() == 2 and name in ("cpu_v1", "cpu_v2")
+    queue = repair.review_queue(df)
+    better = spark.createDataFrame([("2", "Đáp án đúng.")], "id string, answer string")
+    merged, enabled = quality.screen_groups(df, better, queue, refs)
+    assert enabled == ["fallback"] and {r.answer for r in merged.where("id = '2'").collect()} == {"Đáp án đúng."}
+    worse = spark.createDataFrame([("2", "Sai:")], "id string, answer string")
+    kept, none = quality.screen_groups(df, worse, queue, refs)
+    assert none == [] and kept.count() == 2

@@ -55,6 +55,15 @@ def test_attempts(spark):
     assert got == {k: want for k, (_, want) in cases.items() if want}
 
 
+def test_attempts_as_a_stream(spark, tmp_path):
+    ddl = "id string, attempt int, budget int, focused boolean, accepted boolean, faulty boolean, hit_token_limit boolean"
+    spark.createDataFrame([("a", 1, 2048, False, False, False, True), ("b", 1, 2048, False, True, False, False)], ddl).coalesce(1).write.json(str(tmp_path / "in"))
+    steps = journal.next_attempts(spark.readStream.schema(ddl).json(str(tmp_path / "in")), [2048, 3072])
+    query = steps.writeStream.outputMode("update").format("memory").queryName("steps").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("steps").collect()] == [("a", 3072, False)]
+
+
 def test_ids_and_manifests(spark, tmp_path):
     a, b = (spark.createDataFrame([(i,) for i in x], "id string") for x in ("abc", "bcd"))
     assert {tuple(r) for r in integrity.id_difference(a, b).collect()} == {("a", "extra"), ("d", "missing")}
@@ -70,6 +79,14 @@ def test_ids_and_manifests(spark, tmp_path):
     manifest = files.where("path <> 'new'").union(spark.createDataFrame([("gone", 1, "x")], files.schema)).withColumn(
         "sha256", F.when(F.col("path") == "two", "bad").otherwise(F.col("sha256")))
     assert {tuple(r) for r in integrity.manifest_mismatches(files, manifest).collect()} == {("two", "hash"), ("gone", "missing"), ("new", "unlisted")}
+    for sub, stage in (("x", "one"), ("y", "two"), ("z", "two")):
+        (root / sub).mkdir()
+        (root / sub / "manifest.json").write_text(json.dumps({"stage": stage}))
+    assert integrity.find_snapshot(spark, str(root), "one").endswith("/snap/x")
+    for stage in ("two", "three"):
+        with pytest.raises(ValueError):
+            integrity.find_snapshot(spark, str(root), stage)
+    assert integrity.with_provenance(a, {"v": 1}).first().provenance == '{"v": 1}'
     d = lambda df: integrity.table_digest(df, "id").first().identity
     assert d(a) == d(a.orderBy(F.desc("id"))) != d(b)
 

@@ -99,6 +99,10 @@ def test_rankings_from_a_stored_index(spark, inputs, tmp_path):
     sinks.write_index(chunks, chunks.select("parent_id").distinct(), str(tmp_path), buckets=5)
     _, stored, postings = sinks.read_index(spark, str(tmp_path))
     assert stored.count() == len(CHUNKS)
+    with pytest.raises(ValueError):
+        sinks.read_index(spark, str(tmp_path), identity="other")
+    with pytest.raises(ValueError):
+        sinks.read_index(spark, str(tmp_path / "nothing"))
     check(collect(lexical.stored_rankings(postings, questions, buckets=5)), ("bm25", "bm25_precise"))
 
 
