@@ -33,25 +33,29 @@ def _window_starts(n: Column, window: int) -> Column:
 def evidence_windows(contexts: DataFrame, window: int = 160) -> DataFrame:
     """Score every word window of every context: one row per (qid, context, start).
 
-    ``contexts`` is ``(qid, question, context, heading, text)``.
+    ``contexts`` is ``(qid, question, context, heading, text)``. A context without words keeps one row
+    with a null ``window_start`` and ``score``, so that no question gets lost.
     """
     base = contexts.select(
         "qid", "question", "context", tx.tokens(F.col("question")).alias("qw"),
         tx.tokens(F.coalesce("heading", F.lit(""))).alias("hw"), tx.tokens(F.coalesce("text", F.lit(""))).alias("tw"))
-    base = base.where(F.size("tw") > 0).withColumn("terms", tx.content_terms(F.col("qw")))
-    rows = base.select("*", F.explode(_window_starts(F.size("tw"), window)).alias("window_start"))
-    words = F.concat("hw", F.slice("tw", F.col("window_start") + 1, F.lit(window)))
-    rows = rows.withColumn("window_end", F.least(F.size("tw"), F.col("window_start") + window))
-    rows = rows.select("qid", "question", "context", "qw", "terms", "window_start", "window_end",
-                       words.alias("words")).withColumn("joined", padded(F.col("words")))
+    base = base.withColumn("terms", tx.content_terms(F.col("qw")))
+    starts = F.when(F.size("tw") > 0, _window_starts(F.greatest(F.size("tw"), F.lit(1)), window))
+    rows = base.select("*", F.explode_outer(starts).alias("window_start"))
+    scored = F.col("window_start").isNotNull()
+    words = F.when(scored, F.concat("hw", F.slice("tw", F.col("window_start") + 1, F.lit(window))))
+    end = F.when(scored, F.least(F.size("tw"), F.col("window_start") + window))
+    rows = rows.select("qid", "question", "context", "qw", "terms", "window_start", end.alias("window_end"),
+                       F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    rows = rows.withColumn("joined", padded(F.col("words")))
     matched = F.size(F.filter("terms", lambda t: F.array_contains("words", t)))
     rows = rows.withColumn("matched_terms", matched).withColumn("question_terms", F.size("terms"))
     rows = rows.withColumn("coverage", F.col("matched_terms") / F.greatest(F.col("question_terms"), F.lit(1)))
     rows = rows.withColumn("longest_phrase", shared_phrase(F.col("qw"), F.col("joined"), 8, 2))
     anchor = F.concat(F.lit(" "), F.array_join(F.slice("terms", 1, 2), " "), F.lit(" "))
     rows = rows.withColumn("anchor_match", (F.size("terms") >= 2) & F.contains("joined", anchor))
-    score = (F.col("coverage") + F.col("longest_phrase") * 0.02 + F.lit(0.10) / (F.col("context") + 1))
-    return rows.withColumn("score", F.round(score, 9))
+    score = F.col("coverage") + F.col("longest_phrase") * 0.02 + F.lit(0.10) / (F.col("context") + 1)
+    return rows.withColumn("score", F.when(F.col("window_start").isNotNull(), F.round(score, 9)))
 
 
 def local_support(contexts: DataFrame, threshold: float = 0.78, window: int = 160) -> DataFrame:
@@ -60,7 +64,7 @@ def local_support(contexts: DataFrame, threshold: float = 0.78, window: int = 16
     Questions whose contexts hold no words get a row with a null ``context`` as well.
     """
     rows = evidence_windows(contexts, window)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "context", "window_start")
+    order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("score"), "context", "window_start")
     best = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     folded, joined = tx.fold(F.col("question")), F.array_join("words", " ")
     markers = F.lit(True)
@@ -71,18 +75,16 @@ def local_support(contexts: DataFrame, threshold: float = 0.78, window: int = 16
                        lambda a: a.cast("int"))
     age_ok = ~wants_age | F.exists(ages, lambda a: (a > 0) & (a <= 120))
     actor = F.col("question").rlike("(?iuU)" + lx.DIRECT_ACTOR) & (F.col("coverage") >= 0.80)
-    best = best.withColumn("marker_ok", markers).withColumn("age_value_present", age_ok)
-    strong = ((F.col("question_terms") >= 3) & (F.col("coverage") >= threshold)
+    found = F.col("score").isNotNull()
+    best = best.withColumn("marker_ok", F.when(found, markers)).withColumn("age_value_present", F.when(found, age_ok))
+    strong = (found & (F.col("question_terms") >= 3) & (F.col("coverage") >= threshold)
               & (F.col("longest_phrase") >= 3) & (F.col("anchor_match") | actor)
               & F.col("marker_ok") & F.col("age_value_present"))
-    kept = best.select("qid", "context", "window_start", "window_end", "coverage", "matched_terms",
-                       "longest_phrase", "anchor_match", "marker_ok", "age_value_present",
-                       strong.alias("strong"), "score")
-    asked = contexts.select("qid", "question").distinct().select(
-        "qid", F.size(tx.content_terms(tx.tokens(F.col("question")))).alias("question_terms"))
-    filled = asked.join(kept, "qid", "left")
-    return filled.na.fill(0, ["window_start", "window_end", "matched_terms", "longest_phrase"]) \
-        .na.fill(0.0, ["coverage"]).na.fill(False, ["strong", "anchor_match"])
+    return best.select(
+        "qid", F.when(found, F.col("context")).alias("context"),
+        F.coalesce("window_start", F.lit(0)).alias("window_start"), F.coalesce("window_end", F.lit(0)).alias("window_end"),
+        "coverage", "matched_terms", "question_terms", "longest_phrase", "anchor_match", "marker_ok",
+        "age_value_present", strong.alias("strong"), "score")
 
 
 def refusal_support(contexts: DataFrame, threshold: float = 0.65) -> DataFrame:

@@ -12,18 +12,19 @@ from quillsift.session import settled
 LISTED_IDS = 10_000
 
 
-def global_rank(rows: DataFrame, digest: str, prefix: int = 4) -> DataFrame:
-    """Add ``rank`` (from 1) in the order of a hex digest column without sorting on one machine.
+def global_rank(rows: DataFrame, digest: str, by: tuple = (), prefix: int = 4) -> DataFrame:
+    """Add ``rank`` (from 1, within ``by``) in the order of a hex digest without sorting on one machine.
 
     Digests spread evenly over their first characters. Rows are counted per prefix, the at most
-    ``16 ** prefix`` counts are summed up, and each prefix is ranked for itself.
+    ``16 ** prefix`` counts of each of a few ``by`` groups are summed up, and each prefix is ranked for
+    itself. ``rows`` is read twice, so hand over something stored.
     """
     keyed = rows.withColumn("_p", F.substring(digest, 1, prefix))
-    sizes = keyed.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = Window.partitionBy("_p").orderBy(digest)
-    ranked = keyed.join(F.broadcast(offsets), "_p")
+    inside = Window.partitionBy(*by, "_p").orderBy(digest)
+    ranked = keyed.join(F.broadcast(offsets), [*by, "_p"])
     return ranked.withColumn("rank", F.row_number().over(inside) + F.col("_off")).drop("_p", "_off")
 
 
@@ -74,8 +75,8 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
     total = 2 * keyed.count()
     edges = hot_split_join(rows, heads, "key", "n", total).select(F.col("id").alias("u"), F.col("head").alias("v"))
     roots = connected(edges)
-    return keyed.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", F.coalesce("root", "id").alias("root"))
+    return settled(keyed.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("root", "id").alias("root")))
 
 
 def group_digests(groups: DataFrame, seed: int) -> DataFrame:
@@ -100,20 +101,18 @@ def hash_split(groups: DataFrame, seed: int = 2026) -> DataFrame:
 
     The cuts round half to even. Fewer than ten groups are an error.
     """
-    ranked = global_rank(group_digests(groups, seed), "digest")
-    ranked = settled(ranked.select("root", "rank"))
-    n = ranked.count()
+    digests = settled(group_digests(groups, seed))
+    n = digests.count()
     if n < 10:
         raise ValueError("need at least 10 independent groups for an 80/10/10 split")
     first, second = max(1, round(0.8 * n)), min(n - 1, round(0.9 * n))
     split = F.when(F.col("rank") <= first, "train").when(F.col("rank") <= second, "dev").otherwise("holdout")
-    sized = ranked.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").withColumn("split", split)
-    placed = hot_split_join(groups, sized.select("root", "n", "split"), "root", "n", groups.count())
-    keyed = placed.select("id", "split", tx.digest(
-        seed, F.concat(F.lit('"'), "split", F.lit('"')), tx.json_text(F.col("id"))).alias("digest"))
-    parts = [global_rank(keyed.where(F.col("split") == s), "digest") for s in ("train", "dev", "holdout")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("id", "split", F.col("rank").cast("bigint").alias("pos"))
+    dealt = settled(global_rank(digests, "digest").select("root", "n", split.alias("split")))
+    # Group sizes are known by now, so hot groups are told apart without another count.
+    placed = hot_split_join(groups, dealt, "root", "n", groups.count())
+    keyed = settled(placed.select("id", "split", tx.digest(
+        seed, F.concat(F.lit('"'), "split", F.lit('"')), tx.json_text(F.col("id"))).alias("digest")))
+    return global_rank(keyed, "digest", by=("split",)).select("id", "split", F.col("rank").cast("bigint").alias("pos"))
 
 
 def hashed_subset(ids: DataFrame, size: int, seed: int = 2026) -> DataFrame:
