@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named:
-        if current is None or not current.startswith(named):
+        if current is None or named.rstrip("/") not in current:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:

@@ -127,6 +127,8 @@ def test_prompts_fit(spark):
         assert out.input_tokens <= limit
         assert len(full) + 7 + 3 * len(out.packed) + sum(len(c.text.split()) for c in out.packed) + 2 <= limit + 20
         assert "a500" in out.packed[0].text and out.packed[0].text.startswith("9/QĐ Điều 1\n")
+    tight = prompt.pack_prompts(spark.createDataFrame(rows, CTX), Generation(max_input_tokens=300)).collect()
+    assert [(r.qid, r.packed) for r in tight] == [(1, [])]
     only = prompt.pack_prompts(spark.createDataFrame(rows, CTX), Generation(same_document=True)).first()
     assert [c.parent_id for c in only.packed] == ["d:0", "d:1"]
 
