@@ -157,12 +157,13 @@ def branch_scores(posts: DataFrame, units: DataFrame, rows: int, cfg: Retrieval,
     """``(branch, qid, chunk_id, level, score)`` for every chunk a branch admits."""
     hits = lookup_join(posts, units, "unit", rows, spread_by=["chunk_id"]).withColumn("s", contribution())
     rank = F.col("precise_rank")
-    aggs = [F.max("n_terms").alias("n_terms")]
+    aggs = []
     if "bm25" in branches:
         aggs.append(F.sum(F.when(F.col("broad") == 1, F.col("s"))).alias("bm25"))
     if "bm25_phrases" in branches:
         aggs.append(F.sum(F.when(F.col("phrase") == 1, F.col("s"))).alias("bm25_phrases"))
     if "bm25_precise" in branches:
+        aggs.append(F.max("n_terms").alias("n_terms"))
         for level in cfg.and_levels:
             inside = (rank > 0) & (rank <= level)
             aggs += [F.count_if(inside).alias(f"c{level}"), F.sum(F.when(inside, F.col("s"))).alias(f"s{level}")]
