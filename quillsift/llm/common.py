@@ -12,10 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A word is a maximal run of characters other than the blank and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker scans at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch: rows are whole documents, so the default of 10,000 rows is too much at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -30,7 +30,7 @@ SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 2000
 UPDATES, BATCH, RATE, DECAY = 220, 128, 0.012, 0.04
 #: Words whose input a worker keeps; beyond it the store starts anew.
-STORED_WORDS = 400_000
+STORED_WORDS = 150_000
 #: Windows scored at once.
 WINDOWS = 512
 
