@@ -79,7 +79,7 @@ gram_occ AS (
   SELECT chunk_id, w, unnest(list_transform(range(1, greatest(len(t) - 2, 0) + 1), lambda i: array_to_string(t[i:i+2], ' '))) AS tok FROM runs
   UNION ALL
   SELECT chunk_id, w, unnest(list_transform(range(1, greatest(len(t) - 3, 0) + 1), lambda i: array_to_string(t[i:i+3], ' '))) AS tok FROM runs),
-qgrams AS (SELECT qid, unnest(list_slice(g, 1, 24)) AS tok FROM (SELECT qid, {D} AS g FROM (SELECT qid, {G} AS gs FROM q))),
+qgrams AS (SELECT qid, unnest(g) AS tok FROM (SELECT qid, {D} AS g FROM (SELECT qid, {G} AS gs FROM q))),
 gram_tf AS (SELECT chunk_id, tok, sum(w)::DOUBLE AS f FROM gram_occ WHERE tok IN (SELECT tok FROM qgrams) GROUP BY ALL),
 gram_df AS (SELECT tok, count(*) AS df FROM gram_tf GROUP BY tok)
 """.replace("{D}", distinct("gs")).replace(
@@ -95,7 +95,7 @@ def bm25(n="n", df="df", f="f", length="len", avg="avg_len") -> str:
 BROAD = f"""
 broad_scores AS (
   SELECT qid, tf.chunk_id, round(sum({bm25()}), 9) AS score
-  FROM (SELECT qid, unnest(list_slice({distinct('t')}, 1, 48)) AS tok FROM q) qq
+  FROM (SELECT qid, unnest({distinct('t')}) AS tok FROM q) qq
   JOIN tf USING (tok) JOIN df USING (tok) JOIN lens USING (chunk_id) CROSS JOIN corpus_size
   GROUP BY qid, tf.chunk_id),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank

@@ -22,8 +22,9 @@ def key(x: str) -> str:
 
 
 AUDITED = """
-audited AS (SELECT d.doc_id::VARCHAR AS id, text AS answer, CASE WHEN quality = 1 THEN 'generated' ELSE 'source_fallback' END AS route,
-   toxic = 1 AS hit, quality, toxic FROM documents d JOIN labels USING (doc_id))
+audited AS (SELECT d.doc_id::VARCHAR AS id, text AS answer,
+   CASE WHEN quality IS NULL THEN 'unaudited' WHEN quality = 1 THEN 'generated' ELSE 'source_fallback' END AS route,
+   coalesce(toxic = 1, false) AS hit, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))
 """
 
 GROUPS = f"""
@@ -44,6 +45,9 @@ SQL = {
             CASE WHEN u THEN 'unfinished_lead_in' END], lambda x: x IS NOT NULL), '|') AS reasons,
           (CASE WHEN fb THEN 0 ELSE 1 END)::INT AS priority
         FROM (SELECT *, contains(route, 'fallback') AS fb, {unfinished('answer')} AS u FROM audited) WHERE fb OR hit OR u"""),
+    "route_counts": select([AUDITED], """
+        SELECT route, count(*) AS samples, count(*) FILTER (hit) AS token_limit_hits,
+               round(count(*) FILTER (hit) / count(*), 9) AS token_limit_rate FROM audited GROUP BY route"""),
     "metric_summary": f"""
         SELECT lang, count(*) AS n, round(avg(w), 6) AS mean, round(quantile_cont(w, 0.9), 6) AS p90, max(w)::INT AS max,
                (list_sort(list(w)))[len(list(w)) // 2 + 1]::INT AS median_low,
@@ -73,7 +77,8 @@ SQL = {
         FROM documents JOIN labels USING (doc_id) GROUP BY source ORDER BY meteor DESC, rougeL DESC, min(doc_id) LIMIT 1""",
     "split_groups": "WITH RECURSIVE " + ",\n".join([PAIRS.strip(), GROUPS.strip()]) + " SELECT id, root FROM groups",
     "hash_order_split": "WITH RECURSIVE " + ",\n".join([PAIRS.strip(), GROUPS.strip(), """
-        g AS (SELECT root, sha256('[2026,[' || string_agg('"' || id || '"', ',' ORDER BY id) || ']]') AS d FROM groups GROUP BY root),
+        g AS (SELECT root, sha256('2026|' || count(*) || '|' || sum(('0x' || substr(sha256(id), 1, 12))::BIGINT) || '|'
+              || sum(('0x' || substr(sha256(id), 13, 12))::BIGINT)) AS d FROM groups GROUP BY root),
         o AS (SELECT root, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS n FROM g),
         s AS (SELECT id, CASE WHEN r <= greatest(1, round_even(0.8 * n, 0)) THEN 'train'
                 WHEN r <= least(n - 1, round_even(0.9 * n, 0)) THEN 'dev' ELSE 'holdout' END AS split FROM groups JOIN o USING (root))"""]) + """

@@ -40,10 +40,10 @@ SQL = {
         round(final_score, 6) AS final_score FROM final"""),
     "context_materialize": select(POOLED, """
         SELECT qid, parent_id, chunk_id AS seed_chunk_id, ctx::INT AS context, ws::INT AS window_start,
-               (ws + least(24000, n))::INT AS window_end, (start_at - ws)::INT AS seed_start,
-               (start_at + len(text) - ws)::INT AS seed_end, sha256(substr(body_text, ws + 1, 24000)) AS text_sha
+               (ws + n)::INT AS window_end, (start_at - ws)::INT AS seed_start,
+               (start_at + len(text) - ws)::INT AS seed_end, sha256(body_text) AS text_sha
         FROM (SELECT b.*, d.text AS body_text, len(d.text) AS n,
-                     CASE WHEN len(d.text) > 24000 THEN greatest(0, least(start_at - 10000, len(d.text) - 24000)) ELSE 0 END AS ws
+                     0 AS ws
               FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_place) - 1 AS ctx
                     FROM (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY qid, parent_id ORDER BY final_place) = 1)) b
               JOIN docs d ON d.doc_id = b.chunk_id // 16777216 WHERE ctx < 4)"""),

@@ -72,7 +72,8 @@ def dedup_answers(spark, folder) -> DataFrame:
 
 
 def loop_reasons(spark, folder) -> DataFrame:
-    rows = loops.with_loops_removed(_docs(spark, folder), "text", loops.EXTENDED)
+    docs = _docs(spark, folder).withColumn("text", tx.nfc(F.col("text")))
+    rows = loops.with_loops_removed(docs, "text", loops.EXTENDED)
     return rows.select("doc_id", F.array_join(
         loops.measurement_reasons(F.col("text"), F.col("changes")), "|").alias("reasons"))
 

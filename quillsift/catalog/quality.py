@@ -10,13 +10,13 @@ from quillsift.sources import tables
 
 
 def _audited(spark, folder) -> DataFrame:
-    """Documents as answers; their labels stand for the audit of a generation run."""
+    """All documents as answers; their labels stand for the audit of a run, route ``unaudited`` for those without."""
     docs = tables.documents(spark, folder, "doc_id", "text")
     labels = tables.load(spark, folder, "labels")
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("answer"),
-        F.when(F.col("quality") == 1, "generated").otherwise("source_fallback").alias("route"),
-        (F.col("toxic") == 1).alias("hit_token_limit"), "quality", "toxic")
+    route = F.when(F.col("quality").isNull(), "unaudited").when(F.col("quality") == 1, "generated").otherwise("source_fallback")
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("answer"), route.alias("route"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("hit_token_limit"), "quality", "toxic")
 
 
 def repair_report(spark, folder) -> DataFrame:
@@ -56,11 +56,9 @@ def paired_comparison(spark, folder) -> DataFrame:
     return out.select("samples", "wins", "losses", *[F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")])
 
 
-def paired_bootstrap(spark, folder) -> DataFrame:
-    control = _scores(spark, folder, "m", F.col("quality"))
-    candidate = _scores(spark, folder, "m", 1 - F.col("toxic"))
-    out = ev.seeded_interval(ev.paired(control, candidate, "m"))
-    return out.select("samples", "wins", "losses", *[F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")])
+def route_counts(spark, folder) -> DataFrame:
+    """Answers per route of the audit, with the share that hit the token limit."""
+    return ev.route_counts(_audited(spark, folder)).withColumn("token_limit_rate", F.round("token_limit_rate", 9))
 
 
 def acceptance_decision(spark, folder) -> DataFrame:
@@ -98,5 +96,5 @@ def training_subset(spark, folder) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    repair_report, review_queue, rouge_l, metric_summary, paired_comparison, paired_bootstrap,
+    repair_report, review_queue, rouge_l, metric_summary, paired_comparison, route_counts,
     acceptance_decision, select_best, split_groups, hash_order_split, training_subset)}

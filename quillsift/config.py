@@ -28,8 +28,8 @@ class Retrieval:
     lexical_pool_k: int = 24
     per_parent: int = 2
     parents_k: int = 4
-    max_query_tokens: int = 48
-    max_query_phrases: int = 24
+    max_query_tokens: int | None = None
+    max_query_phrases: int | None = None
     and_levels: tuple = (12, 8, 5)
     coverage_weight: float = 2.0
     phrase_bonus: float = 1.0
@@ -41,7 +41,8 @@ class Retrieval:
     adjacent_distance: int = 0
     adjacent_seeds: int = 8
     adjacent_reserve: int | None = None
-    parent_chars: int = 24000
+    # Show at most so many characters of a parent, from so many before the chunk; None shows all.
+    parent_chars: int | None = None
     parent_lead: int = 10000
 
     @property

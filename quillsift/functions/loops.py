@@ -72,8 +72,8 @@ def runaway_list(text: Column, repeats: int = 4, min_chars: int = 60) -> Column:
     def item(line: Column) -> Column:
         parts = F.struct(F.lower(F.regexp_extract(line, pattern, 1)).alias("label"),
                          tx.squeeze(tx.fold(F.regexp_extract(line, pattern, 2))).alias("body"))
-        number = lambda p: F.when(p["label"].rlike("^\\d{1,18}$"), p["label"].try_cast("bigint")).otherwise(
-            (F.ascii(p["label"]) - 96).cast("bigint"))
+        number = lambda p: F.when(p["label"].rlike("^\\d"), p["label"].try_cast("decimal(38,0)")).otherwise(
+            (F.ascii(p["label"]) - 96).cast("decimal(38,0)"))
         return tx.let(parts, lambda p: F.when(
             F.length(p["body"]) >= min_chars, F.struct(number(p).alias("n"), p["body"].alias("body"))))
 
@@ -113,7 +113,7 @@ def long_numeric_run(text: Column, length: int = 20) -> Column:
     """At least 20 integers counting up by one with only blanks, commas or semicolons between."""
     number = "(?<![\\w./-])\\d{1,6}(?![\\w./-])"
     chains = F.regexp_extract_all(
-        text, F.lit(f"(?U){number}(?:(?:{S}|[,;])+{number})*"), F.lit(0))
+        text, F.lit(f"(?U){number}(?:[{lx.WS},;]++{number})*+"), F.lit(0))
     # Along a run of consecutive integers the value minus the position stays constant.
     steps = lambda c: F.transform(F.regexp_extract_all(c, F.lit("\\d+"), F.lit(0)),
                                   lambda n, i: (n.cast("int") - i).cast("string"))

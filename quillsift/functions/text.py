@@ -94,7 +94,7 @@ def clean_document(text: Column, compose: bool = True) -> Column:
     out = F.replace(out, F.lit("\r"), F.lit("\n"))
     out = nfc(out) if compose else out
     out = F.regexp_replace(out, "[ \\t]+", " ")
-    out = F.regexp_replace(out, "\\n[ \\t]*\\n(?:[ \\t]*\\n)+", "\n\n")
+    out = F.regexp_replace(out, "\\n[ \\t]*+\\n(?:[ \\t]*+\\n)++", "\n\n")
     return strip(out)
 
 
@@ -108,7 +108,7 @@ def words(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, f"[{lx.EOL}]")
+    return F.split(text, f"\\r\\n|[{lx.EOL}]")
 
 
 def long_lines(text: Column, minimum: int = 35) -> Column:

@@ -25,7 +25,7 @@ def materialize(ordered: DataFrame, parent_rows: DataFrame, questions: int,
                 cfg: Retrieval | None = None) -> DataFrame:
     """The best chunk of each parent, the first ``parents_k`` parents per question, with their text.
 
-    Very long parents are cut to a window around the chunk and the chunk's offsets shifted.
+    With ``parent_chars`` longer parents are cut to a window around the chunk, its offsets shifted.
     ``ordered`` needs ``qid, chunk_id, parent_id, start, end, place``; ``parent_rows`` needs
     ``parent_id, text``. At most ``questions * parents_k`` parents are looked up. ``parents_k = 0``
     keeps all.
@@ -42,10 +42,11 @@ def materialize(ordered: DataFrame, parent_rows: DataFrame, questions: int,
     rows = lookup_join(parent_rows, best, "parent_id", questions * per_question,
                        spread_by=["parent_id"], limit=200_000)
     size = F.length("text")
-    first = F.when(size > cfg.parent_chars, F.greatest(F.lit(0), F.least(
-        F.col("start") - cfg.parent_lead, size - cfg.parent_chars))).otherwise(F.lit(0))
+    most = size if cfg.parent_chars is None else F.lit(cfg.parent_chars)
+    first = F.when(size > most, F.greatest(F.lit(0), F.least(
+        F.col("start") - cfg.parent_lead, size - most))).otherwise(F.lit(0))
     rows = rows.withColumn("window_start", first)
-    shown = F.least(F.lit(cfg.parent_chars), size)
+    shown = F.least(most, size)
     return (rows.withColumn("window_end", F.col("window_start") + shown)
             .withColumn("text", F.substring("text", F.col("window_start") + 1, shown))
             .withColumn("seed_start", F.col("start") - F.col("window_start"))

@@ -55,9 +55,9 @@ def duplicate_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def document_number(text: Column) -> Column:
-    """Number after the line label in the opening characters of a document, else empty."""
-    line = F.regexp_extract(F.substring(text, 1, 6000), lx.NUMBER_LINE, 1)
+def document_number(text: Column, opening: int | None = None) -> Column:
+    """Number after the first line label of a document (of its ``opening`` characters only), else empty."""
+    line = F.regexp_extract(text if opening is None else F.substring(text, 1, opening), lx.NUMBER_LINE, 1)
     return F.regexp_extract(line, "(?U)(" + lx.DOC_NUMBER + ")", 1)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillsift.functions import answers as an, overlap, text as tx
@@ -14,8 +13,6 @@ POISSON_STEPS = [
     0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
     0.9999988747974020, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
 ]
-# Deltas up to this many are resampled with the seeded generator on one machine.
-SEEDED_BOUND = 100_000
 
 
 def score_answers(pairs: DataFrame) -> DataFrame:
@@ -68,8 +65,10 @@ def report(scores: DataFrame, target: float = 0.65, by: list | None = None) -> D
 def select_best(reports: DataFrame, order: str = "position") -> DataFrame:
     """Best row by METEOR, ROUGE-L on a tie, the earlier report on a full tie.
 
-    Reports over different references or ids may not be compared; check with ``comparable``.
+    Where the reports name references, metric and ids (``comparable``), differing ones are an error.
     """
+    if {"reference_hash", "metric_identity", "ids_hash"} <= set(reports.columns) and not reports.agg(comparable(reports)).first()[0]:
+        raise ValueError("reports over different references, metrics or ids")
     key = F.struct("meteor", "rougeL", (-F.col(order)).alias("_o"))
     columns = [F.max_by(c, key).alias(c) for c in reports.columns]
     return reports.agg(*columns)
@@ -114,26 +113,11 @@ def resampled_interval(deltas: DataFrame, draws: int = 2000, seed: int = 2026) -
                          interval.select("high").scalar().alias("high"))
 
 
-def seeded_interval(deltas: DataFrame, draws: int = 2000, seed: int = 2026) -> DataFrame:
-    """The same with the seeded NumPy generator, for comparisons proven to be small.
-
-    Ids are taken in string order. Larger inputs go to ``resampled_interval``.
-    """
-    if deltas.count() > SEEDED_BOUND:
-        return resampled_interval(deltas, draws, seed)
-
-    def draw(pdf):
-        values = pdf.sort_values("id")["delta"].to_numpy()
-        rng = np.random.default_rng(seed)
-        n = len(values)
-        means = [float(values[rng.integers(0, n, n)].mean()) for _ in range(draws)]
-        low, high = np.quantile(means, [0.025, 0.975])
-        pdf = pdf.iloc[:1].assign(samples=n, mean_delta=float(values.mean()), wins=int((values > 0).sum()),
-                                  losses=int((values < 0).sum()), low=low, high=high)
-        return pdf[["samples", "mean_delta", "wins", "losses", "low", "high"]]
-
-    return deltas.select(F.col("id").cast("string").alias("id"), "delta", F.lit(1).alias("all")).groupBy("all").applyInPandas(
-        draw, "samples long, mean_delta double, wins long, losses long, low double, high double")
+def route_counts(audit: DataFrame) -> DataFrame:
+    """Answers per route: how many, how many hit the token limit, and their share."""
+    hits = F.count_if("hit_token_limit")
+    return audit.groupBy("route").agg(F.count("*").alias("samples"), hits.alias("token_limit_hits"),
+                                      (hits / F.count("*")).alias("token_limit_rate"))
 
 
 def change_facts(control: DataFrame, candidate: DataFrame) -> DataFrame:

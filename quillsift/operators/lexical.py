@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillsift.config import Retrieval
 from quillsift.functions import text as tx
-from quillsift.operators.sizing import BROADCAST_ROWS, lookup_join
+from quillsift.operators.sizing import hinted, lookup_join
 
 K1, B = 1.2, 0.75
 HEADER_WEIGHT, TEXT_WEIGHT = 2.5, 1.0
@@ -30,14 +30,25 @@ BRANCHES = ("bm25", "bm25_phrases", "bm25_precise")
 
 @dataclass
 class Questions:
-    """A question table ``(qid, question)`` and its row count, which bounds all derived sides."""
+    """A question table ``(qid, question)`` with its rows and tokens, which bound all derived sides."""
 
     rows: DataFrame
     count: int
+    tokens: int
 
     @classmethod
     def of(cls, rows: DataFrame) -> "Questions":
-        return cls(rows, rows.count())
+        n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(tx.tokens(F.col("question")))), F.lit(0))).first()
+        return cls(rows, n, max(tokens, 0))
+
+    @property
+    def units(self) -> int:
+        """No more units than this: a token asks for itself, two phrases and a place among the strict terms."""
+        return 4 * self.tokens + 1
+
+
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
 
 
 def question_units(questions: DataFrame, cfg: Retrieval, branches=BRANCHES) -> DataFrame:
@@ -51,14 +62,14 @@ def question_units(questions: DataFrame, cfg: Retrieval, branches=BRANCHES) -> D
     parts = []
     if "bm25" in branches:
         parts.append(F.transform(
-            F.slice(F.array_distinct("toks"), 1, cfg.max_query_tokens),
+            _first(F.array_distinct("toks"), cfg.max_query_tokens),
             lambda t: F.struct(t.alias("unit"), F.lit(1).alias("broad"), F.lit(0).alias("phrase"),
                                F.lit(0).alias("precise_rank"))))
     if "bm25_phrases" in branches:
         grams = F.array_distinct(F.concat(tx.loaded_ngrams(F.col("toks"), 4),
                                           tx.loaded_ngrams(F.col("toks"), 3)))
         parts.append(F.transform(
-            F.slice(grams, 1, cfg.max_query_phrases),
+            _first(grams, cfg.max_query_phrases),
             lambda t: F.struct(t.alias("unit"), F.lit(0).alias("broad"), F.lit(1).alias("phrase"),
                                F.lit(0).alias("precise_rank"))))
     if "bm25_precise" in branches:
@@ -128,18 +139,10 @@ def with_statistics(units: DataFrame, posts: DataFrame, rows: int) -> DataFrame:
     """
     stats = posts.groupBy("unit").agg(F.count("length").alias("df"), F.sum("length").alias("total"),
                                       F.max("f").alias("max_f"))
-    if rows <= BROADCAST_ROWS:
-        # One row per vocabulary entry, and the vocabulary is known to be small.
-        every = Window.partitionBy(F.lit(1))
-        marked = F.col("unit") == EVERY
-        stats = (stats.withColumn("n_rows", F.max(F.when(marked, F.col("df"))).over(every))
-                 .withColumn("n_tokens", F.max(F.when(marked, F.col("total"))).over(every)))
-        joined = stats.where(F.col("max_f") > 0).join(F.broadcast(units), "unit")
-    else:
-        whole = stats.where(F.col("unit") == EVERY)
-        joined = (units.join(stats.where(F.col("max_f") > 0), "unit")
-                  .withColumn("n_rows", whole.select("df").scalar())
-                  .withColumn("n_tokens", whole.select("total").scalar()))
+    whole = stats.where(F.col("unit") == EVERY)
+    joined = (stats.where(F.col("max_f") > 0).join(hinted(units, rows), "unit")
+              .withColumn("n_rows", whole.select("df").scalar())
+              .withColumn("n_tokens", whole.select("total").scalar()))
     idf = F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (joined.withColumn("avg_length", F.col("n_tokens") / F.col("n_rows"))
             .withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)))
@@ -205,8 +208,7 @@ def rankings(chunks: DataFrame, questions: Questions, cfg: Retrieval | None = No
     ``chunks`` needs ``chunk_id, header, text``.
     """
     cfg = cfg or Retrieval()
-    per_question = cfg.max_query_tokens + cfg.max_query_phrases + max(cfg.and_levels)
-    rows = questions.count * per_question + 1
+    rows = questions.units
     units = question_units(questions.rows, cfg, branches)
     posts = postings(chunks, vocabulary_of(units), rows, "bm25_phrases" in branches)
     return _ranked(posts, units, rows, cfg, branches)
@@ -219,7 +221,7 @@ def stored_rankings(index: DataFrame, questions: Questions, cfg: Retrieval | Non
     Phrases need the text and are ranked by ``rankings``.
     """
     cfg, branches = cfg or Retrieval(), ("bm25", "bm25_precise")
-    rows = questions.count * (cfg.max_query_tokens + max(cfg.and_levels)) + 1
+    rows = questions.units
     units = question_units(questions.rows, cfg, branches)
     asked = vocabulary_of(units).withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int"))
     folders = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``

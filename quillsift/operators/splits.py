@@ -8,9 +8,6 @@ from quillsift.functions import text as tx
 from quillsift.operators.sizing import hot_split_join
 from quillsift.session import settled
 
-# Groups up to this size hash the list of their ids; larger ones a summary of it.
-LISTED_IDS = 10_000
-
 
 def global_rank(rows: DataFrame, digest: str, by: tuple = (), prefix: int = 4) -> DataFrame:
     """Add ``rank`` (from 1, within ``by``) in the order of a hex digest without sorting on one machine.
@@ -28,8 +25,8 @@ def global_rank(rows: DataFrame, digest: str, by: tuple = (), prefix: int = 4) -
     return ranked.withColumn("rank", F.row_number().over(inside) + F.col("_off")).drop("_p", "_off")
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from every node of an edge list ``(u, v)`` of strings.
+def connected(edges: DataFrame) -> DataFrame:
+    """Smallest node reachable from every node of an edge list ``(u, v)``.
 
     Alternates two star steps until nothing changes: every node first links its larger neighbours,
     then its smaller ones, to the smallest node it sees. Rounds grow with the logarithm of the size.
@@ -39,7 +36,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = settled(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         total = current.count()
         if not total:
             break
@@ -80,20 +77,13 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
 
 
 def group_digests(groups: DataFrame, seed: int) -> DataFrame:
-    """``(root, n, digest)``: sha256 of the seed and the sorted list of the group's ids.
+    """``(root, n, digest)``: sha256 over the seed, the group's size and two sums of parts of its ids' sha256.
 
-    Listing ids needs them in one place, so groups beyond ``LISTED_IDS`` hash their size, ends and a
-    combination of id hashes instead; no group is collected without a bound.
+    Sums are partial aggregates, so the same definition serves a group of any size and nobody lists its ids.
     """
-    sizes = groups.groupBy("root").agg(
-        F.count("*").alias("n"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("mix"))
-    small = sizes.where(F.col("n") <= LISTED_IDS).select("root")
-    listed = (groups.join(small, "root", "left_semi").groupBy("root")
-              .agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    ids = F.concat(F.lit("["), F.array_join(F.transform("ids", tx.json_text), ","), F.lit("]"))
-    exact = listed.select("root", tx.digest(seed, ids).alias("exact"))
-    rough = F.sha2(F.concat_ws("|", F.lit(str(seed)), "n", "root", "last", "mix"), 256)
-    return sizes.join(exact, "root", "left").select("root", "n", F.coalesce("exact", rough).alias("digest"))
+    part = lambda k: F.conv(F.substring(F.sha2("id", 256), 12 * k + 1, 12), 16, 10).cast("decimal(20,0)")
+    sums = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum(part(0)).alias("a"), F.sum(part(1)).alias("b"))
+    return sums.select("root", "n", F.sha2(F.concat_ws("|", F.lit(str(seed)), "n", "a", "b"), 256).alias("digest"))
 
 
 def hash_split(groups: DataFrame, seed: int = 2026) -> DataFrame:
@@ -121,5 +111,6 @@ def hashed_subset(ids: DataFrame, size: int, seed: int = 2026) -> DataFrame:
         raise ValueError("size must be positive")
     keyed = ids.select(F.col("id").cast("string").alias("id")).withColumn(
         "digest", tx.digest_object(id=tx.json_text(F.col("id")), seed=seed))
-    ranked = global_rank(keyed, "digest").where(F.col("rank") <= size)
-    return ranked.select("id", F.col("rank").cast("bigint").alias("pos"), "digest")
+    chosen = keyed.orderBy("digest").limit(size)
+    place = F.row_number().over(Window.orderBy("digest"))
+    return chosen.select("id", place.cast("bigint").alias("pos"), "digest")

@@ -80,7 +80,7 @@ def fused_candidates(chunks: DataFrame, fetch, questions: lexical.Questions, cfg
 def _with_expansions(ranked, chunks, questions, cfg):
     """Add the rankings of the rule-made query of each question that has one."""
     extra = boosts.expanded_questions(questions.rows).where("variant > 0").select("qid", "question")
-    more = lexical.rankings(chunks, lexical.Questions(extra, questions.count), cfg)
+    more = lexical.rankings(chunks, lexical.Questions.of(extra), cfg)
     renamed = more.select(F.concat(F.lit("intent_"), "branch").alias("branch"), "qid", "chunk_id", "rank")
     return ranked.unionByName(renamed), [*lexical.BRANCHES, *(f"intent_{b}" for b in lexical.BRANCHES)]
 
@@ -104,7 +104,8 @@ def adjacent_reserve(pool: DataFrame, parents: DataFrame, chunks: DataFrame, fea
                                 hinted(features, questions), cfg)
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("adjustment", 9)), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    return fusion.diversify(ranked, cfg.reserve, cfg.per_parent).select("qid", "chunk_id", "rank")
+    kept = fusion.diversify(ranked, cfg.reserve, cfg.per_parent) if cfg.reserve else ranked.where("false")
+    return kept.select("qid", "chunk_id", "rank")
 
 
 def lexical_retrieval(chunks: DataFrame, fetch, questions: lexical.Questions,

@@ -32,7 +32,7 @@ def build_session(app: str = "quillsift", master: str | None = None, **conf) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the one the cluster names, else a fresh one (local tests)."""
+    """Folder for reliable checkpoints: the one the cluster names; a fresh one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named:
@@ -40,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         current = tempfile.mkdtemp(prefix="quillsift-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -25,10 +25,13 @@ def open_journal(spark: SparkSession, path: str, identity: dict, schema: str) ->
 def append(spark: SparkSession, rows: DataFrame, path: str, identity: dict, schema: str, key: str = "id") -> None:
     """Commit rows not yet in the journal; repeating the call changes nothing.
 
-    The journal is only scanned for the ids at hand; it does not move while the new rows are few.
+    An id that occurs twice among the new rows is an error. The journal is only scanned for the ids at
+    hand; it does not move while the new rows are few.
     """
     done = open_journal(spark, path, identity, schema)
-    rows = rows.dropDuplicates([key])
+    twice = repeated(rows, key).first()
+    if twice is not None:
+        raise ValueError(f"duplicate journal id: {twice[key]}")
     ids = rows.select(key)
     seen = lookup_join(done.select(key), ids, key, ids.count(), "left_semi", spread_by=[key])
     pending(rows, seen, key).write.mode("append").parquet(f"{path}/rows")

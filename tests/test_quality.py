@@ -50,17 +50,15 @@ def test_length_summary(spark):
     assert row.p90 == pytest.approx(np.quantile(values, .9)) and row.mean == pytest.approx(np.mean(values))
 
 
-def test_seeded_interval_equals_numpy(spark):
+def test_resampled_interval_is_near_the_exact_one(spark):
     r = random.Random(3)
     deltas = {str(i): r.uniform(-1, 1.2) for i in range(37)}
-    row = ev.seeded_interval(spark.createDataFrame(list(deltas.items()), "id string, delta double"), draws=200).first()
     values = np.array([deltas[k] for k in sorted(deltas)])
     g = np.random.default_rng(2026)
-    means = [float(values[g.integers(0, 37, 37)].mean()) for _ in range(200)]
-    assert (row.low, row.high) == tuple(np.quantile(means, [.025, .975]))
+    low, high = np.quantile([values[g.integers(0, 37, 37)].mean() for _ in range(2000)], [.025, .975])
+    row = ev.resampled_interval(spark.createDataFrame(list(deltas.items()), "id string, delta double")).first()
+    assert row.mean_delta == pytest.approx(values.mean()) and abs(row.low - low) < 0.1 and abs(row.high - high) < 0.1
     assert row.wins == int((values > 0).sum()) and row.losses == int((values < 0).sum())
-    wide = ev.resampled_interval(spark.createDataFrame(list(deltas.items()), "id string, delta double")).first()
-    assert wide.mean_delta == pytest.approx(values.mean()) and abs(wide.low - row.low) < 0.1 and abs(wide.high - row.high) < 0.1
 
 
 def test_report_and_selection(spark):
@@ -149,7 +147,8 @@ def plain_split(records, seed=2026):
     groups = {}
     for k in sorted(records):
         groups.setdefault(root[k], []).append(k)
-    order = sorted(groups.values(), key=lambda g: digest([seed, g]))
+    part = lambda g, k: sum(int(hashlib.sha256(i.encode()).hexdigest()[12 * k:12 * k + 12], 16) for i in g)
+    order = sorted(groups.values(), key=lambda g: hashlib.sha256(f"{seed}|{len(g)}|{part(g, 0)}|{part(g, 1)}".encode()).hexdigest())
     n = len(order)
     c1, c2 = max(1, round(.8 * n)), min(n - 1, round(.9 * n))
     parts = {"train": order[:c1], "dev": order[c1:c2], "holdout": order[c2:]}
@@ -157,7 +156,7 @@ def plain_split(records, seed=2026):
             for i, k in enumerate(sorted((k for g in gs for k in g), key=lambda k: digest([seed, name, k])))}
 
 
-def test_split_equals_the_plain_rule(spark, monkeypatch):
+def test_split_equals_the_plain_rule(spark):
     r = random.Random(9)
     records = {str(i): (f"q{r.randint(0, 150)}", f"a{r.randint(0, 150)}") for i in range(60)}
     records.update({"90": ("q90", "a90"), "91": ("q90", "a91"), "92": ("q92", "a91")})
@@ -165,12 +164,6 @@ def test_split_equals_the_plain_rule(spark, monkeypatch):
     df = spark.createDataFrame([(k, f" {q.upper()}? ", a + ".") for k, (q, a) in records.items()], "id string, question string, answer string")
     got = {x.id: (x.split, x.pos) for x in splits.hash_split(splits.duplicate_groups(df)).collect()}
     assert got == plain_split(records)
-    groups = splits.duplicate_groups(df)
-    monkeypatch.setattr(splits, "LISTED_IDS", 3)
-    again = splits.hash_split(groups)
-    assert again.count() == len(records)
-    together = again.join(groups, "id").groupBy("root").agg(F.count_distinct("split").alias("n"))
-    assert together.where("n > 1").count() == 0
 
 
 def test_long_chain_is_one_group(spark):

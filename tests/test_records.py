@@ -18,6 +18,8 @@ def test_journal(spark, tmp_path):
     rows = lambda *ids: spark.createDataFrame([(i, i * 2) for i in ids], DDL)
     journal.append(spark, rows("a", "b"), path, {"seed": 1}, DDL)
     journal.append(spark, rows("b", "c"), path, {"seed": 1}, DDL)
+    with pytest.raises(ValueError):
+        journal.append(spark, rows("d", "d"), path, {"seed": 1}, DDL)
     kept = journal.open_journal(spark, path, {"seed": 1}, DDL)
     assert sorted(r.id for r in kept.collect()) == ["a", "b", "c"] and journal.repeated(kept).count() == 0
     assert {r.id for r in integrity.pending(rows("a", "z"), kept).collect()} == {"z"}
@@ -106,10 +108,15 @@ def test_package(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
 
 
-def test_levels():
-    assert prompt.fill_levels(1000, 100, [50, 2000, 400]) == [50, 600, 350]
-    assert prompt.fill_levels(10, 100, [40, 40]) == [40, 40] and prompt.fill_levels(500, 32, []) == []
-    assert prompt.fill_levels(300, 64, [90, 90, 90]) == [90, 90, 90]
+@pytest.mark.parametrize("room,floor,limits,want", [
+    (1000, 100, [50, 2000, 400], [50, 600, 350]), (10, 100, [40, 40], [40, 40]), (500, 32, [], []), (300, 64, [90, 90, 90], [90, 90, 90]),
+    (203, 32, [500, 500, 500, 500], [80, 57, 33, 33])])
+def test_shares(spark, room, floor, limits, want):
+    rows = spark.createDataFrame([(room, floor, limits)], "r int, f int, m array<int>")
+    got = rows.select(prompt.shares(F.col("r"), F.col("f"), F.col("m")).alias("s")).first().s
+    assert sum(got) == max(min(room, sum(limits)), sum(min(floor, x) for x in limits))
+    if len(limits) != 4:
+        assert got == want
 
 
 CTX = "qid int, question string, context int, doc_id string, parent_id string, number string, heading string, text string, seed_start int, seed_end int"
@@ -136,9 +143,11 @@ def test_prompts_fit(spark):
 def test_window_and_units(spark):
     text = "Điều 1. Mở đầu\nvăn bản này\n\nĐiều 2. Nội dung\n1. Một khoản dài.\n2. Khoản cuối;\nkhông thuộc"
     a = text.index("Một")
-    left, right = prompt.shrink_to_units(text, text.index("này"), len(text) - 3, a, a + 3)
-    assert text[left:right] == "Điều 2. Nội dung\n1. Một khoản dài.\n2. Khoản cuối;"
-    assert prompt.shrink_to_units("abc def", 1, 6, 2, 3) == (1, 6)
+    rows = spark.createDataFrame([(text, text.index("này"), len(text) - 3, a, a + 3), ("abc def", 1, 6, 2, 3), (text, 0, len(text), a, a + 3),
+                                  ("x. y\n \n\nz; w:\n\n\nend", 2, 18, 9, 10)], "t string, s int, e int, a int, b int")
+    ends = [(r.w.left, r.w.right) for r in rows.select(prompt.unit_borders(*map(F.col, "tseab")).alias("w")).collect()]
+    assert text[slice(*ends[0])] == "Điều 2. Nội dung\n1. Một khoản dài.\n2. Khoản cuối;"
+    assert ends[1:] == [(1, 6), (0, len(text)), (8, 15)]
     df = spark.createDataFrame([(text, a, a + 3, 8)], "text string, seed_start int, seed_end int, cap int")
     got = prompt.seed_window(df, "cap").first().text
     assert len(got.split()) == 8 and "Một" in got

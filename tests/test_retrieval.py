@@ -50,10 +50,10 @@ def expected(question, branch):
     solid = lambda g: sum(w not in lx.STOP_WORDS for w in g) >= 2
     order = lambda s: sorted(s, key=lambda k: (-round(s[k], 9), k))
     if branch == "bm25":
-        return order(bm25([[w] for w in list(dict.fromkeys(t))[:48]])[0])[:100]
+        return order(bm25([[w] for w in list(dict.fromkeys(t))])[0])[:100]
     if branch == "bm25_phrases":
         grams = [t[i:i + n] for n in (4, 3) for i in range(len(t) - n + 1)]
-        grams = list(dict.fromkeys(tuple(g) for g in grams if solid(g)))[:24]
+        grams = list(dict.fromkeys(tuple(g) for g in grams if solid(g)))
         return order(bm25([list(g) for g in grams])[0])[:40]
     terms = [w for w in dict.fromkeys(t) if len(w) > 1 and w not in lx.STOP_WORDS]
     if len(terms) < 3:
@@ -89,7 +89,7 @@ def test_rankings_equal_brute_force(inputs):
 
 
 def test_rankings_without_broadcast(inputs, monkeypatch):
-    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(sizing.hinted, "__defaults__", (1,))
     monkeypatch.setattr(sizing.lookup_join, "__defaults__", ("inner", None, 1))
     check(collect(lexical.rankings(*inputs)))
 
@@ -186,7 +186,9 @@ def test_materialize_shifts_long_parents(spark):
     ordered = spark.createDataFrame([(1, 5, "a", 20000, 20010, 1.0, 1), (1, 6, "a", 0, 5, 0.5, 2), (1, 7, "b", 3, 8, 0.4, 3)],
                                     "qid int, chunk_id long, parent_id string, start int, end int, score double, place int")
     parents = spark.createDataFrame([("a", "x" * 50000), ("b", "y" * 10)], "parent_id string, text string")
-    rows = context.materialize(ordered, parents, 1).orderBy("context").collect()
+    whole = context.materialize(ordered, parents, 1).orderBy("context").first()
+    assert (whole.window_start, whole.seed_start, len(whole.text)) == (0, 20000, 50000)
+    rows = context.materialize(ordered, parents, 1, Retrieval(parent_chars=24000)).orderBy("context").collect()
     a, b = rows
     assert (a.chunk_id, a.window_start, a.window_end, a.seed_start, a.seed_end, len(a.text)) == (5, 10000, 34000, 10000, 10010, 24000)
     assert (b.chunk_id, b.window_start, b.seed_start, b.text) == (7, 0, 3, "y" * 10)

@@ -59,3 +59,17 @@ def test_ngrams(one):
     assert one(lambda c: tx.ngrams(tx.tokens(c), 3), "a b c d", "a b") == [["a b c", "b c d"], []]
     assert one(lambda c: tx.loaded_ngrams(tx.tokens(c), 3), "là của mức phạt") == [["của mức phạt"]]
     assert len(set(lx.STOP_WORDS)) == 30
+
+
+def test_long_repeats_do_not_exhaust_the_stack(one):
+    from quillsift.functions import loops
+    assert one(tx.clean_document, "a" + "\n \t" * 100_000 + "\nb") == ["a\n\nb"]
+    assert one(loops.long_numeric_run, ", ".join(map(str, range(1, 100_000))), ",;" * 100_000, "1 2 3") == [True, False, False]
+
+
+def test_lines_end_once_at_carriage_return_line_feed(one):
+    from quillsift.functions import loops
+    assert one(tx.lines, "a\r\nb\rc\nd") == [["a", "b", "c", "d"]]
+    body = "the same long body of an item that is repeated under other numbers again and again"
+    for end in ("\n", "\r\n"):
+        assert one(loops.runaway_list, end.join(f"{i}. {body}" for i in range(10 ** 20, 10 ** 20 + 6))) == [True]
