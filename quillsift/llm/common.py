@@ -129,8 +129,15 @@ class WordScanner:
         return start, np.flatnonzero(stops) + 1, np.searchsorted(offsets, start, "right") - 1
 
     def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
+        """Hashes of word spans, block by block, so that memory does not grow with the text."""
+        out, i = np.empty(len(start), np.uint64), 0
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.values[data] * self.powers[:len(data)], out=sums[1:])
-            return mix64((sums[end] - sums[start]) * self.inverses[start])
+            while i < len(start):
+                j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE_BYTES, "right")))
+                low, high = start[i], end[j - 1]
+                self._grow(high - low + 1)
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(self.values[data[low:high]] * self.powers[:high - low], out=sums[1:])
+                out[i:j] = mix64((sums[end[i:j] - low] - sums[start[i:j] - low]) * self.inverses[start[i:j] - low])
+                i = j
+        return out

@@ -268,10 +268,13 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Scor
         prior = float(toxic.mean()) if len(toxic) else 0.0
     if len(set(toxic.tolist())) < 2:
         return Scorer(None, prior)
-    data = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    joined = np.frombuffer(b"".join(data), np.uint8)
-    start, end, hashes, bounds = words_of(joined, offsets)
+    parts, words, size = [], 0, 0
+    for _, _, data, offsets in pieces(pa.array(texts, pa.large_string()), lower=str.lower):
+        start, end, hashes, bounds = words_of(data, offsets)
+        parts.append((data, start + size, end + size, hashes, bounds[:-1] + words))
+        words, size = words + len(start), size + len(data)
+    joined, start, end, hashes, bounds = map(np.concatenate, zip(*parts))
+    bounds = np.append(bounds, words)
     distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     back = back.reshape(-1)
     seen = Counter()
