@@ -9,6 +9,14 @@ bucket - the member whose buckets are largest overall (the text the others were
 buckets are smallest, and a random one - so candidates stay below centres times members for any bucket size.
 Candidates are confirmed on full sets, links are closed into components.
 
+Stars alone could part two similar members of a bucket whose centres resemble neither. So every bucket that still
+holds several components is opened again: ``CENTRES`` further members outside its largest component become centres
+and meet the members of the other components. These rounds go on until one finds no link any more; a bucket whose
+copies are together takes no part, and a round yields below ``CENTRES`` pairs a member.
+
+Pairs of unlike texts are settled without their sets. Sizes must allow the similarity; then sketches, the number of
+shingles in each bin and one byte of its minimum, bound the intersection from above. Both tests drop no similar pair.
+
 Repeated rows fall into one class. Rows without id are never linked: their component is null and they are
 kept. Of rows that share an id each is judged by its own text. Extra columns do not matter.
 """
@@ -17,9 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillsift.llm.common import WordScanner, mix64, pieces, seeded64
+from quillsift.operators.sizing import hot_split_join
 from quillsift.operators.splits import connected
 from quillsift.session import settled
 
@@ -28,6 +37,10 @@ BINS, ROWS = 125, 5
 BANDS = BINS // ROWS
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 80
+#: New centres of a bucket in every round after the stars.
+CENTRES = 4
+#: Largest count of a bin that a sketch can hold; a pair with such a bin is always compared on full sets.
+FULL = 255
 
 _EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _ORDER = np.array([np.argsort(seeded64(100 + i, BINS)) for i in range(BINS)])
@@ -76,18 +89,47 @@ def buckets(sign: np.ndarray) -> np.ndarray:
         return mix64(rolled + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles per bin (one byte each), then the last byte of every bin's minimum (0 where it is empty)."""
+    at = np.searchsorted(shingles, _EDGES)
+    size = np.diff(np.append(at, len(shingles)))
+    low = np.where(size > 0, shingles[np.minimum(at, len(shingles) - 1)].astype(np.uint8), 0)
+    return np.minimum(size, FULL).astype(np.uint8).tobytes() + low.astype(np.uint8).tobytes()
+
+
+def possible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs of sketches (rows of bytes) that may reach the threshold; False is certain.
+
+    Two sets share at most the smaller count of a bin, and one less where the counts are equal but the minima differ.
+    """
+    a, b = left[:, :BINS].astype(np.int64), right[:, :BINS].astype(np.int64)
+    differ = (a == b) & (left[:, BINS:] != right[:, BINS:])
+    common = (np.minimum(a, b) - differ).sum(1)
+    full = ((a == FULL) | (b == FULL)).any(1)
+    return full | (100 * common >= SHARE * (a.sum(1) + b.sum(1) - common))
+
+
+def _sieve(batches):
+    rows = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * BINS)
+    for batch in batches:
+        keep = possible(rows(batch.column("u_sketch")), rows(batch.column("v_sketch")))
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sign(batches):
     for batch in batches:
-        n, low, high, bands = [], [], [], []
+        n, low, high, bands, sketches = [], [], [], [], []
         with np.errstate(over="ignore"):
             for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 low.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 high.append(int(mix64(s + np.uint64(77)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 bands.append(buckets(signature(s)) if len(s) else None)
+                sketches.append(sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+             pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
 
 def _sets(batches):
@@ -112,37 +154,85 @@ def _confirm(batches):
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """``(centre, member)`` candidates from ``(doc, bucket)`` rows; a bucket of k members yields below 3 k."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    shared = settled(members.join(sizes, "bucket"))
-    popular = shared.groupBy("doc").agg(F.sum("c").alias("weight"))
-    ranked = settled(shared.select("doc", "bucket").join(popular, "doc"))
+    """Distinct candidates ``(u, v)`` from ``(doc, n, bucket, c)``; a bucket of c members yields below 3 c."""
+    popular = members.groupBy("doc").agg(F.sum("c").alias("weight"))
+    ranked = settled(members.select("doc", "n", "bucket").join(popular, "doc"))
     central, random = F.struct("weight", -F.col("doc")), F.struct(F.xxhash64("doc", "bucket"), "doc")
+    row = F.struct(F.col("doc").alias("centre"), F.col("n").alias("centre_n"))
     centres = ranked.groupBy("bucket").agg(F.array_distinct(F.array(
-        F.max_by("doc", central), F.min_by("doc", central), F.min_by("doc", random))).alias("centres"))
-    pairs = ranked.select("doc", "bucket").join(centres, "bucket").select(
-        F.explode("centres").alias("centre"), F.col("doc").alias("member")).where("centre <> member")
-    return pairs.groupBy(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b")).agg(
-        F.first("centre").alias("centre"), F.first("member").alias("member")).select("centre", "member")
+        F.max_by(row, central), F.min_by(row, central), F.min_by(row, random))).alias("centres"))
+    pairs = ranked.select("doc", "n", "bucket").join(centres, "bucket").select("doc", "n", F.inline("centres"))
+    return _ordered(pairs)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    sizes = 100 * F.least("n", "centre_n") >= SHARE * F.greatest("n", "centre_n")
+    return pairs.where("centre <> doc").where(sizes).select(
+        F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
+
+
+def _beside(pairs: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """Join a row of ``side`` to every pair; a document in very many pairs does not end in one task."""
+    weights = pairs.groupBy(on).agg(F.count("*").alias("_n"))
+    total = pairs.count()
+    return hot_split_join(pairs, side.withColumnRenamed("doc", on).join(weights, on), on, "_n", total).drop("_n")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidates ``(u, v)`` whose full sets are similar."""
+    sketches = classes.select("doc", "sketch")
+    both = _beside(_beside(pairs, sketches.withColumnRenamed("sketch", "u_sketch"), "u"),
+                   sketches.withColumnRenamed("sketch", "v_sketch"), "v")
+    likely = settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
+    wanted = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary")
+    sets = settled(sets.withColumnRenamed("doc_id", "doc"))
+    loaded = likely.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("left_set")), "v").join(
+        sets.select(F.col("doc").alias("u"), F.col("shingles").alias("right_set")), "u")
+    return settled(loaded.select("u", "v", "left_set", "right_set").mapInArrow(_confirm, "u bigint, v bigint"))
+
+
+def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(node, root)`` of all classes linked with others, from ``(doc, n, bucket)``."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = settled(members.join(sizes, "bucket"))
+    tested = settled(stars(members))
+    links = confirmed(tested, texts, classes)
+    served = None
+    while True:
+        roots = settled(connected(links))
+        placed = members.select("doc", "n", "bucket").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+            "root", F.coalesce("root", "doc"))
+        counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        split = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts"))
+        members = settled(placed.join(split.where("parts > 1"), "bucket").select("doc", "n", "bucket", "root", "largest"))
+        waiting = members.where("root <> largest")
+        if served is not None:
+            waiting = waiting.join(served, ["bucket", "doc"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc", "bucket"), "doc"))
+        centres = settled(waiting.withColumn("turn", turn).where(F.col("turn") <= CENTRES).select(
+            "bucket", F.col("doc").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root")))
+        pairs = _ordered(members.join(centres, "bucket").where("root <> centre_root"))
+        pairs = settled(pairs.join(tested, ["u", "v"], "left_anti"))
+        more = confirmed(pairs, texts, classes)
+        if more.isEmpty():
+            return roots
+        links = links.unionByName(more)
+        tested = tested.unionByName(pairs)
+        now = centres.select("bucket", F.col("centre").alias("doc"))
+        served = now if served is None else served.unionByName(now)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents(doc_id, text)``."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = settled(texts.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+    signed = settled(texts.mapInArrow(
+        _sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = settled(classes)
-    pairs = settled(stars(classes.select("doc", F.explode("bands").alias("bucket"))))
-    wanted = pairs.select(F.explode(F.array("centre", "member")).alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary")
-    sets = settled(sets)
-    loaded = pairs.join(sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("left_set")), "member").join(
-        sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("right_set")), "centre")
-    links = loaded.select(F.col("centre").alias("u"), F.col("member").alias("v"), "left_set", "right_set").mapInArrow(
-        _confirm, "u bigint, v bigint")
-    roots = connected(links).select(F.col("node").alias("doc"), F.col("root").alias("root"))
-    found = classes.select("d1", "d2", "doc", "copies").join(roots, "doc", "left").where(
+    roots = linked(classes.select("doc", "n", F.explode("bands").alias("bucket")), texts, classes)
+    found = classes.select("d1", "d2", "doc", "copies").join(roots.withColumnRenamed("node", "doc"), "doc", "left").where(
         "copies > 1 or root is not null").select("d1", "d2", F.coalesce("root", "doc").alias("root"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("root"), F.col("doc_id"))).otherwise(F.col("doc_id"))

@@ -66,6 +66,36 @@ def test_near_duplicates_of_a_chain_and_a_star(spark):
     check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
 
 
+def test_near_duplicates_among_texts_that_share_a_passage(spark):
+    """Buckets of texts just below the threshold, with a few pairs above it hidden among them."""
+    draw = random.Random(6)
+    passage, rows = [f"p{draw.randint(0, 9999)}" for _ in range(260)], []
+    for i in range(150):
+        own = [f"u{i}x{k}" for k in range(draw.choice([35, 40, 60]))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 15 == 0:
+            copy = passage + own
+            copy[7] = copy[-20] = f"c{i}"
+            rows.append((1000 + i, " ".join(copy)))
+    check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
+def test_sketches_lose_no_similar_pair():
+    draw = np.random.default_rng(3)
+    for n in (1, 3, 40, 500, 9000, 60_000):
+        base = draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        for share in (0.0, 0.05, 0.1, 0.12, 0.5, 1.0):
+            swap = int(share * n)
+            other = np.concatenate([base[swap:], draw.integers(0, 1 << 63, swap).astype(np.uint64) * np.uint64(2)])
+            a, b = np.unique(base), np.unique(other)
+            both = len(np.intersect1d(a, b))
+            row = lambda s: np.frombuffer(minhash.sketch(s), np.uint8)[None, :]
+            may = minhash.possible(row(a), row(b))[0]
+            assert may or 100 * both < 80 * (len(a) + len(b) - both)
+            if share == 1.0 and n in (40, 500):
+                assert not may
+
+
 def test_near_duplicates_odd_input(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     found = defaultdict(list)
