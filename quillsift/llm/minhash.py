@@ -9,10 +9,12 @@ bucket - the member whose buckets are largest overall (the text the others were
 buckets are smallest, and a random one - so candidates stay below centres times members for any bucket size.
 Candidates are confirmed on full sets, links are closed into components.
 
-Stars alone could part two similar members of a bucket whose centres resemble neither. So every bucket that still
-holds several components is opened again: ``CENTRES`` further members outside its largest component become centres
-and meet the members of the other components. These rounds go on until one finds no link any more; a bucket whose
-copies are together takes no part, and a round yields below ``CENTRES`` pairs a member.
+Stars alone could part two similar members of a bucket whose centres resemble neither. So the members of every bucket
+that still holds several components are searched exactly, by their rarest shingles: two similar sets, each sorted by
+one common order, share a shingle within the first ninth of the smaller and the first fifth of the larger one. The
+order puts shingles first that fall into rarely used slots of a histogram of fixed size, so texts drawn from one
+source meet only where they share what few others have. Positions bound the intersection before a pair is formed and
+pairs of one component are left out. No pair that shares a bucket is lost, and no bucket is opened pair by pair.
 
 Pairs of unlike texts are settled without their sets. Sizes must allow the similarity; then sketches, the number of
 shingles in each bin and one byte of its minimum, bound the intersection from above. Both tests drop no similar pair.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.common import WordScanner, mix64, pieces, seeded64
 from quillsift.operators.sizing import hot_split_join
@@ -37,8 +39,8 @@ BINS, ROWS = 125, 5
 BANDS = BINS // ROWS
 #: Links need 100 * intersection >= SHARE * union.
 SHARE = 80
-#: New centres of a bucket in every round after the stars.
-CENTRES = 4
+#: Slots of the histogram that orders shingles by frequency; its counts (4 bytes each) are what tasks receive.
+SLOT_BITS = 20
 #: Largest count of a bin that a sketch can hold; a pair with such a bin is always compared on full sets.
 FULL = 255
 
@@ -138,6 +140,42 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
+def _rooted_sets(batches):
+    for batch in batches:
+        sets = list(shingle_sets(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc"), batch.column("root"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "root", "n", "shingles"])
+
+
+def _slots(batches):
+    for batch in batches:
+        every = np.concatenate([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")] or [np.zeros(0, np.uint64)])
+        slot, c = np.unique((every >> np.uint64(64 - SLOT_BITS)).astype(np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(c, pa.int64())], ["slot", "c"])
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that may be the first one shared with a similar set, and their places in the order of rarity."""
+    n = len(shingles)
+    use = counts[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    at = np.lexsort((shingles, use))[:n - (-(-SHARE * n // 100)) + 1]
+    place = np.flatnonzero(use[at] > 1)
+    return shingles[at[place]], place
+
+
+def _prefixes(counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found = [prefix(np.frombuffer(s.as_buffer(), np.uint64), counts) for s in batch.column("shingles")]
+            row = np.repeat(np.arange(len(found)), [len(p) for _, p in found])
+            flat = lambda k, kind: np.concatenate([f[k] for f in found] or [np.zeros(0, kind)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat(0, np.uint64).view(np.int64)), pa.array(flat(1, np.int64).astype(np.int32), pa.int32()),
+                 *(batch.column(c).take(pa.array(row)) for c in ("doc", "n", "root"))], ["shingle", "place", "doc", "n", "root"])
+    return run
+
+
 def _confirm(batches):
     for batch in batches:
         keep = []
@@ -162,15 +200,33 @@ def stars(members: DataFrame) -> DataFrame:
     centres = ranked.groupBy("bucket").agg(F.array_distinct(F.array(
         F.max_by(row, central), F.min_by(row, central), F.min_by(row, random))).alias("centres"))
     pairs = ranked.select("doc", "n", "bucket").join(centres, "bucket").select("doc", "n", F.inline("centres"))
-    return _ordered(pairs)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
     sizes = 100 * F.least("n", "centre_n") >= SHARE * F.greatest("n", "centre_n")
     return pairs.where("centre <> doc").where(sizes).select(
         F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
 
 
+def by_rarity(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct candidates ``(u, v)`` of different roots among ``(doc, root)``; every similar pair is one of them."""
+    sets = texts.withColumnRenamed("doc_id", "doc").join(placed, "doc").mapInArrow(
+        _rooted_sets, "doc bigint, root bigint, n bigint, shingles binary")
+    sets = settled(sets)
+    shared = sets.select("shingles").mapInArrow(_slots, "slot int, c bigint").groupBy("slot").agg(
+        F.sum("c").alias("c")).where("c > 1").toArrow()
+    counts = np.ones(1 << SLOT_BITS, np.uint32)
+    counts[shared.column("slot").to_numpy()] = np.minimum(shared.column("c").to_numpy(), (1 << 32) - 1)
+    heads = settled(sets.mapInArrow(_prefixes(counts), "shingle bigint, place int, doc bigint, n bigint, root bigint"))
+    mixed = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    heads = heads.join(mixed.select("shingle"), "shingle", "left_semi")
+    need = F.ceil(2 * SHARE * F.col("n") / (100 + SHARE))
+    small = heads.where(F.col("place") <= F.col("n") - need).select("shingle", *(F.col(c).alias(f"s_{c}") for c in ("place", "doc", "n", "root")))
+    rest = F.least(F.col("n") - F.col("place"), F.col("s_n") - F.col("s_place"))
+    pairs = small.join(heads, "shingle").where("s_root <> root").where(
+        F.struct("s_n", "s_doc") < F.struct("n", "doc")).where(
+        100 * F.col("s_n") >= SHARE * F.col("n")).where(
+        (100 + SHARE) * rest >= SHARE * (F.col("n") + F.col("s_n")))
+    return pairs.select(F.least("s_doc", "doc").alias("u"), F.greatest("s_doc", "doc").alias("v")).distinct()
+
+
 def _beside(pairs: DataFrame, side: DataFrame, on: str) -> DataFrame:
     """Join a row of ``side`` to every pair; a document in very many pairs does not end in one task."""
     weights = pairs.groupBy(on).agg(F.count("*").alias("_n"))
@@ -178,12 +234,16 @@ def _beside(pairs: DataFrame, side: DataFrame, on: str) -> DataFrame:
     return hot_split_join(pairs, side.withColumnRenamed("doc", on).join(weights, on), on, "_n", total).drop("_n")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """The candidates ``(u, v)`` whose full sets are similar."""
+def sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidates ``(u, v)`` whose sketches allow the similarity."""
     sketches = classes.select("doc", "sketch")
     both = _beside(_beside(pairs, sketches.withColumnRenamed("sketch", "u_sketch"), "u"),
                    sketches.withColumnRenamed("sketch", "v_sketch"), "v")
-    likely = settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
+    return settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
+
+
+def confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidates ``(u, v)`` whose full sets are similar."""
     wanted = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary")
     sets = settled(sets.withColumnRenamed("doc_id", "doc"))
@@ -196,31 +256,14 @@ def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     """``(node, root)`` of all classes linked with others, from ``(doc, n, bucket)``."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = settled(members.join(sizes, "bucket"))
-    tested = settled(stars(members))
-    links = confirmed(tested, texts, classes)
-    served = None
-    while True:
-        roots = settled(connected(links))
-        placed = members.select("doc", "n", "bucket").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-            "root", F.coalesce("root", "doc"))
-        counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        split = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count("*").alias("parts"))
-        members = settled(placed.join(split.where("parts > 1"), "bucket").select("doc", "n", "bucket", "root", "largest"))
-        waiting = members.where("root <> largest")
-        if served is not None:
-            waiting = waiting.join(served, ["bucket", "doc"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc", "bucket"), "doc"))
-        centres = settled(waiting.withColumn("turn", turn).where(F.col("turn") <= CENTRES).select(
-            "bucket", F.col("doc").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root")))
-        pairs = _ordered(members.join(centres, "bucket").where("root <> centre_root"))
-        pairs = settled(pairs.join(tested, ["u", "v"], "left_anti"))
-        more = confirmed(pairs, texts, classes)
-        if more.isEmpty():
-            return roots
-        links = links.unionByName(more)
-        tested = tested.unionByName(pairs)
-        now = centres.select("bucket", F.col("centre").alias("doc"))
-        served = now if served is None else served.unionByName(now)
+    links = confirmed(sieved(settled(stars(members)), classes), texts)
+    roots = settled(connected(links))
+    placed = members.select("doc", "bucket").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+        "root", F.coalesce("root", "doc"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = placed.join(split.select("bucket"), "bucket", "left_semi").select("doc", "root").distinct()
+    more = confirmed(settled(by_rarity(apart, texts)), texts)
+    return roots if more.isEmpty() else settled(connected(links.unionByName(more)))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillsift.llm import html_main, minhash, mixing, topk, warc
 
@@ -96,6 +97,36 @@ def test_sketches_lose_no_similar_pair():
                 assert not may
 
 
+def test_shared_source_with_many_unlike_texts(spark):
+    """Texts that share half of one source meet in the same buckets; the similar ones among them are all found."""
+    rng = random.Random(5)
+    source = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        text = list(source)
+        for at in range(0, 120, rng.choice([9, 14, 20])):
+            text[at] = f"x{i if i % 3 else rng.randrange(3)}_{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_groups(docs)
+    assert 20 < docs.join(minhash.near_duplicates(docs).where("kept"), "doc_id").count() < 215
+
+
+def test_rare_shingles_find_every_similar_pair(spark, documents):
+    """Without buckets or links before, the search by rarity alone proposes every similar pair, and few others."""
+    texts = documents.select("doc_id", "text").dropDuplicates(["text"])
+    rows = {r.doc_id: shingles(r.text) for r in texts.collect()}
+    placed = texts.where("text is not null").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("root"))
+    found = {(r.u, r.v) for r in minhash.by_rarity(placed, texts).collect()}
+    ids, similar = sorted(rows), set()
+    for i, u in enumerate(ids):
+        for v in ids[i + 1:]:
+            a, b = rows[u], rows[v]
+            if a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                similar.add((u, v))
+    assert similar and similar <= found
+
+
 def test_near_duplicates_odd_input(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     found = defaultdict(list)
