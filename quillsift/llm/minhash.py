@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.common import WordScanner, mix64, pieces, seeded64
-from quillsift.operators.sizing import hot_split_join
+from quillsift.operators.sizing import hinted, hot_split_join
 from quillsift.operators.splits import connected
 from quillsift.session import settled
 
@@ -41,6 +41,8 @@ BANDS = BINS // ROWS
 SHARE = 80
 #: Slots of the histogram that orders shingles by frequency; its counts (4 bytes each) are what tasks receive.
 SLOT_BITS = 20
+#: Ids (with at most one more bigint each) that a join may send to every task; beyond it both sides are shuffled.
+LOOKUP_IDS = 1_000_000
 #: Largest count of a bin that a sketch can hold; a pair with such a bin is always compared on full sets.
 FULL = 255
 
@@ -136,16 +138,10 @@ def _sign(batches):
 
 def _sets(batches):
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-
-def _rooted_sets(batches):
-    for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
+        sets, given = list(shingle_sets(batch.column("text"))), [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("root"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "root", "n", "shingles"])
+            [*(batch.column(c) for c in given), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([s.tobytes() for s in sets], pa.binary())], [*given, "n", "shingles"])
 
 
 def _slots(batches):
@@ -205,15 +201,25 @@ def stars(members: DataFrame) -> DataFrame:
         F.least("centre", "doc").alias("u"), F.greatest("centre", "doc").alias("v")).distinct()
 
 
-def by_rarity(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct candidates ``(u, v)`` of different roots among ``(doc, root)``; every similar pair is one of them."""
-    sets = texts.withColumnRenamed("doc_id", "doc").join(placed, "doc").mapInArrow(
-        _rooted_sets, "doc bigint, root bigint, n bigint, shingles binary")
-    sets = settled(sets)
+def sets_of(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """``named`` (doc and other bigint columns) with ``n`` and ``shingles``, the full set of the text.
+
+    The texts stay where they are read while the named ids are few enough to be sent to every task.
+    """
+    named = settled(named)
+    side = hinted(named, named.count(), LOOKUP_IDS)
+    rows = texts.withColumnRenamed("doc_id", "doc").join(side, "doc").select(*named.columns, "text")
+    kinds = ", ".join(f"{c} bigint" for c in (*named.columns, "n"))
+    return settled(rows.mapInArrow(_sets, f"{kinds}, shingles binary"))
+
+
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """Distinct candidates ``(u, v)`` of different roots among ``(doc, root, n, shingles)``; none that is similar is missed."""
     shared = sets.select("shingles").mapInArrow(_slots, "slot int, c bigint").groupBy("slot").agg(
         F.sum("c").alias("c")).where("c > 1").toArrow()
     counts = np.ones(1 << SLOT_BITS, np.uint32)
     counts[shared.column("slot").to_numpy()] = np.minimum(shared.column("c").to_numpy(), (1 << 32) - 1)
+    sets = sets.select("doc", "root", "n", "shingles")
     heads = settled(sets.mapInArrow(_prefixes(counts), "shingle bigint, place int, doc bigint, n bigint, root bigint"))
     mixed = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     heads = heads.join(mixed.select("shingle"), "shingle", "left_semi")
@@ -242,11 +248,12 @@ def sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
 
 
-def confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+
+
+def confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidates ``(u, v)`` whose full sets are similar."""
-    wanted = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, shingles binary")
-    sets = settled(sets.withColumnRenamed("doc_id", "doc"))
     loaded = likely.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("left_set")), "v").join(
         sets.select(F.col("doc").alias("u"), F.col("shingles").alias("right_set")), "u")
     return settled(loaded.select("u", "v", "left_set", "right_set").mapInArrow(_confirm, "u bigint, v bigint"))
@@ -256,13 +263,17 @@ def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     """``(node, root)`` of all classes linked with others, from ``(doc, n, bucket)``."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = settled(members.join(sizes, "bucket"))
-    links = confirmed(sieved(settled(stars(members)), classes), texts)
+    likely = sieved(settled(stars(members)), classes)
+    links = confirmed(likely, sets_of(_named(likely), texts))
     roots = settled(connected(links))
     placed = members.select("doc", "bucket").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "root", F.coalesce("root", "doc"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = placed.join(split.select("bucket"), "bucket", "left_semi").select("doc", "root").distinct()
-    more = confirmed(settled(by_rarity(apart, texts)), texts)
+    sets = sets_of(apart, texts)
+    likely = settled(by_rarity(sets))
+    named = _named(likely)
+    more = confirmed(likely, sets.join(hinted(named, 2 * likely.count(), LOOKUP_IDS), "doc", "left_semi"))
     return roots if more.isEmpty() else settled(connected(links.unionByName(more)))
 
 

@@ -97,8 +97,10 @@ def test_sketches_lose_no_similar_pair():
                 assert not may
 
 
-def test_shared_source_with_many_unlike_texts(spark):
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_shared_source_with_many_unlike_texts(spark, monkeypatch, ids):
     """Texts that share half of one source meet in the same buckets; the similar ones among them are all found."""
+    monkeypatch.setattr(minhash, "LOOKUP_IDS", ids)
     rng = random.Random(5)
     source = [f"w{i}" for i in range(120)]
     rows = []
@@ -117,7 +119,7 @@ def test_rare_shingles_find_every_similar_pair(spark, documents):
     texts = documents.select("doc_id", "text").dropDuplicates(["text"])
     rows = {r.doc_id: shingles(r.text) for r in texts.collect()}
     placed = texts.where("text is not null").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("root"))
-    found = {(r.u, r.v) for r in minhash.by_rarity(placed, texts).collect()}
+    found = {(r.u, r.v) for r in minhash.by_rarity(minhash.sets_of(placed, texts)).collect()}
     ids, similar = sorted(rows), set()
     for i, u in enumerate(ids):
         for v in ids[i + 1:]:
