@@ -10,11 +10,11 @@ buckets are smallest, and a random one - so candidates stay below centres times
 Candidates are confirmed on full sets, links are closed into components.
 
 Stars alone could part two similar members of a bucket whose centres resemble neither. So the members of every bucket
-that still holds several components are searched exactly, by their rarest shingles: two similar sets, each sorted by
+whose documents are not all linked with one hub are searched exactly, by their rarest shingles: two similar sets, each sorted by
 one common order, share a shingle within the first ninth of the smaller and the first fifth of the larger one. The
 order puts shingles first that fall into rarely used slots of a histogram of fixed size, so texts drawn from one
 source meet only where they share what few others have. Positions bound the intersection before a pair is formed and
-pairs of one component are left out. No pair that shares a bucket is lost, and no bucket is opened pair by pair.
+pairs of one hub are left out. No pair that shares a bucket is lost, and no bucket is opened pair by pair.
 
 Pairs of unlike texts are settled without their sets. Sizes must allow the similarity; then sketches, the number of
 shingles in each bin and one byte of its minimum, bound the intersection from above. Both tests drop no similar pair.
@@ -233,21 +233,28 @@ def by_rarity(sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("s_doc", "doc").alias("u"), F.greatest("s_doc", "doc").alias("v")).distinct()
 
 
-def _beside(pairs: DataFrame, side: DataFrame, on: str) -> DataFrame:
-    """Join a row of ``side`` to every pair; a document in very many pairs does not end in one task."""
-    weights = pairs.groupBy(on).agg(F.count("*").alias("_n"))
-    total = pairs.count()
-    return hot_split_join(pairs, side.withColumnRenamed("doc", on).join(weights, on), on, "_n", total).drop("_n")
-
-
 def sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The candidates ``(u, v)`` whose sketches allow the similarity."""
-    sketches = classes.select("doc", "sketch")
-    both = _beside(_beside(pairs, sketches.withColumnRenamed("sketch", "u_sketch"), "u"),
-                   sketches.withColumnRenamed("sketch", "v_sketch"), "v")
+    """The candidates ``(u, v)`` whose sketches allow the similarity; documents in very many pairs are joined apart."""
+    total, both = pairs.count(), pairs
+    for on in ("u", "v"):
+        weights = pairs.groupBy(on).agg(F.count("*").alias("_n"))
+        side = classes.select(F.col("doc").alias(on), F.col("sketch").alias(f"{on}_sketch")).join(weights, on)
+        both = hot_split_join(both, side, on, "_n", total).drop("_n")
     return settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
 
 
+def hubs(links: DataFrame) -> DataFrame:
+    """``(node, root)``: of a document and the ones linked with it, the one with most links.
+
+    Documents of one hub are connected; connected documents may have several hubs.
+    """
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = settled(both.groupBy("u").agg(F.count("*").alias("n")))
+    seen = hot_split_join(both, degree, "u", "n", 2 * links.count()).select("v", "u", "n").unionByName(
+        degree.select(F.col("u").alias("v"), "u", "n"))
+    return seen.groupBy(F.col("v").alias("node")).agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("root"))
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
 
@@ -265,7 +272,7 @@ def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     members = settled(members.join(sizes, "bucket"))
     likely = sieved(settled(stars(members)), classes)
     links = confirmed(likely, sets_of(_named(likely), texts))
-    roots = settled(connected(links))
+    roots = hubs(links)
     placed = members.select("doc", "bucket").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "root", F.coalesce("root", "doc"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -274,7 +281,7 @@ def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     likely = settled(by_rarity(sets))
     named = _named(likely)
     more = confirmed(likely, sets.join(hinted(named, 2 * likely.count(), LOOKUP_IDS), "doc", "left_semi"))
-    return roots if more.isEmpty() else settled(connected(links.unionByName(more)))
+    return connected(links.unionByName(more))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
