@@ -5,18 +5,23 @@ are hashed to ``DIMENSIONS`` counts. A vector is log-damped counts times inverse
 length one. The training rows of each language are clustered into at most ``CENTROIDS`` groups by spherical
 k-means; a text takes the language of the centroid with the largest cosine.
 
-Distance-based rejection: every centroid keeps the cosine that its training rows fall below only in
-``REJECT_SHARE`` of cases, per length band, less ``REJECT_SLACK``. A text below the limit of its nearest
-centroid is ``rejected``; so is a text that is null or has no letter, whose language is ``und`` with score 0.
+Distance-based rejection: every language keeps, per length band, the cosine that its labelled rows fall below only
+in ``REJECT_SHARE`` of cases, less ``REJECT_SLACK`` or less its half, whichever leaves more. A text below the limit
+of its nearest centroid is ``rejected``; so is a text that is null or has no letter, whose language is ``und`` with
+score 0. Where a language has fewer than ``ENOUGH`` rows of a band, passages of that length from the middle of its
+longer rows join them, then those of all languages; a band that even these do not fill takes the limit of the next
+shorter band that is filled. Only with fewer than ``ENOUGH`` labelled rows in all is there no distance to go by.
 
-Training takes a bounded number of rows of each language (``SAMPLE_PER_LANGUAGE``, ``SAMPLE_ROWS``), chosen by a
-hash of the id, and their whole texts; corpus frequencies come from that sample. Prediction reads whole texts. Ties go to the first language
-in order. Without any labelled row every text is ``und``.
+The centroids come from a bounded number of rows of each language (``SAMPLE_PER_LANGUAGE``, ``SAMPLE_ROWS``), chosen
+by a hash of the id, and their whole texts. Corpus frequencies and limits come from all labelled rows that are not
+held out, in two passes that hand only counts to the driver. Prediction reads whole texts. Ties go to the first
+language in order. Without any labelled row every text is ``und``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,13 @@ from quillsift.session import settled
 DIMENSIONS = 4096
 CENTROIDS = 4
 ROUNDS = 12
-#: Training rows: at most so many of a language, and of all languages together (20 of each at least).
+#: Rows for centroids: at most so many of a language, and of all languages together (20 of each at least).
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 500, 4000
 REJECT_SHARE, REJECT_SLACK = 0.002, 0.25
 #: Upper limits of the length bands (n-grams of a text) that have a rejection limit of their own.
 BANDS = (64, 256, 1024, 4096)
+#: Rows that show the tail of a band, and the slots of a cosine's histogram.
+ENOUGH, SLOTS = 50, 1000
 ROWS = 256
 UNKNOWN = "und"
 
@@ -93,13 +100,77 @@ class Centroids:
         return names, scores, rejected
 
 
-def fit(texts: list[str], languages: list[str]) -> Centroids:
+def passages(text: str, size: float) -> list[tuple[int, np.ndarray]]:
+    """Band and counts of one passage per band below that of a text of ``size`` n-grams, from its middle."""
+    out = []
+    for band in range(int(np.searchsorted(BANDS, size))):
+        # A letter has about three n-grams; half the upper limit is well inside every band.
+        length = BANDS[band] // 6
+        first = max(len(text) - length, 0) // 2
+        counted = counts(text[first:first + length])
+        if counted.any() and int(np.searchsorted(BANDS, counted.sum())) == band:
+            out.append((band, counted))
+    return out
+
+
+def distances(model: Centroids, texts: list[str]) -> Counter:
+    """How many rows (kind 0) and passages of longer rows (kind 1) by language, band and slot of the cosine."""
+    found = Counter()
+    for k in range(0, len(texts), ROWS):
+        kinds, bands, rows = [], [], []
+        for text in texts[k:k + ROWS]:
+            counted = counts(text)
+            size = counted.sum()
+            if size:
+                own = [(int(np.searchsorted(BANDS, size)), counted)] + passages(text, size)
+                kinds += [0] + [1] * (len(own) - 1)
+                bands += [b for b, _ in own]
+                rows += [c for _, c in own]
+        if rows:
+            cosine = model.vectors_of(np.array(rows)) @ model.vectors.T
+            slot = np.clip(cosine.max(1) * SLOTS, 0, SLOTS - 1).astype(int)
+            found.update(zip(model.owner[cosine.argmax(1)].tolist(), bands, kinds, slot.tolist()))
+    return found
+
+
+def limits(model: Centroids, found: Counter) -> np.ndarray:
+    """Rejection limits of every centroid and band from the histogram of ``distances``."""
+    n = np.zeros((len(model.languages), len(BANDS) + 1, 2, SLOTS), np.int64)
+    for at, times in found.items():
+        n[at] += times
+    out = np.zeros(n.shape[:2])
+    for language in range(len(n)):
+        for band in range(len(BANDS) + 1):
+            # A longer text is nearer to its centroid, so the limit of a shorter band rejects too little, not too much.
+            for b in range(band, -1, -1):
+                tail = next((h for h in (n[language, b, 0], n[language, b].sum(0), n[:, b].sum((0, 1))) if h.sum() >= ENOUGH), None)
+                if tail is not None:
+                    low = np.searchsorted(np.cumsum(tail), REJECT_SHARE * (tail.sum() - 1), "right") / SLOTS
+                    out[language, band] = max(low - REJECT_SLACK, low / 2)
+                    break
+    return out[model.owner]
+
+
+def frequencies(texts: list[str]) -> np.ndarray:
+    """Texts with every n-gram slot, and last the number of texts with a letter."""
+    out = np.zeros(DIMENSIONS + 1, np.int64)
+    for text in texts:
+        counted = counts(text) > 0
+        out[:-1] += counted
+        out[-1] += counted.any()
+    return out
+
+
+def fit(texts: list[str], languages: list[str], corpus: np.ndarray | None = None) -> Centroids:
+    """Centroids of these rows with limits from them; ``corpus`` holds the ``frequencies`` of a larger collection."""
     rows = np.array([counts(t) for t in texts], np.float32).reshape(-1, DIMENSIONS)
     usable = rows.sum(1) > 0
     rows, labels = rows[usable], np.array(languages, object)[usable]
     if not len(rows):
         return Centroids()
-    model = Centroids(np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1, languages=sorted(set(labels)))
+    if corpus is None:
+        corpus = frequencies(texts)
+    model = Centroids(np.log((1 + corpus[-1]) / (1 + corpus[:-1])).astype(np.float32) + 1, languages=sorted(set(labels)))
     x = model.vectors_of(rows)
     centres, owner = [], []
     for k, name in enumerate(model.languages):
@@ -114,20 +185,43 @@ def fit(texts: list[str], languages: list[str]) -> Centroids:
         centres.append(start)
         owner += [k] * len(start)
     model.vectors, model.owner = np.concatenate(centres).astype(np.float32), np.array(owner)
-    cosine = x @ model.vectors.T
-    near, band = cosine.argmax(1), np.searchsorted(BANDS, rows.sum(1))
-    # A band with few training rows of a language cannot show its tail: it rejects nothing but cosine 0.
-    model.limits = np.zeros((len(owner), len(BANDS) + 1))
-    for c in range(len(owner)):
-        for b in range(len(BANDS) + 1):
-            own = cosine[(np.array(owner)[near] == owner[c]) & (band == b)].max(1, initial=0)
-            if len(own) >= 50:
-                model.limits[c, b] = max(np.quantile(own, REJECT_SHARE) - REJECT_SLACK, 0)
+    model.limits = limits(model, distances(model, texts))
     return model
 
 
+def corpus_frequencies(known: DataFrame) -> np.ndarray:
+    """``frequencies`` of all rows, added up on Spark."""
+    def count(batches):
+        out = np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in batches:
+            out += frequencies(batch.column("text").to_pylist())
+        place = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(out[place])], ["place", "n"])
+
+    out = np.zeros(DIMENSIONS + 1, np.int64)
+    for r in known.select("text").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[r.place] = r.n
+    return out
+
+
+def corpus_distances(known: DataFrame, model: Centroids) -> Counter:
+    """``distances`` of all rows, added up on Spark."""
+    shared = known.sparkSession.sparkContext.broadcast(model)
+    names = ["language", "band", "kind", "slot"]
+
+    def count(batches):
+        found = Counter()
+        for batch in batches:
+            found.update(distances(shared.value, batch.column("text").to_pylist()))
+        columns = list(zip(*found)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(found.values(), pa.int64())], [*names, "n"])
+
+    rows = known.select("text").mapInArrow(count, "language int, band int, kind int, slot int, n bigint")
+    return Counter({tuple(r)[:4]: r.n for r in rows.groupBy(*names).agg(F.sum("n").alias("n")).collect()})
+
+
 def train(documents: DataFrame) -> Centroids:
-    """Centroids from a bounded sample of rows that have a language and are not held out."""
+    """Centroids from a bounded sample of the rows that have a language and are not held out, frequencies and limits from all of them."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     most = known.select("lang").distinct().count()
     most = max(20, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(most, 1)))
@@ -136,7 +230,10 @@ def train(documents: DataFrame) -> Centroids:
     ids = settled(ids.select("doc_id", "lang").distinct())
     rows = known.select("doc_id", "lang", "text").join(hinted(ids, ids.count()), ["doc_id", "lang"])
     sample = rows.toPandas().sort_values(["lang", "doc_id", "text"], kind="stable")
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    model = fit(sample["text"].tolist(), sample["lang"].tolist(), corpus_frequencies(known))
+    if model.vectors is not None:
+        model.limits = limits(model, corpus_distances(known, model))
+    return model
 
 
 def predict(documents: DataFrame, model: Centroids) -> DataFrame:

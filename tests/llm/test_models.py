@@ -29,6 +29,31 @@ def test_far_texts_are_rejected():
     assert rejected[2:] == [True] * 4
 
 
+def test_short_foreign_texts_are_rejected(spark):
+    draw = np.random.default_rng(3)
+    stock = {"en": "the of and to in that was his with for it had as not but which she they from this".split(),
+             "de": "der die und nicht das ist ein zu von sich mit auf dem auch wie hat noch nach wird".split()}
+    # All labelled rows are long, the rows to judge are short.
+    rows = [(i, " ".join(draw.choice(stock[lang], 400)), lang) for i, lang in enumerate(["en", "de"] * 100)]
+    short = [(1000, "zzxq kkjw vvbp qqyh", None), (1001, "xqzz jjkw bbvp hhqy gzzk wwxj pqqv kjjz", None),
+             (1002, "\u043f\u0440\u0438\u0432\u0435\u0442 \u044d\u0442\u043e \u043a\u043e\u0440\u043e\u0442\u043a\u0438\u0439", None),
+             (1003, "she was not with them but they had it", None), (1004, "das ist auch nicht von dem", None), (1005, "with this", None)]
+    docs = spark.createDataFrame(rows + short, "doc_id bigint, text string, lang string")
+    rejected = {r.doc_id for r in langid.predict(docs, langid.train(docs)).collect() if r.rejected}
+    assert rejected == {1000, 1001, 1002}
+
+
+def test_limits_come_from_all_rows(spark, monkeypatch):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 80)
+    model = langid.train(documents)
+    rows = [r for r in documents.collect() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert (model.limits > 0).all()
+    assert np.allclose(model.limits, langid.limits(model, langid.distances(model, [r.text for r in rows])))
+    n = langid.frequencies([r.text for r in rows])
+    assert np.allclose(model.idf, np.log((1 + n[-1]) / (1 + n[:-1])) + 1, atol=1e-5)
+
+
 def test_language_odd_input(odd, none):
     model = langid.train(odd)
     rows = langid.predict(odd, model).collect()
