@@ -3,9 +3,9 @@
 A page is read into a tree. Subtrees that cannot hold the article (menus, headers, footers, sidebars, notices,
 adverts, comments, forms, scripts, styles, hidden parts; by tag, role or class) are cut off. Every paragraph gives
 points for itself, its commas and its length to its ancestors, halved from the second ancestor on; a container's
-sum is discounted by its share of text in links. The best container is kept with those siblings that score a fair
-part of its points, are headings, or are long paragraphs with few links. An article or main element around the
-best container takes its place.
+sum is discounted by its share of text in links. An article or main element around the best container takes its
+place. Without one, everything around the best container is kept up to the root of the page but link lists: parts
+of which links make up half of the text or more, headings excepted.
 
 The text holds the blocks in page order, joined by one line feed; references are decoded, white space inside a
 block becomes one blank. A null, empty or textless page has the empty text. A tag that the end of the page cuts
@@ -159,15 +159,31 @@ def chosen(best: Node) -> list[Node]:
         up = up.parent
     if around is not None:
         return [around]
-    if best.parent is None:
-        return [best]
-    limit = max(10.0, 0.2 * best.points)
-    out = []
-    for node in (p for p in best.parent.parts if isinstance(p, Node)):
-        density = node.linked / node.text if node.text else 1.0
-        if node is best or node.tag in _HEADINGS or node.points * (1 - density) >= limit or (
-                node.tag == "p" and node.text > 80 and density < 0.25):
-            out.append(node)
+    up = best
+    while up.parent is not None:
+        up.parent.parts = _without_link_lists(up.parent.parts, up)
+        up = up.parent
+    return [up]
+
+
+def _without_link_lists(parts: list, best: Node) -> list:
+    """The parts without those blocks, and runs of text and inline elements, that are mostly links."""
+    out, run = [], []
+
+    def close():
+        text = sum(len(p.strip()) if isinstance(p, str) else p.text for p in run)
+        if 2 * sum(p.linked for p in run if isinstance(p, Node)) < text:
+            out.extend(run)
+        run.clear()
+
+    for p in parts:
+        if p is not best and (isinstance(p, str) or p.tag not in _BLOCK):
+            run.append(p)
+            continue
+        close()
+        if p is best or p.tag in _HEADINGS or 2 * p.linked < p.text:
+            out.append(p)
+    close()
     return out
 
 

@@ -273,6 +273,17 @@ def test_pages(article, text):
         assert "Home" not in html_main.main_text(page)
 
 
+@pytest.mark.parametrize("parts,text", [
+    # One part holds nearly all points; short parts, lists, tables and paragraphs beside it belong to the page.
+    ("<div class='post'><section><p>Short, start.</p></section><section>%s</section><div><p>Short end.</p></div></div>", "Short, start.\n%s\nShort end."),
+    ("<div class='post'><p>Lead.</p><div>%s</div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></div>", "Lead.\n%s\na\nb\nc d"),
+    ("<div><div><h2>Head</h2></div><div><div>%s</div></div></div><p>Last, <a href='x'>one</a>.</p>", "Head\n%s\nLast, one."),
+    ("<div>Loose <a href='x'>word</a> text.<div>%s</div></div><div><a href='y'>More</a> <a href='z'>pages</a></div>", "Loose word text.\n%s")])
+def test_pages_without_article_keep_their_parts(parts, text):
+    long = ["Long, long, long text, indeed. " * 12] * 9
+    assert html_main.main_text(PAGE % (parts % "".join(f"<p>{p}</p>" for p in long))) == text % "\n".join(p.strip() for p in long)
+
+
 def test_pages_odd_input(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<p>" + "<div>" * 3000 + "deep"), (6, "u", "<p>a</p>" * 20_000)]
     got = html_main.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text")).collect()
