@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree. Subtrees that cannot hold the article (menus, headers, footers, sidebars, notices,
-adverts, comments, forms, scripts, styles, hidden parts; by tag, role or class) are cut off. Every paragraph gives
+adverts, comments, forms, scripts, styles, hidden parts; by tag, role or class) are cut off. A class or id alone
+cuts off no part that holds a main element, an article, or a paragraph and most of the page's text; what names
+comments, adverts or dialogs needs a main element, or most of the text under a first heading. Every paragraph gives
 points for itself, its commas and its length to its ancestors, halved from the second ancestor on; a container's
 sum is discounted by its share of text in links. An article or main element around the best container takes its
 place. Without one, everything around the best container is kept up to the root of the page but link lists: parts
@@ -35,6 +37,13 @@ _AROUND = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu\w*|nav|navbar|navigation|breadcrumbs?|"
     r"comments?|disqus|respond|replies|header|masthead|footer|foot|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscri\w*|shar(?:e|ing)|social|related|recommend\w*|widget|pag(?:er|ination)|login|signup|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Names of parts that may hold many paragraphs, even articles, of their own.
+_FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|comments?|disqus|respond|replies|cookies?|consent|gdpr|popup|modal|"
+    r"overlay|newsletter|subscri\w*|related|recommend\w*|login|signup)(?:$|[\s_-])", re.I)
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
+#: What a layout has or lacks is no name of the part itself.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*", re.I)
 _KEEP = frozenset("html body article main".split())
 #: An open element of the key is closed by the start of one of the values.
 _CLOSES = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -45,11 +54,12 @@ _TORN = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "points", "text", "linked")
+    __slots__ = ("tag", "attrs", "parts", "parent", "points", "text", "linked", "holds")
 
     def __init__(self, tag, attrs=(), parent=None):
         self.tag, self.attrs, self.parent = tag, dict(attrs), parent
         self.parts, self.points, self.text, self.linked = [], 0.0, 0, 0
+        self.holds = frozenset()
 
 
 class _Reader(HTMLParser):
@@ -96,7 +106,26 @@ def _cut_off(node: Node, inside: bool) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"] or "", re.I):
         return True
-    return any(_AROUND.search(a[k] or "") for k in ("class", "id") if k in a)
+    return False
+
+
+def _names(node: Node, inside: bool) -> list[str]:
+    """Values of class and id that name a part around articles."""
+    values = [_LAYOUT.sub("", node.attrs[k] or "") for k in ("class", "id") if k in node.attrs]
+    if inside:
+        values = [_HEADER.sub("", v) for v in values]
+    return [v for v in values if _AROUND.search(v)]
+
+
+def _named_off(node: Node, inside: bool, total: int) -> bool:
+    """True if class or id name the node as a part around articles and its content does not speak against it."""
+    names = [] if node.tag in _KEEP else _names(node, inside)
+    if not names or "main" in node.holds:
+        return False
+    most = 2 * node.text > total and 2 * node.linked < node.text
+    if any(_FOREIGN.search(v) for v in names):
+        return not (most and "h1" in node.holds)
+    return not ("article" in node.holds or most and "p" in node.holds)
 
 
 def parse(html: str) -> Node:
@@ -109,22 +138,39 @@ def parse(html: str) -> Node:
 
 def prune(root: Node) -> list[Node]:
     """Cut off what surrounds articles; the remaining nodes, parents first."""
+    order = _walk(root, _cut_off)
+    _measure(order)
+    for node in reversed(order):
+        own = [p for p in node.parts if isinstance(p, Node)]
+        node.holds = frozenset().union(*(p.holds for p in own), (
+            p.tag for p in own if p.tag in ("main", "h1", "p") and p.text or p.tag == "article" and 2 * p.linked < p.text and not _names(p, True)))
+    total = root.text
+    return _walk(root, lambda node, inside: _named_off(node, inside, total))
+
+
+def _walk(root: Node, off) -> list[Node]:
+    """Drop the nodes that ``off(node, inside an article)`` names; the remaining ones, parents first."""
     order, waiting = [], [(root, False)]
     while waiting:
         node, inside = waiting.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
-        node.parts = [p for p in node.parts if isinstance(p, str) or not _cut_off(p, inside)]
+        node.parts = [p for p in node.parts if isinstance(p, str) or not off(p, inside)]
         waiting += [(p, inside) for p in reversed(node.parts) if isinstance(p, Node)]
     return order
 
 
-def score(order: list[Node]) -> Node | None:
-    """Pass the points of paragraphs upwards; the best container, None without any text."""
+def _measure(order: list[Node]) -> None:
+    """Characters of text, and of text in links, of every node."""
     for node in reversed(order):
         own = [p for p in node.parts if isinstance(p, str)]
         node.text = sum(len(p.strip()) for p in own) + sum(p.text for p in node.parts if isinstance(p, Node))
         node.linked = node.text if node.tag == "a" else sum(p.linked for p in node.parts if isinstance(p, Node))
+
+
+def score(order: list[Node]) -> Node | None:
+    """Pass the points of paragraphs upwards; the best container, None without any text."""
+    _measure(order)
     commas: dict[int, int] = {}
     for node in reversed(order):
         commas[id(node)] = sum(p.count(",") if isinstance(p, str) else commas[id(p)] for p in node.parts)

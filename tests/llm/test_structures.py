@@ -284,6 +284,23 @@ def test_pages_without_article_keep_their_parts(parts, text):
     assert html_main.main_text(PAGE % (parts % "".join(f"<p>{p}</p>" for p in long))) == text % "\n".join(p.strip() for p in long)
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='content has-sidebar'><p>%s</p></div>", "%s"),
+    ("<div id='post-no-sidebar'><p>%s</p></div>", "%s"),
+    ("<div class='layout with_social'><p>%s</p></div>", "%s"),
+    ("<div class='sidebar-left page'><article><p>%s</p></article></div>", "%s"),
+    ("<div class='widget'><main><p>%s</p></main></div>", "%s"),
+    ("<div class='notice'><p>%s</p></div>", "%s"),
+    ("<div class='comments-open'><h1>Head</h1><p>%s</p></div>", "Head\n%s"),
+    ("<article><div class='entry-header'><h1>Head</h1></div><p>%s</p></article>", "Head\n%s"),
+    ("<article><p>%s</p><div class='share'><p>Share this.</p></div></article>", "%s"),
+    ("<div><p>%s</p></div><div class='sidebar'><p>About, us.</p></div><div class='comments'><article class='comment'><p>Me, too. "
+     + "No, no. " * 300 + "</p></article></div>", "%s")])
+def test_names_do_not_cut_off_the_article(page, text):
+    long = ("Long, long text, indeed. " * 40).strip()
+    assert html_main.main_text(PAGE % (page % long)) == text % long
+
+
 def test_pages_odd_input(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<p>" + "<div>" * 3000 + "deep"), (6, "u", "<p>a</p>" * 20_000)]
     got = html_main.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text")).collect()
