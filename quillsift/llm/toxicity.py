@@ -4,10 +4,11 @@ Words are runs of characters other than white space and ASCII punctuation, lower
 is the word's own vector (frequent words of the training sample) beside the mean of the vectors of its
 hashed byte trigrams, word borders included. A document is read as overlapping windows of ``WINDOW`` words,
 the last one aligned to the end; its score is that of its most toxic window. Training takes the window that
-the model finds most toxic as the document's example (multiple instance learning).
+the model finds most toxic as the document's example (multiple instance learning): first updates see random windows,
+then ``ROUNDS`` times all windows of every sampled document are scored anew and the most toxic one is its example.
 
-The training sample is bounded: ``SAMPLE_DOCS`` labelled documents of each class chosen by a hash of their id,
-and ``SAMPLE_WORDS`` leading words of each; scoring reads whole texts. The number of updates is fixed.
+The training sample is bounded: ``SAMPLE_DOCS`` labelled documents of each class chosen by a hash of their id, with
+their whole texts. These stay on Spark; the driver holds a few windows of each. The number of updates is fixed.
 A null or wordless text scores as an empty window. Without labelled rows of both classes every score is the
 share of toxic labels, 0 without labels. Rows without id are scored and not held out.
 """
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillsift.llm.common import WordScanner, held_out, mix64, pieces
+from quillsift.session import settled
 
-WINDOW, STRIDE = 48, 40
+WINDOW, STRIDE = 48, 24
 HIDDEN, ATTENTION = 8, 6
 VOCABULARY, TRIGRAMS = 2048, 8192
 WORD_DIM, CHAR_DIM = 8, 12
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 2000
+#: Random windows of a document for the first ``WARM`` updates, and choices of its most toxic window after them.
+DRAWN, WARM, ROUNDS = 4, 36, 6
 UPDATES, BATCH, RATE, DECAY = 220, 128, 0.012, 0.04
 #: Words whose input a worker keeps; beyond it the store starts anew.
 STORED_WORDS = 150_000
@@ -235,6 +238,21 @@ class Scorer:
             out[a:b] = self._best(place, bounds)
         return out
 
+    def examples(self, texts: pa.Array) -> list[list[str]]:
+        """The most toxic window of every text."""
+        out = []
+        for _, _, data, offsets in pieces(texts, lower=str.lower):
+            start, end, hashes, bounds = words_of(data, offsets)
+            place, n = self._place(data, start, end, hashes), np.diff(bounds)
+            first = bounds[:-1].copy()
+            for i in np.flatnonzero(n > WINDOW):
+                begins = np.asarray(window_starts(n[i])) + bounds[i]
+                logit = [self.network.run(self.store, place[begins[k:k + WINDOWS, None] + np.arange(WINDOW)], None)
+                         for k in range(0, len(begins), WINDOWS)]
+                first[i] = begins[np.concatenate(logit).argmax()]
+            out += [[_cut(data, start, end, f, min(c, WINDOW))] for f, c in zip(first, n)]
+        return out
+
     def _best(self, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Score of the most toxic window of every row."""
         n = np.diff(bounds)
@@ -259,73 +277,150 @@ class Scorer:
         return _sigmoid(best + self.shift)
 
 
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: int, n: int) -> str:
+    """Text of ``n`` words."""
+    return data[start[first]:end[first + n - 1]].tobytes().decode("utf-8", "replace") if n else ""
+
+
+def random_examples(texts: pa.Array) -> list[list[str]]:
+    """Up to ``DRAWN`` windows of every text, drawn by a hash of its words."""
+    out = []
+    for _, _, data, offsets in pieces(texts, lower=str.lower):
+        start, end, hashes, bounds = words_of(data, offsets)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            begins = window_starts(int(b - a))
+            draw = np.random.default_rng(int(np.bitwise_xor.reduce(hashes[a:b])) if b > a else 0)
+            chosen = draw.choice(begins, min(len(begins), DRAWN), replace=False)
+            out.append([_cut(data, start, end, a + int(s), min(int(b - a), WINDOW)) for s in chosen])
+    return out
+
+
+def document_words(texts: pa.Array) -> Counter:
+    """In how many texts every word, by its hash, stands."""
+    seen = Counter()
+    for _, _, data, offsets in pieces(texts, lower=str.lower):
+        _, _, hashes, bounds = words_of(data, offsets)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            seen.update(np.unique(hashes[a:b]).tolist())
+    return seen
+
+
+class Sample:
+    """Labelled texts in this process; ``examples`` gives windows of each by the network, random ones without it."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        self.texts, self.toxic = pa.array(texts, pa.large_string()), toxic
+
+    def vocabulary(self) -> list[int]:
+        seen = document_words(self.texts)
+        return [h for h, c in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:VOCABULARY] if c > 4]
+
+    def examples(self, network: Network | None) -> list[list[str]]:
+        return random_examples(self.texts) if network is None else Scorer(network, 0.5).examples(self.texts)
+
+
+class SparkSample:
+    """The same over ``rows(doc_id, text, toxic)``, whose texts stay on Spark."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "toxic", "text")
+        keys = self.rows.select("doc_id", "digest", "toxic").collect()
+        self.toxic = np.array([r.toxic for r in sorted(keys, key=lambda r: (r.doc_id, r.digest))], np.int64)
+
+    def vocabulary(self) -> list[int]:
+        def count(batches):
+            seen = Counter()
+            for batch in batches:
+                seen.update(document_words(batch.column("text")))
+            word = np.array(list(seen.keys()), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+        seen = self.rows.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        # Hashes are unsigned: those that are negative here come last.
+        common = seen.where("n > 4").orderBy(F.desc("n"), F.col("word") < 0, "word").limit(VOCABULARY)
+        return [r.word % (1 << 64) for r in common.collect()]
+
+    def examples(self, network: Network | None) -> list[list[str]]:
+        shared = self.rows.sparkSession.sparkContext.broadcast(network)
+
+        def choose(batches):
+            scorer = Scorer(shared.value, 0.5)
+            for batch in batches:
+                texts = batch.column("text")
+                found = random_examples(texts) if scorer.network is None else scorer.examples(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("digest"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "digest", "windows"])
+
+        rows = self.rows.select("doc_id", "digest", "text").mapInArrow(choose, "doc_id bigint, digest string, windows array<string>").collect()
+        return [r.windows for r in sorted(rows, key=lambda r: (r.doc_id, r.digest))]
+
+
+class Examples:
+    """Words of the windows of every document, and the inputs of these words."""
+
+    def __init__(self, windows: list[list[str]], network: Network):
+        self.count = np.array([len(w) for w in windows])
+        self.first = np.cumsum(self.count) - self.count
+        parts, words, size = [], 0, 0
+        for _, _, data, offsets in pieces(pa.array([w for own in windows for w in own], pa.large_string()), lower=str.lower):
+            start, end, hashes, bounds = words_of(data, offsets)
+            parts.append((data, start + size, end + size, hashes, bounds[:-1] + words))
+            words, size = words + len(start), size + len(data)
+        joined, start, end, hashes, bounds = map(np.concatenate, zip(*parts))
+        self.bounds = np.append(bounds, words)
+        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        self.back = back.reshape(-1)
+        self.grams, self.starts = trigrams(joined, start[at], end[at])
+        self.ids = np.array([network.known.get(int(h), 0) for h in distinct.tolist()], np.int64)
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Scorer:
-    """Train on lists of texts and 0/1 labels; every update looks at ``BATCH`` documents, half of them toxic.
+    """Train on lists of texts and 0/1 labels.
 
     ``prior`` is the share of toxic labels where the lists do not show it.
     """
-    if prior is None:
-        prior = float(toxic.mean()) if len(toxic) else 0.0
+    return learn(Sample(texts, toxic), float(toxic.mean()) if prior is None and len(toxic) else prior or 0.0)
+
+
+def learn(sample, prior: float) -> Scorer:
+    """Train on a ``Sample``; every update looks at one window of ``BATCH`` documents, half of them toxic."""
+    toxic = sample.toxic
     if len(set(toxic.tolist())) < 2:
         return Scorer(None, prior)
-    parts, words, size = [], 0, 0
-    for _, _, data, offsets in pieces(pa.array(texts, pa.large_string()), lower=str.lower):
-        start, end, hashes, bounds = words_of(data, offsets)
-        parts.append((data, start + size, end + size, hashes, bounds[:-1] + words))
-        words, size = words + len(start), size + len(data)
-    joined, start, end, hashes, bounds = map(np.concatenate, zip(*parts))
-    bounds = np.append(bounds, words)
-    distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-    back = back.reshape(-1)
-    seen = Counter()
-    for i in range(len(texts)):
-        seen.update(np.unique(back[bounds[i]:min(bounds[i + 1], bounds[i] + SAMPLE_WORDS)]).tolist())
-    common = [k for k, c in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:VOCABULARY] if c > 4]
-    net = Network([int(distinct[k]) for k in common])
-    grams, first = trigrams(joined, start[at], end[at])
-    ids = np.array([net.known.get(int(h), 0) for h in distinct.tolist()], np.int64)
+    net = Network(sample.vocabulary())
     groups = [np.flatnonzero(toxic == k) for k in (0, 1)]
     draw = np.random.default_rng(5)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(p) for k, p in net.p.items()}
+    anew = {0, *np.linspace(WARM, UPDATES, ROUNDS, endpoint=False).astype(int).tolist()}
     for step in range(UPDATES):
+        if step in anew:
+            ex = Examples(sample.examples(net if step else None), net)
         docs = np.concatenate([draw.choice(g, BATCH // 2) for g in groups])
-        spans = []
-        for i in docs:
-            n = min(bounds[i + 1] - bounds[i], SAMPLE_WORDS)
-            begin = window_starts(n)
-            # A few random windows of each document compete; early updates take any of them.
-            chosen = draw.choice(begin, min(len(begin), 1 if step < UPDATES // 6 else 4), replace=False)
-            spans.append([(bounds[i] + int(s), min(n, WINDOW)) for s in chosen])
-        flat = [s for own in spans for s in own]
-        steps = max(max(length for _, length in flat), 1)
-        word = np.zeros((len(flat), steps), np.int64)
-        mask = np.zeros((len(flat), steps), bool)
+        rows = ex.first[docs] + draw.integers(0, ex.count[docs])
+        lengths = np.diff(ex.bounds)[rows]
+        steps = max(int(lengths.max()), 1)
+        word = np.zeros((len(docs), steps), np.int64)
+        mask = np.zeros((len(docs), steps), bool)
         mask[:, 0] = True
-        for k, (s, length) in enumerate(flat):
-            word[k, :length] = back[s:s + length] + 1
+        for k, (s, length) in enumerate(zip(ex.bounds[rows], lengths)):
+            word[k, :length] = ex.back[s:s + length] + 1
             mask[k, :length] = True
         used, place = np.unique(word, return_inverse=True)
         place = place.reshape(word.shape)
         real = used[used > 0] - 1
-        sizes = first[real + 1] - first[real]
-        spread = _ragged(first[real], sizes)
+        sizes = ex.starts[real + 1] - ex.starts[real]
+        spread = _ragged(ex.starts[real], sizes)
         local = np.concatenate([[0], np.cumsum(sizes)])
         x = np.zeros((len(used), WORD_DIM + CHAR_DIM), np.float32)
-        x[used > 0] = net.inputs(ids[real], grams[spread], local)
-        if len(flat) > len(docs):
-            logit = net.run(net.project(x), place, mask)
-            owner = np.repeat(np.arange(len(docs)), [len(s) for s in spans])
-            order = np.lexsort((-logit, owner))
-            pick = order[np.unique(owner[order], return_index=True)[1]]
-            place, mask = place[pick], mask[pick]
+        x[used > 0] = net.inputs(ex.ids[real], ex.grams[spread], local)
         target = toxic[docs].astype(np.float32)
         g, dx = net.gradients(x, place, mask, target)
         dx = dx[used > 0]
         g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-        _scatter(g["word"], ids[real], dx[:, :WORD_DIM])
+        _scatter(g["word"], ex.ids[real], dx[:, :WORD_DIM])
         g["word"][0] = 0
-        _scatter(g["char"], grams[spread], np.repeat(dx[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
+        _scatter(g["char"], ex.grams[spread], np.repeat(dx[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
         rate = RATE * min(1.0, 3 * (UPDATES - step) / (2 * UPDATES))
         for k in net.p:
             m[k] += 0.1 * (g[k] - m[k])
@@ -336,17 +431,15 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Scor
 
 
 def training_sample(documents: DataFrame, labels: DataFrame):
-    """Texts, labels and the share of toxic labels: at most ``SAMPLE_DOCS`` documents of each class, by a hash of the id; no held-out row."""
-    head = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), " ")
+    """Rows ``(doc_id, text, toxic)`` and the share of toxic labels: at most ``SAMPLE_DOCS`` documents of each class, by a hash of the id; no held-out row."""
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for k in (0, 1):
         part = marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", head.alias("text"), "toxic")
-    rows = rows.toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     share = marked.agg(F.avg("toxic").alias("share")).first().share
-    return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), float(share or 0.0)
+    return settled(rows), float(share or 0.0)
 
 
 def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
@@ -366,7 +459,8 @@ def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Scorer:
-    return fit(*training_sample(documents, labels))
+    rows, share = training_sample(documents, labels)
+    return learn(SparkSample(rows), share)
 
 
 def without_toxic(documents: DataFrame, scorer: Scorer) -> DataFrame:

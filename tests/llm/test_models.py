@@ -115,6 +115,27 @@ def test_toxic_words_in_held_out_documents():
     assert ((scores >= 0) & (scores <= 1)).all()
 
 
+def test_toxic_passages_after_many_words_are_learnt(spark):
+    draw = np.random.default_rng(2)
+    syllables = ["ta", "re", "mi", "no", "lu", "ke", "po", "shi"]
+    text = lambda n: ["".join(draw.choice(syllables, draw.integers(1, 4))) for _ in range(n)]
+    rows = []
+    for i in range(150):
+        words = text(2300)
+        if i % 2:
+            words[2100:2140] = draw.choice(["grubling", "vexhead", "snarkwit"], 40)
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    scorer = toxicity.train(docs, docs)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    scores = scorer.scores(pa.array([r[1] for r in held]))
+    assert np.mean((scores >= 0.5) == [r[2] == 1 for r in held]) >= 0.95
+    local = toxicity.Sample([r[1] for r in rows], np.array([r[2] for r in rows]))
+    stored = toxicity.SparkSample(docs)
+    assert stored.vocabulary() == local.vocabulary()
+    assert sorted(stored.examples(scorer.network)) == sorted(local.examples(scorer.network))
+
+
 def test_toxicity_query_and_odd_input(spark, odd, none):
     rows = op8_toxicity(spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
