@@ -24,6 +24,8 @@ K = 5
 STEP = 16
 CANDIDATES = 32_768
 QUERY_BYTES = 16 << 20
+#: Queries whose first block of products with all buffered candidates is held at once.
+SLICE = 256
 SCHEMA = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
@@ -48,10 +50,11 @@ def best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
     # Norms of what follows each block, slightly enlarged against rounding.
     rest = [np.sqrt((layout[c:] ** 2).sum(0)) * (1 + 1e-9) for c in cuts[1:]]
     rest_q = [np.sqrt((queries[:, c:] ** 2).sum(1)) * (1 + 1e-9) for c in cuts[1:]]
-    first = queries[:, :cuts[1]] @ layout[:cuts[1]]
     for j, (q, i) in enumerate(zip(queries, own)):
+        if j % SLICE == 0:
+            first = queries[j:j + SLICE, :cuts[1]] @ layout[:cuts[1]]
         alive = np.flatnonzero(ids != i)
-        score = first[j][alive]
+        score = first[j % SLICE][alive]
         for b in range(len(cuts) - 1):
             if b:
                 score = score + q[cuts[b]:cuts[b + 1]] @ layout[cuts[b]:cuts[b + 1]][:, alive]

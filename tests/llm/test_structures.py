@@ -220,6 +220,24 @@ def test_top_k(spark, scale, monkeypatch):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_holds_products_of_few_queries():
+    import tracemalloc
+    draw = np.random.default_rng(4)
+    vectors, ids = topk.integers(draw.standard_normal((6000, 32))), np.arange(6000)
+    tracemalloc.start()
+    found = list(topk.best(vectors[:600], ids[:600], vectors, ids))
+    few = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    next(topk.best(vectors[:3000], ids[:3000], vectors, ids))
+    assert tracemalloc.get_traced_memory()[1] < few + (8 << 20)
+    tracemalloc.stop()
+    products = vectors[:600] @ vectors.T
+    np.fill_diagonal(products, -np.inf)
+    for row, own in zip(found, products):
+        order = np.lexsort((ids, -own))[:topk.K]
+        assert row == [(int(own[o]), int(o)) for o in order]
+
+
 def test_archives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 200)
     rows = [(i, f"http://x/{i}", t) for i, t in enumerate([None, "", "a", "b\r\n\r\nc", "a", "é" * 5000, "a", "b"])] + [
