@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillsift.llm import bpe, html_main, langid, minhash, mixing, quality, token_counts, topk, toxicity, warc
+from quillsift.llm import bpe, conversation_repair, exact_dedup, html_main, langid, minhash, mixing, quality, spelling, token_counts, topk, toxicity, warc
 from quillsift.llm.common import table
+from quillsift.llm.twins import TWINS
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,8 +54,22 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_digests(conversation_repair.damaged(rows))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality, op3_token_counts, op4_bpe, op5_topk, op6_html, op7_minhash, op8_toxicity, op9_warc, op10_mixing)}
+    op1_language_id, op2_quality, op3_token_counts, op4_bpe, op5_topk, op6_html, op7_minhash, op8_toxicity, op9_warc, op10_mixing, op11_spelling,
+    op12_conversation_repair, op13_exact_dedup)}
 
 #: Models, tokenizers, compression and hash-driven choices have no SQL twin; tests hold them against brute force.
 SQL = {
@@ -84,4 +99,5 @@ SQL = {
                CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
         FROM d""",
+    **TWINS,
 }
