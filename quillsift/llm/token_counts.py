@@ -9,13 +9,17 @@ The model is the rank file read as unigram: a piece of rank r has probability pr
 cost is the negative logarithm in millionths, rounded. The cheapest segmentation counts, of equally cheap ones
 the one of fewer tokens. Every byte is a piece, so each text has a segmentation.
 
-A trie beyond ``NODES`` nodes starts anew; a pre-token longer than ``LONGEST`` bytes runs through the same
-recurrence without being stored. A null or empty text has no tokens. Repeated rows count alike.
+A worker process keeps its trie from task to task. A trie beyond ``NODES`` nodes starts anew, but the counts stored
+at its terminal nodes stay until there are ``WORDS`` of them; then the older half goes. A pre-token longer than
+``LONGEST`` bytes runs through the same recurrence without being stored. A null or empty text has no tokens. Repeated
+rows count alike.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from itertools import islice
 
 import pyarrow as pa
 import public_tokenizers
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from quillsift.llm.bpe import VOCABULARY, load_ranks
 
-NODES = 400_000
+NODES, WORDS = 600_000, 600_000
 LONGEST = 256
 SHIFT = 2.7
 #: Costs are stored as cost * TIE + tokens, so the smaller number is cheaper, then shorter.
@@ -60,8 +64,10 @@ class Trie(dict):
                 path.append(self._forward(path, raw, end))
             return path[-1] % TIE
         if len(self.best) > NODES:
-            self.clear()
             self.children, self.best = {}, [0]
+        if len(self) >= WORDS:
+            for old in list(islice(self, len(self) // 2)):
+                del self[old]
         node, path = 0, [0]
         for end, byte in enumerate(raw, 1):
             key = node << 8 | byte
@@ -74,12 +80,18 @@ class Trie(dict):
         return count
 
 
+@functools.lru_cache(maxsize=2)
+def shared_trie(path: str) -> Trie:
+    """The trie of a rank file; one per worker process."""
+    return Trie(unigram_costs(load_ranks(path)))
+
+
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_pretokens, n_tokens)`` of every row of ``documents(doc_id, text)``."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        trie, cut = Trie(unigram_costs(load_ranks(path))), regex.compile(public_tokenizers.PATTERN).findall
+        trie, cut = shared_trie(path), regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
