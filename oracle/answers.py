@@ -42,9 +42,11 @@ PAIRS = """
 pairs AS (SELECT u.conv_id || ':' || u.turn AS qid, u.text AS question, a.text AS answer
           FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
           WHERE u.role = 'user' AND a.role = 'assistant'),
-ctx AS (SELECT u.conv_id || ':' || u.turn AS qid, u.text AS question, (a.turn - u.turn) // 2 AS context, a.text
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn - u.turn IN (1, 3)
-        WHERE u.role = 'user' AND a.role = 'assistant')
+told AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+replies AS (SELECT conv_id, asked, text, row_number() OVER (PARTITION BY conv_id, asked ORDER BY turn) - 1 AS context
+            FROM told WHERE role = 'assistant' AND asked IS NOT NULL),
+ctx AS (SELECT u.conv_id || ':' || u.turn AS qid, u.text AS question, coalesce(r.context, 0) AS context, r.text
+        FROM conversations u LEFT JOIN replies r ON r.conv_id = u.conv_id AND r.asked = u.turn WHERE u.role = 'user')
 """
 
 
@@ -122,9 +124,9 @@ SQL = {
         SELECT qid, false AS conflict, NULL::INT AS conflicting_context_index, 0 AS copied_phrase_words FROM pairs"""),
     "extractive_fallback": select([PAIRS, SUPPORT, f"""
         pick AS (SELECT s.qid, c.text, len({toks('c.text')}) AS n,
-           least(len({toks('c.text')}), greatest(0, s.window_start - 15) + 60) AS e FROM support s LEFT JOIN ctx c USING (qid, context)),
-        cutp AS (SELECT qid, n, CASE WHEN n <= 60 THEN text ELSE regexp_replace(array_to_string(
-           regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+')[greatest(0, e - 60) + 1:e], ''), '^[^\\p{{L}}\\p{{N}}]+', '') END AS x FROM pick),
+           least(len({toks('c.text')}), greatest(0, s.window_start - 105) + 420) AS e FROM support s LEFT JOIN ctx c USING (qid, context)),
+        cutp AS (SELECT qid, n, CASE WHEN n <= 420 THEN text ELSE regexp_replace(array_to_string(
+           regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+')[greatest(0, e - 420) + 1:e], ''), '^[^\\p{{L}}\\p{{N}}]+', '') END AS x FROM pick),
         ans AS (SELECT qid, CASE WHEN n >= 24 THEN {clean_answer('x')} ELSE '{lx.NO_EVIDENCE}' END AS a FROM cutp)"""],
         "SELECT qid, len(a)::BIGINT AS n_chars, sha256(a) AS answer_sha FROM ans"),
     "focused_contexts": select([PAIRS, SUPPORT], """

@@ -5,7 +5,23 @@ from oracle.base import select, words
 
 IDS = "list_transform({w}, lambda x: ascii(x))"
 
+STEPS = """
+WITH RECURSIVE r AS (SELECT user_id AS id, event_type = 'purchase' AS accepted, event_type = 'error' AS faulty, event_type IN ('view', 'click') AS hit,
+                       row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+walk AS (SELECT DISTINCT user_id AS id, 0 AS n, 'open' AS status, 2048 AS budget, false AS focused FROM events
+  UNION ALL
+  SELECT w.id, n + 1,
+    CASE WHEN accepted THEN 'accepted' WHEN n < 3 AND ((faulty AND NOT focused) OR (NOT faulty AND hit AND budget < 4096)) THEN 'open' ELSE 'unresolved' END,
+    CASE WHEN NOT accepted AND NOT faulty AND hit AND n < 3 AND budget < 4096 THEN budget + 1024 ELSE budget END,
+    focused OR (NOT accepted AND faulty AND n < 3)
+  FROM walk w JOIN r ON r.id = w.id AND r.k = n + 1 WHERE status = 'open'),
+final AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)
+SELECT id, n::INT AS attempts, status, budget::INT AS budget, focused, 0::INT AS waiting,
+       (CASE WHEN status = 'open' THEN 0 ELSE (SELECT count(*) FROM r WHERE r.id = final.id) - n END)::INT AS ignored FROM final"""
+
 SQL = {
+    "attempt_stream": STEPS,
+    "attempt_history": STEPS,
     "id_set_diff": """
         SELECT doc_id AS id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
         UNION ALL SELECT DISTINCT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
@@ -25,4 +41,12 @@ SQL = {
         """SELECT id, skipped, CASE WHEN skipped IS NULL THEN len(p) + len(a) ELSE 0 END::BIGINT AS n_tokens,
            CASE WHEN skipped IS NULL THEN list_sum(p) + list_sum(a) ELSE 0 END::BIGINT AS id_sum,
            CASE WHEN skipped IS NULL THEN list_sum(a) - 100 * len(p) ELSE 0 END::BIGINT AS label_sum FROM s"""),
+    "padded_batches": select([PAIRS, f"""
+        t AS (SELECT qid AS id, {IDS.format(w=words('question'))} AS p, list_append({IDS.format(w=words('answer'))}, 2) AS a FROM pairs),
+        u AS (SELECT id, list_concat(p, a) AS x, len(p) AS np, list_sum(a) AS sa, len(p) + len(a) AS n FROM t
+              WHERE len(p) > 0 AND least(2048, 4096 - len(a)) >= 512 AND len(p) <= least(2048, 4096 - len(a))),
+        r AS (SELECT *, row_number() OVER (ORDER BY n, id) - 1 AS place FROM u),
+        b AS (SELECT *, place // 16 AS batch, max(n) OVER (PARTITION BY place // 16) AS width FROM r)"""],
+        """SELECT id, batch, (place % 16)::INT AS slot, width::INT AS width, (width - n)::INT AS padding,
+           (list_sum(x) + width - n)::BIGINT AS id_sum, n::BIGINT AS mask_sum, (sa - 100 * (np + width - n))::BIGINT AS label_sum FROM b"""),
 }

@@ -25,6 +25,22 @@ picked AS (
 """
 
 SQL = {
+    "stored_rankings": select(RANKED, """
+        SELECT 'bm25' AS branch, qid, chunk_id, 0 AS level, rank::INT AS rank, round(score, 6) AS score FROM bm25 UNION ALL
+        SELECT 'bm25_phrases', qid, chunk_id, 0, rank::INT, round(score, 6) FROM bm25_phrases UNION ALL
+        SELECT 'bm25_precise', qid, chunk_id, level::INT, rank::INT, round(score, 6) FROM bm25_precise"""),
+    "batch_retrieval": select(POOLED, f"""
+        SELECT item_id AS qid, text AS question, {', '.join(f"coalesce((SELECT string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY {r}) FROM {t} x WHERE x.qid = item_id), '') AS {n}"
+            for n, t, r in (('bm25', 'bm25', 'rank'), ('bm25_phrases', 'bm25_phrases', 'rank'), ('bm25_precise', 'bm25_precise', 'rank'), ('rrf', 'fused', 'rank'), ('reranked', 'final', 'final_place')))},
+          coalesce((SELECT string_agg(parent_id, ',' ORDER BY place) FROM (
+            SELECT qid, parent_id, min(final_place) AS place, row_number() OVER (PARTITION BY qid ORDER BY min(final_place)) AS k FROM final GROUP BY qid, parent_id) x
+            WHERE x.qid = item_id AND k <= 4), '') AS contexts
+        FROM benchmark"""),
+    "retrieval_cache_checks": """
+        SELECT c.name AS "check", count(*) AS n, min(doc_id) AS first_qid
+        FROM documents JOIN (VALUES (0, 'missing'), (1, 'question'), (2, 'models'), (3, 'retrieval'), (4, 'code'), (5, 'mode'), (6, 'mode_config'), (7, 'index')) c(k, name)
+          ON doc_id % 20 = c.k
+        WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY c.name""",
     "bm25_topk": select([CORPUS, QUESTIONS, POSTINGS, BROAD],
                         "SELECT qid, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM bm25"),
     "bm25_phrases": select([CORPUS, QUESTIONS, GRAMS, PHRASES],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillsift.config import RepairPolicy
 from quillsift.functions import answers as an, loops, text as tx
@@ -79,14 +79,14 @@ def loop_reasons(spark, folder) -> DataFrame:
 
 
 def _contexts(spark, folder) -> DataFrame:
-    """The two next replies of a conversation as evidence for a user turn."""
+    """All replies up to the next user turn as evidence for a user turn; a turn without any keeps one empty row."""
     turns = spread(tables.load(spark, folder, "conversations"))
-    asked = turns.where(F.col("role") == "user").select(
-        "conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"),
-        F.posexplode(F.array(F.lit(1), F.lit(3))).alias("context", "ahead"))
-    replies = turns.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    rows = asked.withColumn("turn", F.col("asked") + F.col("ahead")).join(replies, ["conv_id", "turn"])
-    return rows.select(F.concat_ws(":", "conv_id", "asked").alias("qid"), "question", "context",
+    asked = turns.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"))
+    replies = tables.with_question_turn(turns).where((F.col("role") == "assistant") & F.col("asked").isNotNull())
+    place = Window.partitionBy("conv_id", "asked").orderBy("turn")
+    replies = replies.select("conv_id", "asked", (F.row_number().over(place) - 1).alias("context"), "text")
+    rows = asked.join(replies, ["conv_id", "asked"], "left")
+    return rows.select(F.concat_ws(":", "conv_id", "asked").alias("qid"), "question", F.coalesce("context", F.lit(0)).alias("context"),
                        F.lit("").alias("number"), F.lit("").alias("heading"),
                        F.concat(F.col("conv_id").cast("string"), F.lit("")).alias("doc_id"), "text")
 
@@ -112,8 +112,7 @@ def citation_conflict(spark, folder) -> DataFrame:
 
 def extractive_fallback(spark, folder) -> DataFrame:
     contexts = _contexts(spark, folder)
-    # Conversations are short; a smaller bound makes the cut visible.
-    rows = ev.extractive_fallback(contexts, ev.local_support(contexts), max_words=60)
+    rows = ev.extractive_fallback(contexts, ev.local_support(contexts))
     return rows.select("qid", F.length("answer").cast("bigint").alias("n_chars"), F.sha2("answer", 256).alias("answer_sha"))
 
 
@@ -123,12 +122,14 @@ def focused_contexts(spark, folder) -> DataFrame:
 
 
 def route_decision(spark, folder) -> DataFrame:
-    """Replies that do not end a sentence stand for those that hit the token limit."""
+    """Replies that do not end a sentence stand for those that hit the token limit; evidence are all replies to the turn."""
     pairs = tables.qa_pairs(spark, folder).withColumnRenamed("id", "qid")
-    support = ev.refusal_support(_contexts(spark, folder)).select("qid", "strong")
-    conflict = ev.citation_conflict(pairs, _contexts(spark, folder)).select("qid", "conflict")
-    rows = pairs.join(support, "qid").join(conflict, "qid").select(
-        "qid", "strong", "conflict", an.answer_flags(F.col("answer"), F.lit("")).alias("flags"),
+    contexts = _contexts(spark, folder)
+    support = ev.refusal_support(contexts).select("qid", "strong")
+    conflict = ev.citation_conflict(pairs, contexts).select("qid", "conflict")
+    shown = contexts.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("evidence"))
+    rows = pairs.join(support, "qid").join(conflict, "qid").join(shown, "qid").select(
+        "qid", "strong", "conflict", an.answer_flags(F.col("answer"), F.col("evidence")).alias("flags"),
         (~F.col("answer").rlike("[.!?]$")).alias("hit"),
         (F.length(an.completed_prefix(F.col("answer"))) > 0).alias("completable"))
     return rows.select("qid", an.route(F.col("conflict"), F.col("hit"), F.col("flags"), F.col("strong"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillsift.catalog.answers import _contexts
 from quillsift.config import Attempts, Generation
@@ -12,7 +12,7 @@ from quillsift.functions import text as tx
 from quillsift.operators import prompt
 from quillsift.session import ensure_checkpoint_dir
 from quillsift.sources import integrity, tables
-from quillsift.streaming import journal
+from quillsift.streaming import attempts, journal
 
 
 def id_set_diff(spark, folder) -> DataFrame:
@@ -58,9 +58,51 @@ def next_attempts(spark, folder) -> DataFrame:
     return journal.next_attempts(events, journal.token_ladder(8192), Attempts(max_attempts=1 << 30))
 
 
+def _reports(spark, folder) -> DataFrame:
+    """Each user's events are the reports on its attempts, numbered by event id."""
+    turn = Window.partitionBy("user_id").orderBy("event_id")
+    kind = F.col("event_type")
+    return tables.load(spark, folder, "events").select(
+        F.col("user_id").cast("long").alias("id"), F.row_number().over(turn).alias("attempt"), F.lit(None).cast("int").alias("budget"),
+        F.lit(None).cast("boolean").alias("focused"), (kind == "purchase").alias("accepted"), (kind == "error").alias("faulty"),
+        kind.isin("view", "click").alias("hit_token_limit"))
+
+
+def attempt_stream(spark, folder) -> DataFrame:
+    """Reports arrive in three files, out of order; every batch keeps the steps it made, the last one of an item counts."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attempts-{uuid.uuid4().hex}"
+    reports = _reports(spark, folder)
+    queued = reports.groupBy("id").agg(F.lit(0).alias("attempt"))
+    both = reports.unionByName(queued, allowMissingColumns=True).select(*[c.split()[0] for c in attempts.REPORT.split(", ")])
+    both.repartitionByRange(3, F.pmod("attempt", F.lit(3))).write.parquet(f"{root}/queue")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/steps/batch={number}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, attempts.STATES)
+    try:
+        source = spark.readStream.schema(attempts.REPORT).option("maxFilesPerTrigger", 1).parquet(f"{root}/queue")
+        steps = attempts.schedule(source, journal.token_ladder(8192))
+        (steps.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/progress")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(provider, before)
+    fields = [c.split()[0] for c in attempts.STEP.split(", ")[1:]]
+    rows = spark.read.parquet(f"{root}/steps").groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
+    return rows.select("id", *[F.col(f"s.{c}").alias(c) for c in fields])
+
+
+def attempt_history(spark, folder) -> DataFrame:
+    """The same steps from the complete table of reports."""
+    reports = _reports(spark, folder)
+    return attempts.history_steps(reports.select("id"), reports, journal.token_ladder(8192))
+
+
 def _seeded(spark, folder) -> DataFrame:
     """The middle of each reply is its seed."""
-    rows = _contexts(spark, folder).withColumn("parent_id", F.concat_ws(":", "qid", "context"))
+    rows = _contexts(spark, folder).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("parent_id", F.concat_ws(":", "qid", "context"))
     middle = F.floor(F.length("text") / 2).cast("int")
     return rows.withColumn("seed_start", middle).withColumn("seed_end", F.least(middle + 40, F.length("text")))
 
@@ -83,5 +125,15 @@ def training_examples(spark, folder) -> DataFrame:
                       total("input_ids").alias("id_sum"), total("labels").alias("label_sum"))
 
 
+def padded_batches(spark, folder) -> DataFrame:
+    """Batches of 16 examples, padded with token 1."""
+    ids = lambda c: F.transform(tx.words(F.col(c)), lambda w: F.ascii(w))
+    rows = tables.qa_pairs(spark, folder).select("id", ids("question").alias("prompt_ids"), ids("answer").alias("answer_ids"))
+    out = prompt.padded_batches(prompt.training_examples(rows, eos=2, limit=4096, prompt_limit=2048, minimum=512), 16, 1)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("id", "batch", "slot", "width", "padding", total("input_ids").alias("id_sum"), total("attention_mask").alias("mask_sum"),
+                      total("labels").alias("label_sum"))
+
+
 QUERIES = {f.__name__: f for f in (
-    id_set_diff, leak_check, journal_pending, journal_stream, next_attempts, prompt_budget, training_examples)}
+    id_set_diff, leak_check, journal_pending, journal_stream, next_attempts, attempt_stream, attempt_history, prompt_budget, training_examples, padded_batches)}

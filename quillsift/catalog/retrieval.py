@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillsift.config import Retrieval
 from quillsift.operators import context, corpus, dense, fusion, lexical
 from quillsift.operators.sizing import lookup_join
-from quillsift.plans import retrieval as plans
-from quillsift.session import settled
-from quillsift.sources import tables
+from quillsift.plans import batch, retrieval as plans
+from quillsift.session import ensure_checkpoint_dir, settled
+from quillsift.sources import sinks, tables
 
 CFG = Retrieval()
 
@@ -36,6 +38,66 @@ def bm25_precise(spark, folder) -> DataFrame:
     return _branch(spark, folder, "bm25_precise").select("qid", "chunk_id", "level", "rank", "score")
 
 
+def _built(spark, folder) -> tuple[sinks.Index, lexical.Questions]:
+    """An index of all windows in the shared folder, opened again."""
+    docs, qs = _inputs(spark, folder)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    parents = docs.unique().select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"), "doc_id", "text")
+    sinks.write_index(docs.chunks(), parents, path)
+    return sinks.read_index(spark, path), qs
+
+
+def batch_retrieval(spark, folder) -> DataFrame:
+    """Questions in two files, retrieved by a job that is paused once and fails once between write and commit."""
+    index, qs = _built(spark, folder)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{uuid.uuid4().hex}"
+    questions = qs.rows.select(F.col("qid").cast("long").alias("qid"), "question")
+    part = F.pmod(F.xxhash64("qid"), F.lit(2)).cast("int")
+    questions.repartitionByRange(2, part).write.parquet(f"{root}/queue")
+    known = batch.identity(questions, index, CFG)
+
+    def lost(number: int) -> None:
+        if number == 1 and not failed:
+            failed.append(number)
+            raise batch.Interrupted(f"lost after writing batch {number}")
+
+    failed: list[int] = []
+    for limit in (1, None):
+        try:
+            batch.run(spark, f"{root}/queue", f"{root}/out", index, CFG, known, limit, lost)
+        except batch.Interrupted:
+            continue
+    rows = batch.run(spark, f"{root}/queue", f"{root}/out", index, CFG, known)
+    ids = lambda name: F.array_join(F.col("stages")[name].cast("array<string>"), ",").alias(name)
+    return rows.select("qid", "question", *[ids(s) for s in batch.STAGES],
+                       F.coalesce(F.array_join(F.transform("contexts", lambda c: c["parent_id"]), ","), F.lit("")).alias("contexts"))
+
+
+def retrieval_cache_checks(spark, folder) -> DataFrame:
+    """Document texts stand for questions, labels say which are asked; part of the cache was made by another run.
+
+    The cached record of a document departs by its number: no record, another text, models, settings, code, mode,
+    pool size or index.
+    """
+    docs = tables.load(spark, folder, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+    asked = docs.join(tables.load(spark, folder, "labels").select(F.col("doc_id").alias("qid")), "qid", "left_semi")
+    kind = F.pmod("qid", F.lit(20))
+    good = {"models": "m1", "retrieval": "r1", "code": "c1", "mode": "lexical", "mode_config": "24", "index": "i1"}
+    own = {"models": 2, "retrieval": 3, "code": 4, "mode": 5, "mode_config": 6, "index": 7}
+    known = F.create_map(*[x for name, value in good.items() for x in (
+        F.lit(name), F.when(kind == own[name], F.lit("other")).otherwise(F.lit(value)))])
+    text = F.when(kind == 1, F.concat("question", F.lit("?"))).otherwise(F.col("question"))
+    cache = docs.where(kind != 0).select("qid", text.alias("question"), known.alias("identity"))
+    return batch.violations(batch.checked(asked, cache, good))
+
+
+def stored_rankings(spark, folder) -> DataFrame:
+    """All three rankings from the stored index, blocks that cannot matter left unread."""
+    index, qs = _built(spark, folder)
+    rows = index.rankings(qs, CFG)
+    return rows.select("branch", "qid", "chunk_id", "level", "rank", F.round("score", 6).alias("score"))
+
+
 def rrf_fusion(spark, folder) -> DataFrame:
     docs, qs = _inputs(spark, folder)
     fused = fusion.fuse(lexical.rankings(docs.chunks(), qs, CFG), lexical.BRANCHES, CFG.rrf_constant)
@@ -128,7 +190,8 @@ def answer_token_coverage(spark, folder) -> DataFrame:
 
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "bm25_phrases": bm25_phrases, "bm25_precise": bm25_precise,
+    "stored_rankings": stored_rankings, "batch_retrieval": batch_retrieval,
+    "retrieval_cache_checks": retrieval_cache_checks, "bm25_topk": bm25_topk, "bm25_phrases": bm25_phrases, "bm25_precise": bm25_precise,
     "rrf_fusion": rrf_fusion, "diversified_pool": diversified_pool,
     "retrieval_boosts": retrieval_boosts, "lexical_retrieval": lexical_retrieval,
     "context_materialize": context_materialize, "dense_knn": dense_knn,

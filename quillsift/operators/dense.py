@@ -2,82 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillsift.operators.sizing import lookup_join
+
 DIGITS = 9
-# Question vectors that travel to every task as one matrix, and vectors per group beyond that.
-QUESTION_BOUND = 20_000
-SLICE = 8_192
+# Questions whose blocks may be broadcast, questions of a block, bytes of a pack of vectors.
+QUESTION_BOUND, BLOCK, PACK_BYTES = 20_000, 2_048, 16 << 20
 OUT = "qid long, id long, score double"
+PACK = "ids binary, matrix binary, first long"
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Per row the ``k`` best columns by (score descending, id ascending)."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, axis=1), ids[order]
 
+def _packed(batches) -> Iterator[pa.RecordBatch]:
+    """Vectors of a task to packs of bounded size, one row each."""
+    ids, rows, held = [], [], 0
 
-def _frame(qids, scores, ids) -> pd.DataFrame:
-    return pd.DataFrame({"qid": np.repeat(qids, scores.shape[1]), "id": ids.ravel(),
-                         "score": scores.ravel()})
+    def flush():
+        numbers = np.concatenate(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([numbers.tobytes()]), pa.array([np.vstack(rows).tobytes()]), pa.array([int(numbers[0])])], ["ids", "matrix", "first"])
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids.append(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64))
+        rows.append(_matrix(batch.column("vector")))
+        held += rows[-1].nbytes
+        if held >= PACK_BYTES:
+            yield flush()
+            ids, rows, held = [], [], 0
+    if ids:
+        yield flush()
 
-def _matrix(column) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` best scores of every row, by (score descending, id ascending).
+
+    The k-th score of a row comes from a partial selection; everything that ties with it takes part in the order.
+    """
+    if scores.shape[1] > k:
+        kth = np.partition(scores, -k, axis=1)[:, -k]
+        row, column = np.nonzero(scores >= kth[:, None])
+    else:
+        row, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def _met(k: int):
+    """A pack of vectors beside a block of questions to the pack's best of every question."""
+    def run(batches):
+        for batch in batches:
+            for pack, matrix, asked in zip(*(batch.column(c) for c in ("ids", "matrix", "asked"))):
+                ids = np.frombuffer(pack.as_buffer(), np.int64)
+                vectors = np.frombuffer(matrix.as_buffer(), np.float64).reshape(len(ids), -1)
+                qids = asked.values.field("qid").to_numpy(zero_copy_only=False)
+                scores = np.round(_matrix(asked.values.field("vector")) @ vectors.T, DIGITS)
+                row, column = best(scores, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[column]), pa.array(scores[row, column])], ["qid", "id", "score"])
+    return run
 
 
 def nearest(questions: DataFrame, vectors: DataFrame, k: int = 100,
-            question_bound: int = QUESTION_BOUND) -> DataFrame:
+            question_bound: int = QUESTION_BOUND, block: int = BLOCK) -> DataFrame:
     """``(qid, id, score, rank)`` of the ``k`` best vectors of every question.
 
-    ``questions`` is ``(qid, vector)`` and ``vectors`` is ``(id, vector)``. Every task multiplies its
-    vectors with all question vectors block by block and lets only its ``k`` best per question leave,
-    so no pair table is formed and vectors do not move. When there are too many questions for one
-    matrix per task, vectors and questions meet in slices of bounded size instead.
+    ``questions`` is ``(qid, vector)`` and ``vectors`` is ``(id, vector)``, all of one length. Questions are gathered
+    into blocks of about ``block``, vectors into packs where they lie. Every pack meets every block once, and only
+    the ``k`` best of a pack leave the task, so no pair table is formed. Blocks are broadcast up to
+    ``question_bound`` questions; beyond that packs and blocks meet in a salted join.
     """
     count = questions.count()
-    if count <= question_bound:
-        local = questions.toPandas()
-        if local.empty:
-            return _ranked(vectors.sparkSession.createDataFrame([], OUT), k)
-        qids, q = local["qid"].to_numpy(), _matrix(local["vector"])
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, q))
-
-        def scan(batches):
-            qids, q = shared.value
-            scores, ids = np.empty((len(qids), 0)), np.empty((len(qids), 0), dtype=np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                new = np.round(q @ _matrix(batch["vector"]).T, DIGITS)
-                found, which = _best(new, batch["id"].to_numpy(), k)
-                scores, ids = np.hstack([scores, found]), np.hstack([ids, which])
-                order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                scores = np.take_along_axis(scores, order, axis=1)
-                ids = np.take_along_axis(ids, order, axis=1)
-            yield _frame(qids, scores, ids)
-
-        return _ranked(vectors.select("id", "vector").mapInPandas(scan, OUT), k)
-
-    q_slices = -(-count // SLICE)
-    v_slices = max(-(-vectors.count() // SLICE), 1)
-
-    def sliced(df, key, own, own_n, other, other_n):
-        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))))
-
-    left = sliced(questions, "qid", "qs", q_slices, "vs", v_slices).groupBy("qs", "vs")
-    right = sliced(vectors, "id", "vs", v_slices, "qs", q_slices).groupBy("qs", "vs")
-
-    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or vs.empty:
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        scores = np.round(_matrix(qs["vector"]) @ _matrix(vs["vector"]).T, DIGITS)
-        return _frame(qs["qid"].to_numpy(), *_best(scores, vs["id"].to_numpy(), k))
-
-    return _ranked(left.cogroup(right).applyInPandas(meet, OUT), k)
+    blocks = max(1, -(-count // block))
+    asked = (questions.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.col("qid").cast("long").alias("qid"), "vector")
+             .groupBy("block").agg(F.collect_list(F.struct("qid", "vector")).alias("asked")))
+    packs = vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(_packed, PACK)
+    spread = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = lookup_join(spread, asked, "block", count, spread_by=["first"], limit=question_bound)
+    return _ranked(met.select("ids", "matrix", "asked").mapInArrow(_met(k), OUT), k)
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:

@@ -125,12 +125,6 @@ def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool)
             .agg(F.sum("w").alias("f")))
 
 
-def all_postings(chunks: DataFrame, phrases: bool = False) -> DataFrame:
-    """Postings of every unit, for storing. Same columns as ``postings``."""
-    counted = _occurrences(chunks, phrases)
-    return counted.groupBy("chunk_id", "unit", "length").agg(F.sum("w").alias("f"))
-
-
 def with_statistics(units: DataFrame, posts: DataFrame, rows: int) -> DataFrame:
     """Give every question unit its inverse document frequency and the corpus averages.
 
@@ -159,16 +153,22 @@ def branch_scores(posts: DataFrame, units: DataFrame, rows: int, cfg: Retrieval,
                   branches=BRANCHES) -> DataFrame:
     """``(branch, qid, chunk_id, level, score)`` for every chunk a branch admits."""
     hits = lookup_join(posts, units, "unit", rows, spread_by=["chunk_id"]).withColumn("s", contribution())
+    return entered(hits, cfg, branches)
+
+
+def entered(hits: DataFrame, cfg: Retrieval, branches=BRANCHES, asked: str | None = None) -> DataFrame:
+    """Contributions ``s`` of units summed per question and chunk; ``asked`` may name a column with the branches that want a row."""
+    wants = lambda name: F.lit(True) if asked is None else F.array_contains(asked, name)
     rank = F.col("precise_rank")
     aggs = []
     if "bm25" in branches:
-        aggs.append(F.sum(F.when(F.col("broad") == 1, F.col("s"))).alias("bm25"))
+        aggs.append(F.sum(F.when((F.col("broad") == 1) & wants("bm25"), F.col("s"))).alias("bm25"))
     if "bm25_phrases" in branches:
-        aggs.append(F.sum(F.when(F.col("phrase") == 1, F.col("s"))).alias("bm25_phrases"))
+        aggs.append(F.sum(F.when((F.col("phrase") == 1) & wants("bm25_phrases"), F.col("s"))).alias("bm25_phrases"))
     if "bm25_precise" in branches:
         aggs.append(F.max("n_terms").alias("n_terms"))
         for level in cfg.and_levels:
-            inside = (rank > 0) & (rank <= level)
+            inside = (rank > 0) & (rank <= level) & wants("bm25_precise")
             aggs += [F.count_if(inside).alias(f"c{level}"), F.sum(F.when(inside, F.col("s"))).alias(f"s{level}")]
     table = hits.groupBy("qid", "chunk_id").agg(*aggs)
 
@@ -214,22 +214,6 @@ def rankings(chunks: DataFrame, questions: Questions, cfg: Retrieval | None = No
     return _ranked(posts, units, rows, cfg, branches)
 
 
-def stored_rankings(index: DataFrame, questions: Questions, cfg: Retrieval | None = None,
-                    buckets: int = 64) -> DataFrame:
-    """Broad and strict rankings from stored postings; only the folders of asked tokens are read.
-
-    Phrases need the text and are ranked by ``rankings``.
-    """
-    cfg, branches = cfg or Retrieval(), ("bm25", "bm25_precise")
-    rows = questions.units
-    units = question_units(questions.rows, cfg, branches)
-    asked = vocabulary_of(units).withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int"))
-    folders = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``
-    near = index.where(F.col("bucket").isin(folders)).select("chunk_id", "unit", "length", "f")
-    kept = lookup_join(near, asked.select("unit"), "unit", rows, "left_semi", spread_by=["chunk_id"])
-    return _ranked(kept.where(F.col("unit").isNotNull()).repartition("chunk_id"), units, rows, cfg, branches)
-
-
 def vocabulary_of(units: DataFrame) -> DataFrame:
     """Distinct units with the pseudo unit every chunk holds."""
     every = units.sparkSession.range(1).select(F.lit(EVERY).alias("unit"))

@@ -5,46 +5,76 @@ from __future__ import annotations
 import json
 import os
 import zipfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from quillsift.operators import lexical
+from quillsift.operators import blockmax, corpus, lexical
+from quillsift.operators.sizing import lookup_join
 from quillsift.sources import integrity
+from quillsift.sources.json_objects import require_none
 
 
-def write_index(chunks: DataFrame, parents: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write parents, chunks and postings of a corpus.
+def write_index(chunks: DataFrame, parents: DataFrame, path: str, vectors: DataFrame | None = None,
+                block_chunks: int = blockmax.BLOCK_CHUNKS, folders: int = blockmax.FOLDERS) -> None:
+    """Write parents, chunks, postings by unit and block, and optionally vectors ``(chunk_id, vector)`` of a corpus.
 
-    Postings lie in ``buckets`` folders by token, so that a batch of questions reads only the folders
-    its tokens fall into. Within a folder a hot token is spread over several files by chunk.
+    Postings lie in ``folders`` folders by unit, sorted by unit and block inside, so a batch of questions reads
+    only the folders and row groups of its units. Chunk ids and parent ids that occur twice and chunks without
+    parent are an error. The manifest is written last, so an unfinished index is never read.
     """
+    spark = chunks.sparkSession
     parents.write.mode("overwrite").parquet(f"{path}/parents")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    posts = lexical.all_postings(stored)
-    posts = posts.withColumn("bucket", bucket_of("unit", buckets)).withColumn(
-        "_spread", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    posts.repartition("bucket", "_spread").drop("_spread").sortWithinPartitions("bucket", "unit").write.partitionBy(
-        "bucket").mode("overwrite").parquet(f"{path}/postings")
+    blockmax.with_lengths(chunks).write.mode("overwrite").parquet(f"{path}/chunks")
+    stored, owners = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/parents")
+    require_none(corpus.duplicate_ids(stored, "chunk_id"), "duplicate chunk id")
+    require_none(corpus.duplicate_ids(owners, "parent_id"), "duplicate parent id")
+    require_none(stored.select("parent_id").distinct().join(owners, "parent_id", "left_anti"), "chunk without parent")
+    if vectors is not None:
+        require_none(corpus.duplicate_ids(vectors, "chunk_id"), "duplicate vector id")
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    stats = blockmax.statistics(stored, block_chunks)
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    posts = blockmax.blocks(stored, stats.first(), folders)
+    # Range partitions by unit and block: a folder's units lie in few files, and a unit of many blocks is spread.
+    (posts.repartitionByRange("folder", "unit", "block").sortWithinPartitions("folder", "unit", "block")
+     .write.partitionBy("folder").mode("overwrite").parquet(f"{path}/postings"))
     manifest = integrity.table_digest(stored, "chunk_id", "parent_id", "header", "text")
-    manifest.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    manifest.withColumn("folders", F.lit(folders)).withColumn("vectors", F.lit(vectors is not None)).coalesce(1).write.mode(
+        "overwrite").json(f"{path}/manifest")
 
 
-def bucket_of(unit: str, buckets: int):
-    return F.pmod(F.xxhash64(unit), F.lit(buckets)).cast("int")
+@dataclass(frozen=True)
+class Index:
+    """A finished index: its tables, statistics and identity."""
 
+    parents: DataFrame
+    chunks: DataFrame
+    postings: DataFrame
+    vectors: DataFrame | None
+    statistics: Row
+    identity: str
+    folders: int
 
-def read_index(spark: SparkSession, path: str, identity: str | None = None):
-    """``(parents, chunks, postings)``; fails if the index is unfinished or not the expected one.
+    def rankings(self, questions: lexical.Questions, cfg=None, branches=lexical.BRANCHES, report: list | None = None) -> DataFrame:
+        """``(branch, qid, chunk_id, level, score, rank)`` from the stored postings alone."""
+        return blockmax.ranked(self.postings, self.statistics, questions, cfg, branches, self.folders, report)
 
-    The manifest is written last, so an interrupted build has none.
-    """
+    def chunks_of(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Stored chunks behind ``ids`` (at most ``rows`` chunk ids)."""
+        return lookup_join(self.chunks, ids.select("chunk_id").distinct(), "chunk_id", rows, "left_semi", spread_by=["chunk_id"])
+
+
+def read_index(spark: SparkSession, path: str, identity: str | None = None) -> Index:
+    """Open an index; fails if it is unfinished or not the expected one."""
     if not integrity.exists(spark, f"{path}/manifest/_SUCCESS"):
         raise ValueError("the index was not completed")
-    manifest = spark.read.schema("n long, identity string, buckets int").json(f"{path}/manifest").first()
+    manifest = spark.read.schema("n long, identity string, folders int, vectors boolean").json(f"{path}/manifest").first()
     if identity is not None and manifest.identity != identity:
         raise ValueError("the index was built from other chunks")
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("parents", "chunks", "postings"))
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(table("parents"), table("chunks"), table("postings"), table("vectors") if manifest.vectors else None,
+                 table("statistics").first(), manifest.identity, manifest.folders)
 
 
 def package_answers(answers: DataFrame, target: str, member: str = "submission.json") -> int:

@@ -94,16 +94,47 @@ def test_rankings_without_broadcast(inputs, monkeypatch):
     check(collect(lexical.rankings(*inputs)))
 
 
-def test_rankings_from_a_stored_index(spark, inputs, tmp_path):
+@pytest.mark.parametrize("block_chunks", [1, 4, 1000])
+def test_rankings_from_a_stored_index(spark, inputs, tmp_path, block_chunks):
     chunks, questions = inputs
-    sinks.write_index(chunks, chunks.select("parent_id").distinct(), str(tmp_path), buckets=5)
-    _, stored, postings = sinks.read_index(spark, str(tmp_path))
-    assert stored.count() == len(CHUNKS)
+    sinks.write_index(chunks, chunks.select("parent_id").distinct(), str(tmp_path), block_chunks=block_chunks, folders=5)
+    index = sinks.read_index(spark, str(tmp_path))
+    assert index.chunks.count() == len(CHUNKS) and index.vectors is None
     with pytest.raises(ValueError):
         sinks.read_index(spark, str(tmp_path), identity="other")
     with pytest.raises(ValueError):
         sinks.read_index(spark, str(tmp_path / "nothing"))
-    check(collect(lexical.stored_rankings(postings, questions, buckets=5)), ("bm25", "bm25_precise"))
+    check(collect(index.rankings(questions)))
+    check(collect(index.rankings(questions, branches=("bm25_precise",))), ("bm25_precise",))
+
+
+def test_blocks_below_the_best_score_stay_unread(spark, tmp_path):
+    """Few chunks hold the rare word; with two places to fill, blocks that hold only the common one are ruled out."""
+    rows = [(i, f"p{i}", "", "common words here" + (" rare rare" if i % 40 == 0 else f" filler{i % 7}")) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, parent_id string, header string, text string")
+    asked = lexical.Questions.of(spark.createDataFrame([(1, "rare common")], "qid long, question string"))
+    cfg, report = Retrieval(broad_k=2, precise_k=2), []
+    sinks.write_index(chunks, chunks.select("parent_id").distinct(), str(tmp_path), block_chunks=4)
+    index = sinks.read_index(spark, str(tmp_path))
+    got = index.rankings(asked, cfg, report=report).collect()
+    want = lexical.rankings(chunks, asked, cfg).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+    counts = {r.read: r["count"] for r in report[0].where("branch = 'bm25'").groupBy("read").count().collect()}
+    assert counts[True] == 10 and counts[False] == 90
+
+
+def test_an_index_refuses_repeated_ids_and_orphans(spark, inputs, tmp_path):
+    chunks, _ = inputs
+    parents = chunks.select("parent_id").distinct()
+    vectors = chunks.selectExpr("chunk_id", "array(1.0d) AS vector")
+    for broken in ((chunks.unionByName(chunks.limit(1)), parents, None), (chunks, parents.union(parents.limit(1)), None),
+                   (chunks, parents.limit(1), None), (chunks, parents, vectors.union(vectors.limit(1)))):
+        with pytest.raises(ValueError, match="duplicate|without parent"):
+            sinks.write_index(*broken[:2], str(tmp_path), broken[2])
+        with pytest.raises(ValueError, match="not completed"):
+            sinks.read_index(spark, str(tmp_path))
+    sinks.write_index(chunks, parents, str(tmp_path), vectors)
+    assert sinks.read_index(spark, str(tmp_path)).vectors.count() == len(CHUNKS)
 
 
 def test_fuse(spark):
