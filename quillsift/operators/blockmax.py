@@ -11,20 +11,24 @@ Postings of other blocks are never read into a join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillsift.config import Retrieval
 from quillsift.functions import text as tx
-from quillsift.operators import lexical
-from quillsift.operators.lexical import B, BRANCHES, HEADER_WEIGHT, IDF_FLOOR, K1, TEXT_WEIGHT
+from quillsift.operators import lexical, scoring
+from quillsift.operators.lexical import B, BRANCHES, HEADER_WEIGHT, K1, TEXT_WEIGHT
 from quillsift.operators.sizing import hinted, lookup_join
 from quillsift.session import settled
 
-#: Chunks of a block on average; unit folders.
+#: Chunks of a block on average; groups of units by hash.
 BLOCK_CHUNKS, FOLDERS = 32, 64
+#: Occurrences that a partition of the build holds on average.
+PARTITION_ROWS = 1 << 22
 #: Scores are rounded to nine digits; a bound has to fall short by more than that.
 SLACK = 1e-6
-ROLES = ["qid", "n_terms", "broad", "phrase", "precise_rank", "idf"]
 
 
 def with_lengths(chunks: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def statistics(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame
 
 def impact(f, length, average):
     """Contribution of a posting over its inverse document frequency."""
-    return f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / average))
+    return f * (K1 + 1) / (f + K1 * ((1 - B) + B * length / average))
 
 
 def _units(toks: str, weight: float):
@@ -53,37 +57,90 @@ def _units(toks: str, weight: float):
     return F.transform(every, lambda u: F.struct(u.alias("unit"), F.lit(weight).alias("w")))
 
 
+def folder_of(unit, folders: int):
+    """Folders are equal ranges of the unit's hash."""
+    part = F.floor((F.xxhash64(unit).cast("double") / 2.0 ** 64 + 0.5) * folders)
+    return F.least(part, F.lit(folders - 1)).cast("int")
+
+
+BLOCKS = ("folder int, unit string, block bigint, n bigint, most double, "
+          "postings array<struct<chunk_id:bigint,length:int,f:double>>")
+
+
+def _packed(average: float):
+    """Occurrences in the order of unit, block and chunk to one row per unit and block."""
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        unit, block, chunk = (rows.column(c).combine_chunks() for c in ("unit", "block", "chunk_id"))
+        folder, length, w = (rows.column(c).to_numpy() for c in ("folder", "length", "w"))
+        new = np.ones(len(w), bool)
+        if len(w) > 1:
+            new[1:] = pc.or_(pc.not_equal(unit[1:], unit[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        numbers = chunk.to_numpy()
+        first = new.copy()
+        first[1:] |= numbers[1:] != numbers[:-1]
+        posts = np.flatnonzero(first)
+        f, size = np.add.reduceat(w, posts), length[posts]
+        starts = np.flatnonzero(new)
+        begins = np.searchsorted(posts, starts)
+        most = np.maximum.reduceat(impact(f, size, average), begins)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(posts)), pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(numbers[posts]), pa.array(size, pa.int32()), pa.array(f)], ["chunk_id", "length", "f"]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(folder[starts], pa.int32()), unit.take(pa.array(starts)), block.take(pa.array(starts)),
+             pa.array(np.diff(np.append(begins, len(posts))), pa.int64()), pa.array(most), lists], [c.split()[0] for c in BLOCKS.split(", ")])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            unit, block = rows.column("unit").combine_chunks(), rows.column("block").combine_chunks()
+            # The last unit and block may go on in the next batch.
+            same = pc.and_(pc.equal(unit, unit[-1]), pc.equal(block, block[-1])).to_numpy(zero_copy_only=False)
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = rows.slice(cut)
+            if cut:
+                yield pack(rows.slice(0, cut))
+        if held is not None:
+            yield pack(held)
+    return run
+
+
 def blocks(chunks: DataFrame, stats, folders: int = FOLDERS) -> DataFrame:
-    """Postings of ``chunks(chunk_id, header, text, length)`` by unit and block.
+    """Postings of ``chunks(chunk_id, header, text, length)`` by unit and block, in the order of folder, unit hash and block.
 
-    Occurrences move once, to their (unit, block); a unit that every chunk holds is spread over all blocks, so no
-    unit is hot. ``stats`` is the row of ``statistics``.
+    Occurrences move once. ``folder`` is a hash of the unit; a folder's blocks are dealt over as many partitions as
+    the corpus needs, so a unit that every chunk holds is spread and no unit is hot. ``stats`` is the row of
+    ``statistics``.
     """
     cut = chunks.select("chunk_id", "length", tx.tokens(F.col("header")).alias("head"), tx.tokens(F.col("text")).alias("body"))
     rows = cut.select("chunk_id", "length", F.explode(F.concat(_units("head", HEADER_WEIGHT), _units("body", TEXT_WEIGHT))).alias("o"))
     block = F.floor((F.col("chunk_id") - stats.first_chunk) / F.lit(stats.span)).cast("bigint")
-    rows = rows.select(F.col("o.unit").alias("unit"), block.alias("block"), "chunk_id", "length", F.col("o.w").alias("w")).repartition("unit", "block")
-    posts = rows.groupBy("unit", "block", "chunk_id", "length").agg(F.sum("w").alias("f"))
-    average = F.lit(stats.n_tokens / max(stats.n_rows, 1))
-    return (posts.groupBy("unit", "block").agg(
-        F.count("*").alias("n"), F.max(impact(F.col("f"), F.col("length"), average)).alias("most"),
-        F.collect_list(F.struct("chunk_id", "length", "f")).alias("postings"))
-        .withColumn("folder", F.pmod(F.xxhash64("unit"), F.lit(folders)).cast("int")))
+    parts = max(1, -(-3 * stats.n_tokens // (folders * PARTITION_ROWS)))
+    rows = rows.select(folder_of(F.col("o.unit"), folders).alias("folder"), F.xxhash64("o.unit").alias("key"), F.col("o.unit").alias("unit"),
+                       block.alias("block"), "chunk_id", F.col("length").cast("int").alias("length"), F.col("o.w").alias("w"))
+    dealt = rows.repartition("folder", F.pmod("block", F.lit(parts)))
+    average = stats.n_tokens / max(stats.n_rows, 1)
+    # By the hash first: its order is that of the folders, and it tells nearly all units apart without comparing them.
+    ordered = dealt.sortWithinPartitions("key", "unit", "block", "chunk_id").drop("key")
+    return ordered.mapInArrow(_packed(average), BLOCKS)
 
 
 def asked_blocks(index: DataFrame, units: DataFrame, rows: int, folders: int = FOLDERS) -> DataFrame:
     """Light rows ``(unit, block, n, most, folder)`` of the units that questions ask for."""
-    asked = units.select("unit").distinct().withColumn("folder", F.pmod(F.xxhash64("unit"), F.lit(folders)).cast("int"))
+    asked = units.select("unit").distinct().withColumn("folder", folder_of(F.col("unit"), folders))
     named = [r.folder for r in asked.select("folder").distinct().collect()]  # at most ``folders``
     near = index.where(F.col("folder").isin(named)).select("unit", "block", "n", "most", "folder")
     return lookup_join(near, asked.select("unit"), "unit", rows, "left_semi", spread_by=["block"])
 
 
 def weighed_units(units: DataFrame, light: DataFrame, stats, rows: int) -> DataFrame:
-    """Questions' units that occur, with their inverse document frequency."""
-    df = light.groupBy("unit").agg(F.sum("n").alias("df"))
-    idf = F.ln((F.lit(float(stats.n_rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (df.join(hinted(units, rows), "unit").withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))).drop("df"))
+    """Questions' units that occur, with their inverse document frequency and a number for each unit."""
+    df = light.groupBy("unit").agg(F.sum("n").alias("df")).withColumn("uid", F.row_number().over(Window.orderBy("unit")) - 1)
+    idf = lexical.inverse_frequency(F.lit(float(stats.n_rows)), F.col("df"))
+    return df.join(hinted(units, rows), "unit").withColumn("idf", idf).drop("df")
 
 
 def bounds(light: DataFrame, weighed: DataFrame, rows: int, cfg: Retrieval, branches=BRANCHES) -> DataFrame:
@@ -116,21 +173,19 @@ def bounds(light: DataFrame, weighed: DataFrame, rows: int, cfg: Retrieval, bran
             .select("e.branch", "qid", "block", "e.bound", "e.filled"))
 
 
-def _scores(index: DataFrame, chosen: DataFrame, light: DataFrame, weighed: DataFrame, rows: int, cfg: Retrieval,
-            average: float, branches) -> DataFrame:
-    """Scores of all chunks of the chosen ``(branch, qid, block)``; only their postings leave the scan."""
-    wanted = chosen.groupBy("qid", "block").agg(F.collect_set("branch").alias("asked"))
-    hits = lookup_join(light.select("unit", "block"), weighed, "unit", rows, spread_by=["block"]).join(wanted, ["qid", "block"])
-    roles = {"bm25": F.col("broad") == 1, "bm25_phrases": F.col("phrase") == 1, "bm25_precise": F.col("precise_rank") > 0}
-    plays = F.lit(False)
-    for name in branches:
-        plays = plays | (F.array_contains("asked", name) & roles[name])
-    own = settled(hits.where(plays).select("unit", "block", "asked", *ROLES))
-    # A stored row is one unit in one block, so no key of this join is hot.
-    met = index.select("unit", "block", "postings").join(hinted(own, own.count()), ["unit", "block"])
-    each = met.select("asked", *ROLES, F.explode("postings").alias("p"))
-    share = F.col("idf") * impact(F.col("p.f"), F.col("p.length"), F.lit(average))
-    return lexical.entered(each.select("asked", *ROLES, F.col("p.chunk_id").alias("chunk_id"), share.alias("s")), cfg, branches, "asked")
+def _scores(index: DataFrame, chosen: DataFrame, weighed: DataFrame, asked: scoring.Asked, rows: int, cfg: Retrieval,
+            average: float) -> DataFrame:
+    """Best scores among the chunks of the chosen ``(branch, qid, block)``; other blocks' postings do not leave the scan.
+
+    A block that one question needs is scored for all, which changes nothing: their best chunks lie elsewhere.
+    """
+    wanted = settled(chosen.select("block").distinct())
+    kept = lookup_join(index.select("unit", "block", "postings"), wanted, "block", wanted.count(), "left_semi", spread_by=["unit"])
+    named = weighed.select("unit", "uid", "idf").distinct()
+    met = lookup_join(kept, named, "unit", rows, spread_by=["block"]).repartition("block")
+    each = met.select("uid", "idf", F.explode("postings").alias("p"))
+    share = F.col("idf") * impact(F.col("p.f"), F.col("p.length"), average)
+    return scoring.best_scores(each.select(F.col("p.chunk_id").alias("chunk_id"), "uid", share.alias("s")), asked, cfg)
 
 
 def ranked(index: DataFrame, stats, questions: lexical.Questions, cfg: Retrieval | None = None, branches=BRANCHES,
@@ -148,17 +203,17 @@ def ranked(index: DataFrame, stats, questions: lexical.Questions, cfg: Retrieval
     weighed = settled(weighed_units(units, light, stats, rows))
     bound = settled(bounds(light, weighed, rows, cfg, branches))
     average = stats.n_tokens / max(stats.n_rows, 1)
+    asked = scoring.Asked.of(weighed, branches)
     limit = F.when(F.col("branch") == "bm25", F.lit(cfg.broad_k)).otherwise(F.lit(cfg.precise_k))
     best = Window.partitionBy("branch", "qid").orderBy(F.desc("bound"), "block")
     before = best.rowsBetween(Window.unboundedPreceding, -1)
     # Enough blocks to hold k admitted chunks; a window over the blocks of one question and branch.
     first = bound.where("filled > 0").withColumn("so_far", F.coalesce(F.sum("filled").over(before), F.lit(0))).where(F.col("so_far") < limit)
-    found = lexical.top_ranked(_scores(near, first.select("branch", "qid", "block"), light, weighed, rows, cfg, average, branches), cfg)
-    least = (found.where(F.col("rank") == limit).select("branch", "qid", F.col("score").alias("least")))
+    found = lexical.top_ranked(_scores(near, first, weighed, asked, rows, cfg, average), cfg)
+    least = found.where(F.col("rank") == limit).select("branch", "qid", F.col("score").alias("least"))
     judged = bound.join(hinted(least, 3 * questions.count), ["branch", "qid"], "left").withColumn(
         "read", F.col("bound") >= F.coalesce(F.col("least"), F.lit(0.0)) - SLACK)
     if report is not None:
         judged = settled(judged)
         report.append(judged)
-    scores = _scores(near, judged.where("read").select("branch", "qid", "block"), light, weighed, rows, cfg, average, branches)
-    return lexical.top_ranked(scores, cfg)
+    return lexical.top_ranked(_scores(near, judged.where("read"), weighed, asked, rows, cfg, average), cfg)

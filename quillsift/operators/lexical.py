@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillsift.config import Retrieval
 from quillsift.functions import text as tx
+from quillsift.operators import scoring
 from quillsift.operators.sizing import hinted, lookup_join
+from quillsift.session import settled
 
 K1, B = 1.2, 0.75
 HEADER_WEIGHT, TEXT_WEIGHT = 2.5, 1.0
@@ -25,6 +27,9 @@ HEADER_MARK = "\x01"
 # A pseudo unit every chunk holds once: its postings count chunks and sum their lengths.
 EVERY = ""
 
+# Units of questions (one row each) that are shared with every task.
+ASKED_BOUND = 1_000_000
+
 BRANCHES = ("bm25", "bm25_phrases", "bm25_precise")
 
 
@@ -114,14 +119,16 @@ def postings(chunks: DataFrame, vocabulary: DataFrame, rows: int, phrases: bool)
     """``(chunk_id, unit, length, f)`` for the units of the vocabulary, clustered by chunk.
 
     ``f`` weighs header and text occurrences, ``length`` is the token count of both fields. The
-    vocabulary (at most ``rows`` entries) filters the exploded units on the map side.
+    vocabulary (at most ``rows`` entries) filters the exploded units on the map side; a column ``uid`` of it
+    takes the place of the unit.
     """
     exploded = _occurrences(chunks, phrases)
+    key = "uid" if "uid" in vocabulary.columns else "unit"
     # The null test is what joins on the unit would push down; stated here, every reader of the
     # shuffle below sees the same plan and it runs once.
     kept = lookup_join(exploded.where(F.col("unit").isNotNull()), vocabulary, "unit", rows,
-                       "left_semi", spread_by=["chunk_id"])
-    return (kept.repartition("chunk_id").groupBy("chunk_id", "unit", "length")
+                       "left_semi" if key == "unit" else "inner", spread_by=["chunk_id"])
+    return (kept.repartition("chunk_id").groupBy("chunk_id", key, "length")
             .agg(F.sum("w").alias("f")))
 
 
@@ -137,12 +144,16 @@ def with_statistics(units: DataFrame, posts: DataFrame, rows: int) -> DataFrame:
     joined = (stats.where(F.col("max_f") > 0).join(hinted(units, rows), "unit")
               .withColumn("n_rows", whole.select("df").scalar())
               .withColumn("n_tokens", whole.select("total").scalar()))
-    idf = F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (joined.withColumn("avg_length", F.col("n_tokens") / F.col("n_rows"))
-            .withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)))
+            .withColumn("idf", inverse_frequency(F.col("n_rows"), F.col("df")))
             .drop("df", "total", "max_f", "n_rows", "n_tokens"))
 
 
+def inverse_frequency(rows: Column, df: Column) -> Column:
+    idf = F.ln((rows - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
+
+
 def contribution() -> Column:
     f, length = F.col("f"), F.col("length")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.col("avg_length"))
@@ -202,24 +213,43 @@ def top_ranked(scores: DataFrame, cfg: Retrieval) -> DataFrame:
 
 
 def rankings(chunks: DataFrame, questions: Questions, cfg: Retrieval | None = None,
-             branches=BRANCHES) -> DataFrame:
+             branches=BRANCHES, asked_bound: int = ASKED_BOUND) -> DataFrame:
     """``(branch, qid, chunk_id, level, score, rank)`` of the asked branches.
 
-    ``chunks`` needs ``chunk_id, header, text``.
+    ``chunks`` needs ``chunk_id, header, text``. Up to ``asked_bound`` units of questions the question side is
+    shared with every task and sums are made there; beyond that units, questions and chunks meet in joins.
     """
     cfg = cfg or Retrieval()
     rows = questions.units
     units = question_units(questions.rows, cfg, branches)
-    posts = postings(chunks, vocabulary_of(units), rows, "bm25_phrases" in branches)
-    return _ranked(posts, units, rows, cfg, branches)
+    if rows > asked_bound:
+        posts = postings(chunks, vocabulary_of(units), rows, "bm25_phrases" in branches)
+        weighed = with_statistics(units, posts, rows)
+        return top_ranked(branch_scores(posts, weighed, rows, cfg, branches), cfg)
+    units = settled(units)
+    numbered = numbered_units(units)
+    # Statistics, corpus size and scores read the postings; the pass over the texts that makes them runs once.
+    posts = settled(postings(chunks, numbered, rows, "bm25_phrases" in branches))
+    whole = F.col("uid") == 0
+    stats = posts.groupBy("uid").agg(F.count("length").alias("df"), F.sum("length").alias("total"))
+    every = stats.where(whole)
+    stats = (stats.withColumn("n_rows", every.select("df").scalar()).withColumn("n_tokens", every.select("total").scalar()).where(~whole)
+             .select("uid", inverse_frequency(F.col("n_rows"), F.col("df")).alias("idf"), (F.col("n_tokens") / F.col("n_rows")).alias("avg_length")))
+    scored = posts.join(F.broadcast(stats), "uid").select("chunk_id", "uid", contribution().alias("s"))
+    asked = scoring.Asked.of(units.join(F.broadcast(numbered), "unit"), branches)
+    return top_ranked(scoring.best_scores(scored, asked, cfg), cfg)
+
+
+def numbered_units(units: DataFrame) -> DataFrame:
+    """``(unit, uid)`` of the distinct units, numbered; 0 is the pseudo unit every chunk holds.
+
+    One window over the vocabulary, whose size the questions bound.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("unit") != EVERY, "unit")) - 1
+    return settled(vocabulary_of(units).withColumn("uid", place))
 
 
 def vocabulary_of(units: DataFrame) -> DataFrame:
     """Distinct units with the pseudo unit every chunk holds."""
     every = units.sparkSession.range(1).select(F.lit(EVERY).alias("unit"))
     return units.select("unit").unionByName(every).distinct()
-
-
-def _ranked(posts, units, rows, cfg, branches) -> DataFrame:
-    weighed = with_statistics(units, posts, rows)
-    return top_ranked(branch_scores(posts, weighed, rows, cfg, branches), cfg)

@@ -19,8 +19,8 @@ def write_index(chunks: DataFrame, parents: DataFrame, path: str, vectors: DataF
                 block_chunks: int = blockmax.BLOCK_CHUNKS, folders: int = blockmax.FOLDERS) -> None:
     """Write parents, chunks, postings by unit and block, and optionally vectors ``(chunk_id, vector)`` of a corpus.
 
-    Postings lie in ``folders`` folders by unit, sorted by unit and block inside, so a batch of questions reads
-    only the folders and row groups of its units. Chunk ids and parent ids that occur twice and chunks without
+    Postings are sorted by ``folder`` (one of ``folders``, a hash of the unit), unit and block in every file, so a
+    batch of questions reads the row groups of its units. Chunk ids and parent ids that occur twice and chunks without
     parent are an error. The manifest is written last, so an unfinished index is never read.
     """
     spark = chunks.sparkSession
@@ -35,10 +35,7 @@ def write_index(chunks: DataFrame, parents: DataFrame, path: str, vectors: DataF
         vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     stats = blockmax.statistics(stored, block_chunks)
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
-    posts = blockmax.blocks(stored, stats.first(), folders)
-    # Range partitions by unit and block: a folder's units lie in few files, and a unit of many blocks is spread.
-    (posts.repartitionByRange("folder", "unit", "block").sortWithinPartitions("folder", "unit", "block")
-     .write.partitionBy("folder").mode("overwrite").parquet(f"{path}/postings"))
+    blockmax.blocks(stored, stats.first(), folders).write.mode("overwrite").parquet(f"{path}/postings")
     manifest = integrity.table_digest(stored, "chunk_id", "parent_id", "header", "text")
     manifest.withColumn("folders", F.lit(folders)).withColumn("vectors", F.lit(vectors is not None)).coalesce(1).write.mode(
         "overwrite").json(f"{path}/manifest")
