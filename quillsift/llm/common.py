@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released() -> None:
+    """Hand memory of finished training back to the system; a driver keeps it otherwise until it ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -13,22 +13,22 @@ longer rows join them, then those of all languages; a band that even these do no
 shorter band that is filled. Only with fewer than ``ENOUGH`` labelled rows in all is there no distance to go by.
 
 The centroids come from a bounded number of rows of each language (``SAMPLE_PER_LANGUAGE``, ``SAMPLE_ROWS``), chosen
-by a hash of the id, and their whole texts. Corpus frequencies and limits come from all labelled rows that are not
+by a hash of the id, and their whole texts; a repeated row counts once there. Corpus frequencies and limits come from all labelled rows that are not
 held out, in two passes that hand only counts to the driver. Prediction reads whole texts. Ties go to the first
 language in order. Without any labelled row every text is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillsift.llm.common import held_out
+from quillsift.llm.common import held_out, released
 from quillsift.operators.sizing import hinted
 from quillsift.session import settled
 
@@ -45,7 +45,7 @@ ENOUGH, SLOTS = 50, 1000
 ROWS = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -162,16 +162,25 @@ def frequencies(texts: list[str]) -> np.ndarray:
 
 
 def fit(texts: list[str], languages: list[str], corpus: np.ndarray | None = None) -> Centroids:
-    """Centroids of these rows with limits from them; ``corpus`` holds the ``frequencies`` of a larger collection."""
-    rows = np.array([counts(t) for t in texts], np.float32).reshape(-1, DIMENSIONS)
-    usable = rows.sum(1) > 0
-    rows, labels = rows[usable], np.array(languages, object)[usable]
-    if not len(rows):
+    """Centroids of these rows, with limits from them; ``corpus`` holds the ``frequencies`` of a larger collection, which
+    then has to give the limits as well."""
+    # One matrix of the sample, turned into unit vectors where it lies.
+    x, n = np.zeros((len(texts), DIMENSIONS), np.float32), 0
+    labels = []
+    for text, language in zip(texts, languages):
+        x[n] = counts(text)
+        if x[n].any():
+            labels.append(language)
+            n += 1
+    x, labels = x[:n], np.array(labels, object)
+    if not n:
         return Centroids()
-    if corpus is None:
+    alone = corpus is None
+    if alone:
         corpus = frequencies(texts)
     model = Centroids(np.log((1 + corpus[-1]) / (1 + corpus[:-1])).astype(np.float32) + 1, languages=sorted(set(labels)))
-    x = model.vectors_of(rows)
+    for k in range(0, n, ROWS):
+        x[k:k + ROWS] = model.vectors_of(x[k:k + ROWS])
     centres, owner = [], []
     for k, name in enumerate(model.languages):
         own = x[labels == name]
@@ -185,7 +194,8 @@ def fit(texts: list[str], languages: list[str], corpus: np.ndarray | None = None
         centres.append(start)
         owner += [k] * len(start)
     model.vectors, model.owner = np.concatenate(centres).astype(np.float32), np.array(owner)
-    model.limits = limits(model, distances(model, texts))
+    if alone:
+        model.limits = limits(model, distances(model, texts))
     return model
 
 
@@ -229,10 +239,13 @@ def train(documents: DataFrame) -> Centroids:
     ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     ids = settled(ids.select("doc_id", "lang").distinct())
     rows = known.select("doc_id", "lang", "text").join(hinted(ids, ids.count()), ["doc_id", "lang"])
-    sample = rows.toPandas().sort_values(["lang", "doc_id", "text"], kind="stable")
-    model = fit(sample["text"].tolist(), sample["lang"].tolist(), corpus_frequencies(known))
+    # An id counts once, however often its row is repeated.
+    sample = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").toArrow()
+    model = fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), corpus_frequencies(known))
+    del sample
     if model.vectors is not None:
         model.limits = limits(model, corpus_distances(known, model))
+    released()
     return model
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillsift.llm.common import WordScanner, held_out, mix64, pieces
+from quillsift.llm.common import WordScanner, held_out, mix64, pieces, released
 from quillsift.session import settled
 
 WINDOW, STRIDE = 48, 24
@@ -460,7 +460,9 @@ def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     rows, share = training_sample(documents, labels)
-    return learn(SparkSample(rows), share)
+    scorer = learn(SparkSample(rows), share)
+    released()
+    return scorer
 
 
 def without_toxic(documents: DataFrame, scorer: Scorer) -> DataFrame:
