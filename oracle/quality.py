@@ -38,6 +38,24 @@ TIMES = " + ".join(f"(CASE WHEN unit >= {s!r}::DOUBLE THEN 1 ELSE 0 END)" for s
 
 DIFF = "deltas AS (SELECT doc_id AS id, ((1 - toxic)::DOUBLE - quality::DOUBLE) AS delta FROM labels)"
 
+ROUGE_TOKENS = "list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+#: The longest common subsequence row by row; words aligned from the end, the k-th last with the k-th last.
+OVERLAP = f"""
+tk AS (SELECT qid AS id, {ROUGE_TOKENS.format(x='question')} AS a, {ROUGE_TOKENS.format(x='answer')} AS b, question, answer FROM pairs),
+lcs AS (SELECT id, a, b, list_reduce(a, lambda r, w: list_reduce(range(1, len(b) + 1), lambda acc, j:
+          list_append(acc, greatest(acc[j], r[j + 1], r[j] + CASE WHEN b[j] = w THEN 1 ELSE 0 END)), [0]), list_transform(range(0, len(b) + 1), lambda z: 0))[-1] AS c FROM tk),
+wd AS (SELECT qid AS id, {words("lower(question)")} AS g, {words("lower(answer)")} AS m FROM pairs),
+gold AS (SELECT *, row_number() OVER (PARTITION BY id, w ORDER BY i DESC) AS k FROM (SELECT id, unnest(g) AS w, generate_subscripts(g, 1) AS i FROM wd)),
+mine AS (SELECT *, row_number() OVER (PARTITION BY id, w ORDER BY i DESC) AS k FROM (SELECT id, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM wd)),
+met AS (SELECT m.id, m.i AS x, g.i AS y, lag(m.i) OVER (PARTITION BY m.id ORDER BY m.i) AS px, lag(g.i) OVER (PARTITION BY m.id ORDER BY m.i) AS py
+        FROM mine m JOIN gold g ON m.id = g.id AND m.w = g.w AND m.k = g.k),
+chunks AS (SELECT id, count(*) AS n, count(*) FILTER (px IS NULL OR x <> px + 1 OR y <> py + 1) AS parts FROM met GROUP BY id)
+"""
+
+OUTCOMES = """outcomes AS (SELECT *, list_filter([CASE WHEN value < 20 THEN 'loop' END, CASE WHEN user_id % 2 = 0 THEN 'no_natural_stop' END,
+  CASE WHEN value >= 60 THEN 'hit_token_limit' END], lambda r: r IS NOT NULL) AS rejected FROM events)"""
+
 SQL = {
     "review_queue": select([AUDITED], f"""
         SELECT id, CASE WHEN fb THEN 'fallback' ELSE 'truncated' END AS "group",
@@ -85,4 +103,31 @@ SQL = {
         SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY sha256('[2026,"' || split || '","' || id || '"]')) AS pos FROM s""",
     "training_subset": select([PAIRS], """
         SELECT qid AS id, row_number() OVER (ORDER BY sha256('{"id":"' || qid || '","seed":2026}')) AS pos FROM pairs QUALIFY pos <= 100"""),
+    "rouge_l": select([PAIRS, OVERLAP], """
+        SELECT l.id, CASE WHEN c > 0 THEN round(2 * (c / len(b)) * (c / len(a)) / (c / len(b) + c / len(a)), 9) ELSE 0.0::DOUBLE END AS rougeL,
+          coalesce(round((1 - 0.5 * (parts / n) ** 3) * (n / len(m)) * (n / len(g)) / (0.9 * (n / len(m)) + 0.1 * (n / len(g))), 9), 0.0::DOUBLE) AS meteor_exact,
+          len(m)::INT AS prediction_words, len(g)::INT AS reference_words
+        FROM lcs l JOIN wd USING (id) LEFT JOIN chunks USING (id)"""),
+    "damage_counts": f"""
+        SELECT source, count(*) FILTER ({ratio('text')} >= 0.5) AS heavy_loop, count(*) FILTER ({unfinished('text')}) AS unfinished
+        FROM documents GROUP BY source""",
+    "outcome_sums": f"""
+        WITH {OUTCOMES} SELECT event_type AS "group", count(*) AS candidates, count(*) FILTER (len(rejected) = 0) AS accepted,
+          count(*) FILTER (value >= 30) AS changed, sum(1 + event_id % 4)::BIGINT AS attempts, sum(floor(value))::BIGINT AS output_tokens,
+          sum(value::DECIMAL(20, 6))::DOUBLE AS seconds FROM outcomes GROUP BY event_type""",
+    "rejection_counts": f"""
+        WITH {OUTCOMES} SELECT reason, count(*) AS n FROM (SELECT unnest(rejected) AS reason FROM outcomes) GROUP BY reason""",
+    "score_drift": "SELECT doc_id AS id FROM labels WHERE doc_id % 77 = 0 OR doc_id % 10 = 0",
+    "group_overlay": f"""
+        SELECT doc_id AS id, sha256(CASE WHEN quality = 1 THEN {clean_answer('text')} ELSE text END) AS answer_sha
+        FROM documents LEFT JOIN labels USING (doc_id)""",
+    "penalty_choice": """
+        WITH s AS (SELECT doc_id % 4 AS k, count(*) AS samples, count(*) FILTER (doc_id % 4 = 0 OR toxic = 1) AS raw_loop_count,
+            count(*) FILTER (quality = 0 AND doc_id % 4 = 0) AS final_heading_only_count, avg(quality + doc_id % 4) AS meteor,
+            avg(1 - toxic + doc_id % 4) AS rouge, avg(quality / (1 + doc_id % 4)) AS raw_repetition FROM labels GROUP BY 1),
+        good AS (SELECT s.k FROM s, s AS o WHERE o.k = 0 AND s.k <> 0 AND s.meteor - o.meteor >= -1e-12 AND s.rouge - o.rouge >= -1e-12
+            AND s.raw_loop_count < o.raw_loop_count AND s.final_heading_only_count <= o.final_heading_only_count
+            AND s.raw_repetition <= o.raw_repetition + 1e-12 ORDER BY s.raw_loop_count, s.meteor DESC, s.rouge DESC, s.k LIMIT 1)
+        SELECT round(1 + k * 0.05::DOUBLE, 6) AS repetition_penalty, samples, raw_loop_count, final_heading_only_count, round(meteor, 6) AS meteor,
+          round(coalesce((SELECT 1 + k * 0.05::DOUBLE FROM good), 1.0::DOUBLE), 6) AS recommended_penalty, EXISTS (SELECT * FROM good) AS improvement_found FROM s""",
 }

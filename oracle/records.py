@@ -25,6 +25,17 @@ SQL = {
     "id_set_diff": """
         SELECT doc_id AS id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
         UNION ALL SELECT DISTINCT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    "subset_check": """
+        SELECT 'labels' AS part, count(*) AS n, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) AS missing,
+          count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) = 0 AS is_subset FROM (SELECT DISTINCT doc_id FROM labels) UNION ALL
+        SELECT 'documents', count(*), count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)),
+          count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) = 0 FROM (SELECT DISTINCT doc_id FROM documents)""",
+    "snapshot_check": """
+        WITH p AS (SELECT page_id, page_id % 16 AS kind, 'part-' || (page_id // 64) AS archive, 'pages/' || page_id || '.html' AS plain, coalesce(html, '') AS html FROM pages)
+        SELECT archive, '../' || plain AS path, 'unsafe' AS problem FROM p WHERE kind = 1 UNION ALL
+        SELECT archive, plain, CASE kind WHEN 0 THEN 'missing' WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'hash' ELSE 'unlisted' END
+        FROM p WHERE kind <= 4 AND (kind <> 3 OR html <> reverse(html))""",
+    "record_stream": "SELECT doc_id, source, sha256(text) AS text_sha FROM documents",
     "leak_check": "SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "journal_pending": """SELECT o_orderkey AS id FROM orders
         WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""",
@@ -33,6 +44,11 @@ SQL = {
         SELECT user_id AS id, CASE WHEN event_type = 'error' THEN CASE WHEN value < 20 THEN 2048 ELSE 3072 END
                  ELSE CASE WHEN value < 20 THEN 3072 ELSE 4096 END END::INT AS budget, event_type = 'error' AS focused
         FROM events WHERE event_type <> 'purchase' AND event_id IN (SELECT max(event_id) FROM events GROUP BY user_id)""",
+    "prompt_messages": select([PAIRS], """
+        SELECT qid, count(text)::INT AS n_texts, sha256('Ngữ cảnh pháp luật:' || chr(10) || coalesce(string_agg(
+          'Trích đoạn ' || (context + 1) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY context) FILTER (text IS NOT NULL), '')
+          || chr(10) || chr(10) || 'Câu hỏi: ' || any_value(question) || chr(10) || chr(10) || 'Câu trả lời:') AS content_sha
+        FROM ctx GROUP BY qid"""),
     "training_examples": select([PAIRS, f"""
         t AS (SELECT qid AS id, {IDS.format(w=words('question'))} AS p, list_append({IDS.format(w=words('answer'))}, 2) AS a FROM pairs),
         r AS (SELECT *, least(200, 400 - len(a)) AS room FROM t),

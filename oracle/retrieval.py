@@ -1,7 +1,7 @@
 """Twins of the retrieval queries."""
 
-from oracle.base import (BOOSTED, BROAD, CORPUS, GRAMS, PHRASES, POSTINGS, PRECISE, QUESTIONS, RANKED,
-                         fused, pool, select, toks)
+from oracle.base import (BOOSTED, BROAD, CORPUS, GRAMS, PHRASES, POSTINGS, PRECISE, QUESTIONS, RANKED, STOP, YEARS,
+                         distinct, fold, fused, loaded_grams, pool, select, toks)
 
 LEX = ("bm25", "bm25_phrases", "bm25_precise")
 FUSED = [*RANKED, fused(LEX)]
@@ -24,7 +24,56 @@ picked AS (
   SELECT 'rrf', qid, chunk_id, rank FROM fused)
 """
 
+#: Questions and the queries that a rule adds to them, under even and odd numbers.
+ADDED = QUESTIONS.replace("SELECT item_id AS qid, text AS question,", """SELECT id AS qid, text AS question,""").replace(
+    "FROM benchmark)", f"""FROM (SELECT item_id * 2 AS id, text FROM benchmark UNION ALL
+  SELECT item_id * 2 + 1, 'with that for have this' FROM benchmark
+  WHERE (contains({fold("text")}, 'the') OR contains({fold("text")}, 'der')) AND (contains({fold("text")}, 'and') OR contains({fold("text")}, 'und'))))""")
+
+_ALL = [(f"{p}{b}", b, odd) for odd, p in ((0, ""), (1, "intent_")) for b in LEX]
+
+
+def _fused_of(name: str, branches) -> str:
+    total = " + ".join(["0.0::DOUBLE"] + [
+        f"coalesce(1.0::DOUBLE / (60 + min(CASE WHEN branch = '{b}' THEN rank END)), 0.0::DOUBLE)" for b in branches])
+    return f"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, chunk_id) AS rank FROM (
+  SELECT qid, chunk_id, {total} AS rrf FROM listed WHERE branch IN ({', '.join(f"'{b}'" for b in branches)}) GROUP BY qid, chunk_id))"""
+
+
+def _variant(name: str, source: str, limit: int, weight: float = 2.0, scope: float = 0.0) -> str:
+    return f"""
+  SELECT '{name}' AS variant, qid, chunk_id, parent_id, place, {weight}::DOUBLE AS weight, {scope}::DOUBLE AS scope FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (
+      SELECT f.*, parent_id, row_number() OVER (PARTITION BY qid, parent_id ORDER BY rank) AS pn FROM {source} f JOIN chunks USING (chunk_id)) WHERE pn <= 2)
+  WHERE place <= {limit}"""
+
+
+def _foreign(body: str, question: str) -> str:
+    return "(" + " OR ".join(f"(contains({body}, '{m}') AND NOT contains({fold(question)}, '{m}'))" for m in ("tion", "heit")) + ")"
+
+
+GRID = select([
+    CORPUS, ADDED, *RANKED[2:],
+    "listed AS (" + " UNION ALL ".join(f"SELECT '{n}' AS branch, qid // 2 AS qid, chunk_id, rank FROM {b} WHERE qid % 2 = {odd}" for n, b, odd in _ALL) + ")",
+    _fused_of("plain", LEX), _fused_of("wide", [n for n, _, _ in _ALL]),
+    "pools AS (" + " UNION ALL ".join([_variant("base", "plain", 24), _variant("pool_64", "plain", 64), _variant("weight_1", "plain", 24, 1.0),
+                                       _variant("scope", "plain", 24, 2.0, 0.75), _variant("intent", "wide", 24)]) + ")",
+    f"""
+seen AS (SELECT p.*, {fold("c.header || chr(10) || c.text")} AS body, b.text AS question, {toks("b.text")} AS t
+         FROM pools p JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = p.qid),
+facts AS (SELECT *, list_filter({distinct("t")}, lambda x: len(x) > 1 AND NOT list_contains({STOP}, x)) AS terms, {loaded_grams("t", 3)} AS grams,
+          {YEARS.format(x="question")} AS ys FROM seen),
+weighed AS (SELECT *, weight * (len(list_filter(terms, lambda x: list_contains({toks("body")}, x))) / greatest(len(terms), 1))
+   + CASE WHEN len(list_filter(ys, lambda y: contains(body, y))) > 0 THEN 1.0::DOUBLE ELSE 0 END
+   + CASE WHEN len(list_filter(grams, lambda g: contains(body, g))) > 0 THEN 1.0::DOUBLE ELSE 0 END
+   - CASE WHEN {_foreign("body", "question")} THEN scope ELSE 0 END AS adjustment FROM facts),
+final AS (SELECT *, round(4.0::DOUBLE / (1.0 + (place - 1) / 8.0) + adjustment, 9) AS score FROM weighed)"""],
+    """SELECT variant, qid, chunk_id, parent_id, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, chunk_id)::INT AS place,
+       round(score, 6) AS final_score FROM final""")
+
 SQL = {
+    "variant_grid": GRID,
     "stored_rankings": select(RANKED, """
         SELECT 'bm25' AS branch, qid, chunk_id, 0 AS level, rank::INT AS rank, round(score, 6) AS score FROM bm25 UNION ALL
         SELECT 'bm25_phrases', qid, chunk_id, 0, rank::INT, round(score, 6) FROM bm25_phrases UNION ALL
@@ -64,6 +113,19 @@ SQL = {
                     FROM (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY qid, parent_id ORDER BY final_place) = 1)) b
               JOIN docs d ON d.doc_id = b.chunk_id // 16777216 WHERE ctx < 4)"""),
     "dense_knn": select([DENSE], "SELECT qid, vec_id, rank::INT AS rank, round(score, 6) AS score FROM dense"),
+    "same_document_contexts": select([DENSE, """
+        near AS (SELECT qid, rank - 1 AS context, d.vec_id AS id, CAST(label AS VARCHAR) AS doc_id FROM dense d JOIN embeddings USING (vec_id)),
+        own AS (SELECT n.* FROM near n JOIN near t ON t.qid = n.qid AND t.context = 0 AND t.doc_id = n.doc_id)"""],
+        "SELECT qid, context::INT AS context, id, doc_id FROM own QUALIFY row_number() OVER (PARTITION BY qid ORDER BY context) <= 3"),
+    "spliced_pool": select([DENSE, """
+        even AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM dense WHERE vec_id % 2 = 0),
+        reserve AS (SELECT * FROM even WHERE rank BETWEEN 6 AND 9),
+        sizes AS (SELECT qid, count(*) AS n FROM reserve GROUP BY qid),
+        parts AS (SELECT d.qid, vec_id, CASE WHEN rank <= 16 - coalesce(n, 0) THEN 0 ELSE 2 END AS part, rank FROM dense d LEFT JOIN sizes s ON s.qid = d.qid WHERE rank <= 20
+                  UNION ALL SELECT qid, vec_id, 1, rank FROM reserve),
+        firsts AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY qid, vec_id ORDER BY part, rank) = 1)"""],
+        """SELECT qid, vec_id AS chunk_id, place::INT AS rank, part = 1 AS from_reserve
+           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part, rank) AS place FROM firsts) WHERE place <= 16"""),
     "hybrid_fusion": select([*RANKED, DENSE, fused((*LEX, "dense"))],
                             "SELECT qid, chunk_id, rank::INT AS rank, round(rrf, 9) AS rrf FROM fused"),
     "hybrid_retrieval": select(

@@ -11,7 +11,7 @@ from quillsift.config import Attempts, Generation
 from quillsift.functions import text as tx
 from quillsift.operators import prompt
 from quillsift.session import ensure_checkpoint_dir
-from quillsift.sources import integrity, tables
+from quillsift.sources import integrity, json_stream, snapshots, tables
 from quillsift.streaming import attempts, journal
 
 
@@ -29,6 +29,37 @@ def leak_check(spark, folder) -> DataFrame:
     return integrity.leaks(docs, held_out)
 
 
+def subset_check(spark, folder) -> DataFrame:
+    """Are all labelled documents there, and are all documents labelled?"""
+    ids = lambda name: tables.load(spark, folder, name).select(F.col("doc_id").alias("id"))
+    one = lambda part, whole: integrity.subset(ids(part), ids(whole)).withColumn("part", F.lit(part))
+    return one("labels", "documents").unionByName(one("documents", "labels"))
+
+
+def record_stream(spark, folder) -> DataFrame:
+    """Documents as records of JSON objects, one object per task, read again by byte ranges."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    docs = tables.documents(spark, folder, "doc_id", "text", "source")
+    entry = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), F.to_json(F.struct("source", "text")))
+    json_stream.write_objects(docs.select(entry.alias("entry")), path, {"rows": "documents"})
+    header, rows = json_stream.read_records(spark, path)
+    body = F.from_json("value", "source string, text string")
+    return rows.select(F.col("id").cast("bigint").alias("doc_id"), body["source"].alias("source"), F.sha2(body["text"], 256).alias("text_sha"))
+
+
+def snapshot_check(spark, folder) -> DataFrame:
+    """Pages packed into archives of 64; by their number some are left out, renamed, changed or not in the manifest."""
+    pages = tables.load(spark, folder, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    kind, plain = F.pmod("page_id", F.lit(16)), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
+    rows = pages.select("page_id", kind.alias("kind"), F.concat(F.lit("part-"), F.floor(F.col("page_id") / 64).cast("string")).alias("archive"), plain.alias("plain"), "html")
+    path = F.when(F.col("kind") == 1, F.concat(F.lit("../"), "plain")).otherwise(F.col("plain"))
+    data = F.when(F.col("kind") == 2, F.concat("html", F.lit("!"))).when(F.col("kind") == 3, F.reverse("html")).otherwise(F.col("html"))
+    files = rows.where("kind <> 0").select("archive", path.alias("path"), data.cast("binary").alias("data"))
+    manifest = rows.where("kind <> 4").select("archive", F.col("plain").alias("path"), F.octet_length("html").cast("bigint").alias("size"),
+                                              F.sha2("html", 256).alias("sha256"))
+    return snapshots.violations(snapshots.listing(snapshots.packed(files)), manifest)
+
+
 def journal_pending(spark, folder) -> DataFrame:
     """Orders without a shipped line item are the work still to do."""
     work = tables.load(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
@@ -115,6 +146,13 @@ def prompt_budget(spark, folder) -> DataFrame:
         F.array_join(F.transform("packed", lambda c: c["text"]), "\n"), 256).alias("texts_sha"))
 
 
+def prompt_messages(spark, folder) -> DataFrame:
+    """The user message of every user turn, all its replies as excerpts."""
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("context", "text")))), lambda s: s["text"])
+    prompts = _contexts(spark, folder).groupBy("qid").agg(F.first("question").alias("question"), texts.alias("texts"))
+    return prompt.messages(prompts).select("qid", F.size("texts").alias("n_texts"), F.sha2(F.get("messages", F.lit(1))["content"], 256).alias("content_sha"))
+
+
 def training_examples(spark, folder) -> DataFrame:
     """The first code point of a word stands for its token id."""
     ids = lambda c: F.transform(tx.words(F.col(c)), lambda w: F.ascii(w))
@@ -136,4 +174,4 @@ def padded_batches(spark, folder) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    id_set_diff, leak_check, journal_pending, journal_stream, next_attempts, attempt_stream, attempt_history, prompt_budget, training_examples, padded_batches)}
+    id_set_diff, leak_check, subset_check, record_stream, snapshot_check, journal_pending, journal_stream, next_attempts, attempt_stream, attempt_history, prompt_budget, prompt_messages, training_examples, padded_batches)}

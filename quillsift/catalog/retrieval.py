@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillsift.config import Retrieval
-from quillsift.operators import context, corpus, dense, fusion, lexical
+from quillsift.operators import context, corpus, dense, evidence, fusion, lexical
 from quillsift.operators.sizing import lookup_join
-from quillsift.plans import batch, retrieval as plans
+from quillsift.plans import batch, retrieval as plans, variants
+from quillsift.plans.retrieval import variant
 from quillsift.session import ensure_checkpoint_dir, settled
 from quillsift.sources import sinks, tables
 
@@ -38,13 +39,20 @@ def bm25_precise(spark, folder) -> DataFrame:
     return _branch(spark, folder, "bm25_precise").select("qid", "chunk_id", "level", "rank", "score")
 
 
+#: Indexes built so far, by session and the files they were built from.
+INDEXES: dict[tuple, str] = {}
+
+
 def _built(spark, folder) -> tuple[sinks.Index, lexical.Questions]:
-    """An index of all windows in the shared folder, opened again."""
+    """An index of all windows in the shared folder, opened again; queries of one session over the same files share it."""
     docs, qs = _inputs(spark, folder)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    parents = docs.unique().select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"), "doc_id", "text")
-    sinks.write_index(docs.chunks(), parents, path)
-    return sinks.read_index(spark, path), qs
+    key = (spark.sparkContext.applicationId, *sorted(docs.raw.inputFiles()))
+    if key not in INDEXES:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        parents = docs.unique().select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"), "doc_id", "text")
+        sinks.write_index(docs.chunks(), parents, path)
+        INDEXES[key] = path
+    return sinks.read_index(spark, INDEXES[key]), qs
 
 
 def batch_retrieval(spark, folder) -> DataFrame:
@@ -98,6 +106,19 @@ def stored_rankings(spark, folder) -> DataFrame:
     return rows.select("branch", "qid", "chunk_id", "level", "rank", F.round("score", 6).alias("score"))
 
 
+#: Word lists that occur in the driver's invented prose stand for those of the lexicon.
+RULES = {"scope_markers": ("tion", "heit"), "intent_rule": (("the", "der"), ("and", "und"), "with that for have this")}
+
+
+def variant_grid(spark, folder) -> DataFrame:
+    """Five settings at once; a scope is a syllable, and an added query asks for common English words."""
+    index, qs = _built(spark, folder)
+    settings = variants.named(variant(CFG, **RULES), pool_64={"lexical_pool_k": 64}, weight_1={"coverage_weight": 1.0},
+                              scope={"scope_penalty": 0.75}, intent={"intent_expansion": True})
+    rows = variants.grid(index, qs, settings)
+    return rows.select("variant", "qid", "chunk_id", "parent_id", "place", F.round("final_score", 6).alias("final_score"))
+
+
 def rrf_fusion(spark, folder) -> DataFrame:
     docs, qs = _inputs(spark, folder)
     fused = fusion.fuse(lexical.rankings(docs.chunks(), qs, CFG), lexical.BRANCHES, CFG.rrf_constant)
@@ -154,6 +175,26 @@ def dense_knn(spark, folder) -> DataFrame:
                                         F.round("score", 6).alias("score"))
 
 
+def _near(spark, folder) -> DataFrame:
+    """The vectors nearest to each item, with their label as document."""
+    labels = tables.load(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc_id"))
+    found = _dense(spark, folder)
+    return lookup_join(labels, found.select("qid", "id", "rank"), "id", 1 << 62, spread_by=["id"])
+
+
+def same_document_contexts(spark, folder) -> DataFrame:
+    """The first three contexts of an item that share the best one's document."""
+    contexts = _near(spark, folder).withColumn("context", F.col("rank") - 1)
+    return evidence.same_document(contexts, 3, True).select("qid", "context", "id", "doc_id")
+
+
+def spliced_pool(spark, folder) -> DataFrame:
+    """Sixteen places: the first of the ranking, a reserve of vectors of even number, then the rest."""
+    near = _near(spark, folder).select("qid", F.col("id").alias("chunk_id"), "rank")
+    even = near.where("chunk_id % 2 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    return fusion.splice(near.where("rank <= 20"), even.where("rank BETWEEN 6 AND 9"), 16)
+
+
 def hybrid_fusion(spark, folder) -> DataFrame:
     """A vector stands for the first window of the document with its number."""
     docs, qs = _inputs(spark, folder)
@@ -190,11 +231,12 @@ def answer_token_coverage(spark, folder) -> DataFrame:
 
 
 QUERIES = {
-    "stored_rankings": stored_rankings, "batch_retrieval": batch_retrieval,
+    "variant_grid": variant_grid, "stored_rankings": stored_rankings, "batch_retrieval": batch_retrieval,
     "retrieval_cache_checks": retrieval_cache_checks, "bm25_topk": bm25_topk, "bm25_phrases": bm25_phrases, "bm25_precise": bm25_precise,
     "rrf_fusion": rrf_fusion, "diversified_pool": diversified_pool,
     "retrieval_boosts": retrieval_boosts, "lexical_retrieval": lexical_retrieval,
     "context_materialize": context_materialize, "dense_knn": dense_knn,
+    "same_document_contexts": same_document_contexts, "spliced_pool": spliced_pool,
     "hybrid_fusion": hybrid_fusion, "hybrid_retrieval": hybrid_retrieval,
     "answer_token_coverage": answer_token_coverage,
 }

@@ -37,7 +37,10 @@ class Retrieval:
     year_bonus: float = 1.0
     recency_bonus: float = 0.75
     scope_penalty: float = 0.0
+    # Words that name a scope, and the rule that adds a query: (topics, markers, query). None takes those of the lexicon.
+    scope_markers: tuple | None = None
     intent_expansion: bool = False
+    intent_rule: tuple | None = None
     adjacent_distance: int = 0
     adjacent_seeds: int = 8
     adjacent_reserve: int | None = None

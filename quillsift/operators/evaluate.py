@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillsift.functions import answers as an, overlap, text as tx
 from quillsift.operators.sizing import spread
+from quillsift.sources.integrity import id_difference
 
 # Cumulative probabilities of a Poisson variable with mean one.
 POISSON_STEPS = [
@@ -81,7 +82,10 @@ def comparable(reports: DataFrame) -> Column:
 
 
 def paired(control: DataFrame, candidate: DataFrame, metric: str) -> DataFrame:
-    """``(id, delta)`` of two score tables."""
+    """``(id, delta)`` of two score tables over the same ids; an id on one side only is an error."""
+    alone = id_difference(candidate, control).first()
+    if alone is not None:
+        raise ValueError(f"scores of different ids, {alone.side}: {alone.id}")
     a = control.select("id", F.col(metric).alias("a"))
     return a.join(candidate.select("id", F.col(metric).alias("b")), "id").select(
         "id", (F.col("b") - F.col("a")).alias("delta"))
@@ -194,3 +198,21 @@ def penalty_summary(details: DataFrame) -> DataFrame:
         loops_in("raw_reasons").alias("raw_loop_count"), loops_in("final_reasons").alias("final_loop_count"),
         headings("raw_reasons").alias("raw_heading_only_count"), headings("final_reasons").alias("final_heading_only_count"),
         F.avg("raw_repetition").alias("raw_repetition_mean"), F.avg("final_repetition").alias("final_repetition_mean"))
+
+
+def damage_counts(answers: DataFrame, by: tuple = ()) -> DataFrame:
+    """How many answers repeat half of their long lines or more, and how many end in a lead-in."""
+    return answers.groupBy(*by).agg(F.count_if(an.repetition_ratio(F.col("answer")) >= 0.5).alias("heavy_loop"),
+                                    F.count_if(an.is_unfinished(F.col("answer"))).alias("unfinished"))
+
+
+def outcome_sums(outcomes: DataFrame) -> DataFrame:
+    """One row per group of ``(id, group, accepted, changed, attempts, output_tokens, seconds)``: counts and sums."""
+    return outcomes.groupBy("group").agg(
+        F.count("*").alias("candidates"), F.count_if("accepted").alias("accepted"), F.count_if("changed").alias("changed"),
+        F.sum("attempts").alias("attempts"), F.sum("output_tokens").alias("output_tokens"), F.sum("seconds").alias("seconds"))
+
+
+def rejection_counts(outcomes: DataFrame) -> DataFrame:
+    """How often each reason of the array ``rejected`` was given."""
+    return outcomes.select(F.explode("rejected").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

@@ -79,7 +79,7 @@ def fused_candidates(chunks: DataFrame, fetch, questions: lexical.Questions, cfg
 
 def _with_expansions(ranked, chunks, questions, cfg):
     """Add the rankings of the rule-made query of each question that has one."""
-    extra = boosts.expanded_questions(questions.rows).where("variant > 0").select("qid", "question")
+    extra = boosts.expanded_questions(questions.rows, cfg.intent_rule).where("variant > 0").select("qid", "question")
     more = lexical.rankings(chunks, lexical.Questions.of(extra), cfg)
     renamed = more.select(F.concat(F.lit("intent_"), "branch").alias("branch"), "qid", "chunk_id", "rank")
     return ranked.unionByName(renamed), [*lexical.BRANCHES, *(f"intent_{b}" for b in lexical.BRANCHES)]

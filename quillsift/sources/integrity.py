@@ -22,6 +22,14 @@ def leaks(train: DataFrame, held_out: DataFrame, key: str = "id") -> DataFrame:
     return train.join(held_out.select(key).distinct(), key, "left_semi")
 
 
+def subset(part: DataFrame, whole: DataFrame, key: str = "id") -> DataFrame:
+    """One row: distinct keys of ``part``, how many ``whole`` lacks, and whether none is missing."""
+    found = whole.select(key, F.lit(1).alias("_found")).distinct()
+    rows = part.select(key).distinct().join(found, key, "left")
+    missing = F.count_if(F.col("_found").isNull())
+    return rows.agg(F.count("*").alias("n"), missing.alias("missing"), (missing == 0).alias("is_subset"))
+
+
 def pending(work: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Work not yet in the journal."""
     return work.join(done.select(key), key, "left_anti")

@@ -279,3 +279,24 @@ def read_records(spark: SparkSession, path: str, records: str = "records", heade
     part = lambda name: rows.where(F.col("parent") == name).select("id", "value")
     require_none(spark.range(1).where(F.lit(part(header).isEmpty())), f"no {header}")
     return part(header), part(records)
+
+
+def write_objects(entries: DataFrame, path: str, known: dict) -> None:
+    """Write ``entries(entry)``, texts of the form ``"key": value``, as objects ``{"identity": ..., "records": {...}}``.
+
+    Every task writes one object; its lines are the entries, streamed.
+    """
+    head = '{"identity": ' + json.dumps(known, ensure_ascii=False) + ', "records": {'
+
+    def lines(batches):
+        last = None
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            texts = batch.column("entry").to_pylist()
+            if texts:
+                out = ([last + ","] if last is not None else []) + [t + "," for t in texts[:-1]]
+                last = texts[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([*([last] if last is not None else []), "}}"])], ["value"])
+
+    entries.mapInArrow(lines, "value string").write.text(path)

@@ -141,3 +141,33 @@ def test_every_cache_check_can_fail(spark):
     with pytest.raises(ValueError, match="'missing': 1, 'question': 1, 'models': 1, 'retrieval': 1, 'code': 1, 'mode': 2"):
         batch.reusable(questions, cache, good)
     assert {r.check: (r.n, r.first_qid) for r in batch.violations(batch.checked(questions, cache, good)).collect()}["mode"] == (2, 4)
+
+
+# --- snapshots --------------------------------------------------------------------------------------------------------------
+
+
+def test_every_snapshot_problem_is_found(spark):
+    import hashlib
+    import io
+    import zipfile
+
+    from quillsift.sources import snapshots
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name in ("a.txt", "d/b.txt", "/abs", "../up", "c:/x", "d\\w", "x/../y", "twice", "twice", "long", "odd", "extra", "d/"):
+            archive.writestr(zipfile.ZipInfo(name), "" if name.endswith("/") else f"text of {name}")
+    raw = bytearray(out.getvalue())
+    at = raw.index(b"text of d/b.txt")
+    raw[at] ^= 1
+    archives = spark.createDataFrame([("one", bytes(raw)), ("two", b"no archive")], "archive string, content binary")
+    stated = lambda path, text=None: ("one", path, len(text or f"text of {path}"), hashlib.sha256((text or f"text of {path}").encode()).hexdigest())
+    manifest = spark.createDataFrame([stated(n) for n in ("a.txt", "d/b.txt", "twice", "gone", "model.bin")] + [stated("long", "x"), stated("odd", "TEXT OF odd")],
+                                     "archive string, path string, size long, sha256 string")
+    members = snapshots.listing(archives)
+    assert members.where("NOT safe AND sha256 IS NOT NULL").isEmpty()
+    got = {(r.archive, r.path): r.problem for r in snapshots.violations(members, manifest, F.col("path").endswith(".bin")).collect()}
+    assert got == {("one", "d/b.txt"): "corrupt", ("one", "/abs"): "unsafe", ("one", "../up"): "unsafe", ("one", "c:/x"): "unsafe", ("one", "d\\w"): "unsafe",
+                   ("one", "x/../y"): "unsafe", ("one", "twice"): "duplicate", ("one", "gone"): "missing", ("one", "long"): "size", ("one", "odd"): "hash",
+                   ("one", "extra"): "unlisted", ("two", None): "corrupt"}
+    assert set(got.values()) == set(snapshots.PROBLEMS)

@@ -71,6 +71,29 @@ def test_report_and_selection(spark):
     assert ev.select_best(reports).first().label == "b"
 
 
+def test_reports_over_other_ids_are_refused(spark):
+    reports = spark.createDataFrame([("a", 0.5, 0.5, 0, "r", "m", "i"), ("b", 0.6, 0.6, 1, "r", "m", "j")],
+                                    "label string, meteor double, rougeL double, position int, reference_hash string, metric_identity string, ids_hash string")
+    with pytest.raises(ValueError, match="different"):
+        ev.select_best(reports)
+    assert ev.select_best(reports.withColumn("ids_hash", F.lit("i"))).first().label == "b"
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id int, m double")
+    assert sorted(r.delta for r in ev.paired(scores, scores.selectExpr("id", "m + id AS m"), "m").collect()) == [1.0, 2.0]
+    for one, other in ((scores, scores.where("id = 1")), (scores.where("id = 1"), scores)):
+        with pytest.raises(ValueError, match="different ids"):
+            ev.paired(one, other, "m")
+
+
+def test_outcomes_and_damage(spark):
+    rows = spark.createDataFrame([(1, "x", True, True, 2, 10, 0.5, []), (2, "x", False, False, 4, 5, 1.0, ["loop", "guard:empty"]), (3, "y", False, True, 1, 1, 2.0, ["loop"])],
+                                 "id int, group string, accepted boolean, changed boolean, attempts int, output_tokens int, seconds double, rejected array<string>")
+    got = {r.group: tuple(r)[1:] for r in ev.outcome_sums(rows).collect()}
+    assert got == {"x": (2, 1, 1, 6, 15, 1.5), "y": (1, 0, 1, 1, 1, 2.0)}
+    assert {r.reason: r.n for r in ev.rejection_counts(rows).collect()} == {"loop": 2, "guard:empty": 1}
+    answers = spark.createDataFrame([(f"{LINE}\n" * 4,), ("Theo đó:",), ("Được.",)], "answer string")
+    assert tuple(ev.damage_counts(answers).first()) == (1, 1)
+
+
 def test_decisions(spark):
     def decide(before, after, meteor, rouge=0.0):
         make = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id int, answer string")

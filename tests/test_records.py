@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import zipfile
 
 import pytest
@@ -161,6 +162,24 @@ def test_training_examples(spark):
     assert got["b"].skipped.startswith("full reference") and got["c"].skipped == "no retrieved context"
 
 
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_padded_batches_lose_no_sequence(spark, size):
+    draw = random.Random(3)
+    rows = [(f"i{k}", [1] * draw.randint(0, 9), [2] * draw.randint(1, 30)) for k in range(90)]
+    examples = prompt.training_examples(spark.createDataFrame(rows, "id string, prompt_ids array<int>, answer_ids array<int>").repartition(5), 9, 30, 8, 1)
+    usable = {r.id: r for r in examples.where("skipped IS NULL").collect()}
+    got = prompt.padded_batches(examples, size, 7).collect()
+    assert len(got) == len({(r.batch, r.slot) for r in got}) == len(usable) and {r.id for r in got} == set(usable)
+    order = sorted(usable, key=lambda i: (len(usable[i].input_ids), i))
+    for r in got:
+        own, batch = usable[r.id], order[r.batch * size:(r.batch + 1) * size]
+        width = max(len(usable[i].input_ids) for i in batch)
+        n = width - len(own.input_ids)
+        assert (r.id, r.width, r.padding) == (batch[r.slot], width, n) and r.input_ids == own.input_ids + [7] * n
+        assert r.attention_mask == own.attention_mask + [0] * n and r.labels == own.labels + [-100] * n
+    assert prompt.padded_batches(examples.where("false"), size, 7).count() == 0
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1, "Gì?", ["một", "hai"])], "qid int, question string, texts array<string>")
     system, user = prompt.messages(df, Generation(system_suffix="Thêm.")).first().messages

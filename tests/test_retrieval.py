@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillsift.config import Retrieval
@@ -88,6 +89,28 @@ def test_rankings_equal_brute_force(inputs):
     check(collect(lexical.rankings(*inputs)))
 
 
+def test_rankings_by_joins_alone(inputs):
+    """Beyond the bound the question side is not shared with tasks."""
+    check(collect(lexical.rankings(*inputs, asked_bound=0)))
+
+
+def test_rankings_in_small_slices(inputs, monkeypatch):
+    """Every chunk is a slice of its own, and what is kept is pruned after each."""
+    from quillsift.operators import scoring
+    for name in ("CELLS", "HITS", "KEPT"):
+        monkeypatch.setattr(scoring, name, 1)
+    asked = scoring.Asked(np.array([5, 7]), np.array([3, 3]), {
+        "bm25": scoring.Sparse.of(np.array([0, 1, 1]), np.array([0, 0, 1]), np.zeros(3, np.int64), 2),
+        "bm25_precise": scoring.Sparse.of(np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([1, 2, 1]), 2)})
+    rows = [(c, u, 1.0 + c % 5 + u / 8) for c in range(40) for u in (0, 1) if (c + u) % 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["chunk_id", "uid", "s"])
+    got = [tuple(r.values()) for b in scoring.scorer(asked, Retrieval(broad_k=4, and_levels=(2, 1)))(iter([batch])) for r in b.to_pylist()]
+    sums = {(q, c): sum(s for x, u, s in rows if x == c and (q == 5 or u == 1)) for q in (5, 7) for c in range(40)}
+    for q in (5, 7):
+        want = sorted(((-s, c) for (k, c), s in sums.items() if k == q and s), key=lambda x: (round(x[0], 9), x[1]))[:4]
+        assert sorted((b, i, c, l, s) for b, i, c, l, s in got if b == "bm25" and i == q) == sorted(("bm25", q, c, 0, -s) for s, c in want)
+
+
 def test_rankings_without_broadcast(inputs, monkeypatch):
     monkeypatch.setattr(sizing.hinted, "__defaults__", (1,))
     monkeypatch.setattr(sizing.lookup_join, "__defaults__", ("inner", None, 1))
@@ -185,14 +208,16 @@ def test_expansion(spark):
     assert Counter(r.qid for r in boosts.expanded_questions(q).collect()) == {1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("bound", [100, 1])
-def test_nearest_equals_brute_force(spark, bound):
+@pytest.mark.parametrize("bound,block,pack", [(20_000, 2048, 1 << 24), (20_000, 2, 200), (0, 3, 200)])
+def test_nearest_equals_brute_force(spark, monkeypatch, bound, block, pack):
+    monkeypatch.setattr(dense, "PACK_BYTES", pack)
     r = np.random.default_rng(3)
     v = r.normal(size=(60, 8)).astype("float32")
     v[10] = v[20]
     vectors = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vector array<float>").repartition(3)
     asked = vectors.where("id < 7").selectExpr("id as qid", "vector")
-    got = dense.nearest(asked, vectors, 9, bound).orderBy("qid", "rank").collect()
+    got = dense.nearest(asked, vectors, 9, bound, block).orderBy("qid", "rank").collect()
+    assert dense.nearest(asked.where("false"), vectors, 9, bound, block).count() == dense.nearest(asked, vectors.where("false"), 9, bound, block).count() == 0
     scores = np.round(v[:7].astype(float) @ v.astype(float).T, 9)
     for q in range(7):
         assert [x.id for x in got if x.qid == q] == sorted(range(60), key=lambda i: (-scores[q, i], i))[:9]
