@@ -19,7 +19,7 @@ from quillsift.operators.sizing import hinted, lookup_join
 from quillsift.session import settled
 
 K1, B = 1.2, 0.75
-HEADER_WEIGHT, TEXT_WEIGHT = 2.5, 1.0
+HEADER_WEIGHT, TEXT_WEIGHT = scoring.WEIGHTS["head"], scoring.WEIGHTS["body"]
 IDF_FLOOR = 1e-6
 DIGITS = 9
 # Marks a unit found in the header; cannot be part of a token.
@@ -228,16 +228,22 @@ def rankings(chunks: DataFrame, questions: Questions, cfg: Retrieval | None = No
         return top_ranked(branch_scores(posts, weighed, rows, cfg, branches), cfg)
     units = settled(units)
     numbered = numbered_units(units)
-    # Statistics, corpus size and scores read the postings; the pass over the texts that makes them runs once.
-    posts = settled(postings(chunks, numbered, rows, "bm25_phrases" in branches))
+    # Statistics and scores read the postings; the pass over the texts that makes them runs once.
+    vocabulary = scoring.Vocabulary.of(numbered)
+    posts = settled(scoring.packed_postings(cut_chunks(chunks), vocabulary))
+    counts = scoring.unit_counts(posts, vocabulary)
     whole = F.col("uid") == 0
-    stats = posts.groupBy("uid").agg(F.count("length").alias("df"), F.sum("length").alias("total"))
-    every = stats.where(whole)
-    stats = (stats.withColumn("n_rows", every.select("df").scalar()).withColumn("n_tokens", every.select("total").scalar()).where(~whole)
+    every = counts.where(whole)
+    stats = (counts.withColumn("n_rows", every.select("df").scalar()).withColumn("n_tokens", every.select("total").scalar()).where(~whole)
              .select("uid", inverse_frequency(F.col("n_rows"), F.col("df")).alias("idf"), (F.col("n_tokens") / F.col("n_rows")).alias("avg_length")))
-    scored = posts.join(F.broadcast(stats), "uid").select("chunk_id", "uid", contribution().alias("s"))
     asked = scoring.Asked.of(units.join(F.broadcast(numbered), "unit"), branches)
-    return top_ranked(scoring.best_scores(scored, asked, cfg), cfg)
+    return top_ranked(scoring.best_of_packed(posts, vocabulary, scoring.Weights.of(stats, vocabulary, K1, B), asked, cfg), cfg)
+
+
+def cut_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with the tokens of both fields, ``(chunk_id, head, body)``; a missing field leaves its chunk out."""
+    cut = chunks.select("chunk_id", tx.tokens(F.col("header")).alias("head"), tx.tokens(F.col("text")).alias("body"))
+    return cut.where(F.col("head").isNotNull() & F.col("body").isNotNull())
 
 
 def numbered_units(units: DataFrame) -> DataFrame:

@@ -256,3 +256,20 @@ def test_token_coverage(spark):
     picked = spark.createDataFrame([("s", 1, 1, "a", "b"), ("s", 1, 2, "", "a q")], "stage string, qid int, rank int, header string, text string")
     got = {r.k: r.coverage for r in context.token_coverage(gold, picked, 2, 2).collect()}
     assert got == {1: 0.25, 5: 0.375, 20: 0.375}
+
+
+def test_postings_are_packed_where_the_chunk_is_read(spark, inputs):
+    """One row per chunk with all its asked units, header weighed, phrases inside one field only; nothing is shuffled or sorted."""
+    from quillsift.operators import scoring
+    units = ["b", "b c d", "a b c d", "z", "d e f"]
+    numbered = spark.createDataFrame([("", 0), *((u, i + 1) for i, u in enumerate(units))], "unit string, uid int")
+    chunks = spark.createDataFrame([(1, "a b c", "d a b c d b c d"), (2, "", "d e, f"), (3, "q", ""), (4, None, "b")],
+                                   "chunk_id long, header string, text string")
+    vocabulary = scoring.Vocabulary.of(numbered)
+    posts = scoring.packed_postings(lexical.cut_chunks(chunks), vocabulary)
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    got = {r.chunk_id: (r.length, dict(zip(np.frombuffer(r.uids, vocabulary.kind).tolist(), np.frombuffer(r.weights, np.float32).tolist()))) for r in posts.collect()}
+    assert got == {1: (11, {1: 4.5, 2: 2.0, 3: 1.0}), 2: (3, {5: 1.0}), 3: (1, {})}
+    counts = {r.uid: (r.df, r.total) for r in scoring.unit_counts(posts, vocabulary).collect()}
+    assert counts == {0: (3, 15), 1: (1, 0), 2: (1, 0), 3: (1, 0), 5: (1, 0)}
