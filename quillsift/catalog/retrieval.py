@@ -49,8 +49,8 @@ def _built(spark, folder) -> tuple[sinks.Index, lexical.Questions]:
     key = (spark.sparkContext.applicationId, *sorted(docs.raw.inputFiles()))
     if key not in INDEXES:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        parents = docs.unique().select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"), "doc_id", "text")
-        sinks.write_index(docs.chunks(), parents, path)
+        parents = docs.unique().select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("parent_id"), "doc_id", "source", "text")
+        sinks.write_index(lambda kept: corpus.document_chunks(kept, docs.settings.chunking), parents, path)
         INDEXES[key] = path
     return sinks.read_index(spark, INDEXES[key]), qs
 
@@ -100,7 +100,7 @@ def retrieval_cache_checks(spark, folder) -> DataFrame:
 
 
 def stored_rankings(spark, folder) -> DataFrame:
-    """All three rankings from the stored index, blocks that cannot matter left unread."""
+    """All three rankings from the stored index: blocks that cannot matter left unread, phrases looked up in the stored chunks."""
     index, qs = _built(spark, folder)
     rows = index.rankings(qs, CFG)
     return rows.select("branch", "qid", "chunk_id", "level", "rank", F.round("score", 6).alias("score"))

@@ -1,9 +1,10 @@
 """BM25 ranking from a stored index with block maxima.
 
-The index holds one row per (unit, block of chunks): how many chunks of the block hold the unit, the largest
-contribution it can make there (its inverse document frequency aside) and the postings themselves. Units are tokens
-and the three- and four-token phrases that questions can ask for. The light columns alone decide which blocks can
-matter: the sum of the largest contributions of a question's units bounds every score in a block. The most promising
+The index holds one row per (token, block of chunks): how many chunks of the block hold the token, the largest
+contribution it can make there (its inverse document frequency aside) and the postings themselves. A block is a run of
+chunks as they were stored, so postings are made where the chunks lie and nothing is shuffled. Phrases have no rows of
+their own, because all three- and four-token runs of a corpus take many times its size: the phrase ranking looks the
+asked ones up in one pass over the stored chunks. The light columns alone decide which blocks can matter: the sum of the largest contributions of a question's units bounds every score in a block. The most promising
 blocks are scored first; the k-th score found there is a lower bound of the final k-th score, so every block whose
 bound lies below it is out, exactly. The strict conjunction needs blocks in which enough of its terms occur at all.
 Postings of other blocks are never read into a join.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillsift.config import Retrieval
@@ -23,10 +23,10 @@ from quillsift.operators.lexical import B, BRANCHES, HEADER_WEIGHT, K1, TEXT_WEI
 from quillsift.operators.sizing import hinted, lookup_join
 from quillsift.session import settled
 
-#: Chunks of a block on average; groups of units by hash.
+#: Chunks of a block; groups of units by hash.
 BLOCK_CHUNKS, FOLDERS = 32, 64
-#: Occurrences that a partition of the build holds on average.
-PARTITION_ROWS = 1 << 22
+#: Tokens of a run of blocks that the build holds and sorts at once.
+RUN_TOKENS = 1 << 20
 #: Scores are rounded to nine digits; a bound has to fall short by more than that.
 SLACK = 1e-6
 
@@ -37,12 +37,14 @@ def with_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("length", counted)
 
 
-def statistics(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """One row: chunks, their tokens, and how chunk ids fall into blocks of about ``block_chunks``."""
-    n, low, high = F.count("*"), F.min("chunk_id"), F.max("chunk_id")
-    span = F.greatest(F.lit(1), F.ceil((high - low + 1).cast("double") * block_chunks / n)).cast("bigint")
-    return chunks.agg(n.alias("n_rows"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("n_tokens"),
-                      F.coalesce(low, F.lit(0)).alias("first_chunk"), F.coalesce(span, F.lit(1)).alias("span"))
+def with_blocks(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """Chunks with the number of their block; blocks are fixed by the write that follows."""
+    return chunks.withColumn("block", F.floor(F.monotonically_increasing_id() / F.lit(block_chunks)).cast("bigint"))
+
+
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row: chunks and their tokens."""
+    return chunks.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("n_tokens"))
 
 
 def impact(f, length, average):
@@ -50,82 +52,82 @@ def impact(f, length, average):
     return f * (K1 + 1) / (f + K1 * ((1 - B) + B * length / average))
 
 
-def _units(toks: str, weight: float):
-    """Tokens of a column and its phrases of at least two words outside the stop list, with their weight."""
-    col = F.col(toks)
-    every = F.concat(col, tx.loaded_ngrams(col, 3), tx.loaded_ngrams(col, 4))
-    return F.transform(every, lambda u: F.struct(u.alias("unit"), F.lit(weight).alias("w")))
-
-
 def folder_of(unit, folders: int):
     """Folders are equal ranges of the unit's hash."""
     part = F.floor((F.xxhash64(unit).cast("double") / 2.0 ** 64 + 0.5) * folders)
     return F.least(part, F.lit(folders - 1)).cast("int")
 
 
-BLOCKS = ("folder int, unit string, block bigint, n bigint, most double, "
+BLOCKS = ("unit string, block bigint, n bigint, most double, "
           "postings array<struct<chunk_id:bigint,length:int,f:double>>")
 
 
+def _postings(rows: pa.Table, average: float) -> pa.Table:
+    """Chunks ``(chunk_id, length, block, head, body)`` of whole blocks to one row per unit and block, without folder."""
+    chunk, length, block = (rows.column(c).to_numpy() for c in ("chunk_id", "length", "block"))
+    tokens, place, weight = [], [], []
+    for name, w in scoring.WEIGHTS.items():
+        column = rows.column(name).combine_chunks()
+        n = np.diff(column.offsets.to_numpy())
+        tokens.append(column.flatten())
+        place.append(np.repeat(np.arange(len(n)), n))
+        weight.append(np.full(int(n.sum()), w))
+    coded = pa.concat_arrays(tokens).dictionary_encode()
+    unit = coded.indices.to_numpy().astype(np.int64)
+    # Rows of a chunk lie together, so in the order of unit and row those of a unit and block do as well.
+    key, at = np.unique(unit * rows.num_rows + np.concatenate(place), return_inverse=True)
+    f = np.bincount(at, np.concatenate(weight), len(key))
+    unit, place = key // max(rows.num_rows, 1), key % max(rows.num_rows, 1)
+    new = np.ones(len(key), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (block[place[1:]] != block[place[:-1]])
+    starts, size = np.flatnonzero(new), length[place]
+    ends = np.append(starts, len(key))
+    most = np.maximum.reduceat(impact(f, size, average), starts) if len(starts) else np.zeros(0)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(chunk[place], pa.int64()), pa.array(size, pa.int32()), pa.array(f)], ["chunk_id", "length", "f"]))
+    return pa.table({"unit": coded.dictionary.take(pa.array(unit[starts])), "block": pa.array(block[place[starts]], pa.int64()),
+                     "n": pa.array(np.diff(ends), pa.int64()), "most": pa.array(most), "postings": lists})
+
+
 def _packed(average: float):
-    """Occurrences in the order of unit, block and chunk to one row per unit and block."""
-    def pack(rows: pa.Table) -> pa.RecordBatch:
-        unit, block, chunk = (rows.column(c).combine_chunks() for c in ("unit", "block", "chunk_id"))
-        folder, length, w = (rows.column(c).to_numpy() for c in ("folder", "length", "w"))
-        new = np.ones(len(w), bool)
-        if len(w) > 1:
-            new[1:] = pc.or_(pc.not_equal(unit[1:], unit[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
-        numbers = chunk.to_numpy()
-        first = new.copy()
-        first[1:] |= numbers[1:] != numbers[:-1]
-        posts = np.flatnonzero(first)
-        f, size = np.add.reduceat(w, posts), length[posts]
-        starts = np.flatnonzero(new)
-        begins = np.searchsorted(posts, starts)
-        most = np.maximum.reduceat(impact(f, size, average), begins)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(posts)), pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(numbers[posts]), pa.array(size, pa.int32()), pa.array(f)], ["chunk_id", "length", "f"]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(folder[starts], pa.int32()), unit.take(pa.array(starts)), block.take(pa.array(starts)),
-             pa.array(np.diff(np.append(begins, len(posts))), pa.int64()), pa.array(most), lists], [c.split()[0] for c in BLOCKS.split(", ")])
+    """Chunks in stored order to rows per unit and block, a run of blocks at a time."""
+    def out(rows: pa.Table):
+        for batch in _postings(rows, average).to_batches(max_chunksize=1 << 14):
+            yield batch
 
     def run(batches):
-        held = None
+        held, tokens = [], 0
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            tokens += sum(len(batch.column(c).flatten()) for c in scoring.WEIGHTS)
+            if tokens < RUN_TOKENS:
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-            unit, block = rows.column("unit").combine_chunks(), rows.column("block").combine_chunks()
-            # The last unit and block may go on in the next batch.
-            same = pc.and_(pc.equal(unit, unit[-1]), pc.equal(block, block[-1])).to_numpy(zero_copy_only=False)
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = rows.slice(cut)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # The last block may go on in the next batch.
+            last = np.flatnonzero(rows.column("block").to_numpy() != rows.column("block")[-1].as_py())
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield pack(rows.slice(0, cut))
-        if held is not None:
-            yield pack(held)
+                yield from out(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+                tokens = sum(len(b.column(c).flatten()) for b in held for c in scoring.WEIGHTS)
+        if held:
+            yield from out(pa.Table.from_batches(held).combine_chunks())
     return run
 
 
 def blocks(chunks: DataFrame, stats, folders: int = FOLDERS) -> DataFrame:
-    """Postings of ``chunks(chunk_id, header, text, length)`` by unit and block, in the order of folder, unit hash and block.
+    """Postings of ``chunks(chunk_id, header, text, length, block)`` by unit and block.
 
-    Occurrences move once. ``folder`` is a hash of the unit; a folder's blocks are dealt over as many partitions as
-    the corpus needs, so a unit that every chunk holds is spread and no unit is hot. ``stats`` is the row of
-    ``statistics``.
+    Units are counted where the chunks lie; a block that two tasks read has a row of either, whose sums bound it as
+    well. Rows are sorted by ``folder``, a hash of the unit, so readers of few units skip pages. ``stats`` is the row
+    of ``statistics``.
     """
-    cut = chunks.select("chunk_id", "length", tx.tokens(F.col("header")).alias("head"), tx.tokens(F.col("text")).alias("body"))
-    rows = cut.select("chunk_id", "length", F.explode(F.concat(_units("head", HEADER_WEIGHT), _units("body", TEXT_WEIGHT))).alias("o"))
-    block = F.floor((F.col("chunk_id") - stats.first_chunk) / F.lit(stats.span)).cast("bigint")
-    parts = max(1, -(-3 * stats.n_tokens // (folders * PARTITION_ROWS)))
-    rows = rows.select(folder_of(F.col("o.unit"), folders).alias("folder"), F.xxhash64("o.unit").alias("key"), F.col("o.unit").alias("unit"),
-                       block.alias("block"), "chunk_id", F.col("length").cast("int").alias("length"), F.col("o.w").alias("w"))
-    dealt = rows.repartition("folder", F.pmod("block", F.lit(parts)))
+    cut = chunks.select("chunk_id", F.col("length").cast("int").alias("length"), "block",
+                        tx.tokens(F.col("header")).alias("head"), tx.tokens(F.col("text")).alias("body"))
     average = stats.n_tokens / max(stats.n_rows, 1)
-    # By the hash first: its order is that of the folders, and it tells nearly all units apart without comparing them.
-    ordered = dealt.sortWithinPartitions("key", "unit", "block", "chunk_id").drop("key")
-    return ordered.mapInArrow(_packed(average), BLOCKS)
+    rows = cut.where(F.col("head").isNotNull() & F.col("body").isNotNull()).mapInArrow(_packed(average), BLOCKS)
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return rows.select(folder_of(F.col("unit"), folders).alias("folder"), *names).sortWithinPartitions("folder")
 
 
 def asked_blocks(index: DataFrame, units: DataFrame, rows: int, folders: int = FOLDERS) -> DataFrame:
@@ -153,12 +155,11 @@ def bounds(light: DataFrame, weighed: DataFrame, rows: int, cfg: Retrieval, bran
     rank, entries, aggs = F.col("precise_rank"), [], []
     entry = lambda name, bound, filled, fits=F.lit(True): F.struct(
         F.lit(name).alias("branch"), bound.alias("bound"), filled.cast("bigint").alias("filled"), fits.alias("fits"))
-    for name, role in (("bm25", "broad"), ("bm25_phrases", "phrase")):
-        if name in branches:
-            own = F.col(role) == 1
-            # Chunks with the unit that promises most: as many are admitted, and they are likely to score high.
-            aggs += [F.sum(F.when(own, F.col("s"))).alias(name), F.max_by(F.when(own, F.col("n")), F.when(own, F.col("s"))).alias(f"n_{name}")]
-            entries.append(entry(name, F.col(name), F.col(f"n_{name}"), F.col(name).isNotNull()))
+    if "bm25" in branches:
+        own = F.col("broad") == 1
+        # Chunks with the unit that promises most: as many are admitted, and they are likely to score high.
+        aggs += [F.sum(F.when(own, F.col("s"))).alias("bm25"), F.max_by(F.when(own, F.col("n")), F.when(own, F.col("s"))).alias("n_bm25")]
+        entries.append(entry("bm25", F.col("bm25"), F.col("n_bm25"), F.col("bm25").isNotNull()))
     if "bm25_precise" in branches:
         widest = max(cfg.and_levels)
         aggs += [F.max("n_terms").alias("n_terms"), F.sum(F.when(rank > 0, F.col("s"))).alias("bm25_precise")]
@@ -188,14 +189,18 @@ def _scores(index: DataFrame, chosen: DataFrame, weighed: DataFrame, asked: scor
     return scoring.best_scores(each.select(F.col("p.chunk_id").alias("chunk_id"), "uid", share.alias("s")), asked, cfg)
 
 
-def ranked(index: DataFrame, stats, questions: lexical.Questions, cfg: Retrieval | None = None, branches=BRANCHES,
+def ranked(index: DataFrame, chunks: DataFrame, stats, questions: lexical.Questions, cfg: Retrieval | None = None, branches=BRANCHES,
            folders: int = FOLDERS, report: list | None = None) -> DataFrame:
     """``(branch, qid, chunk_id, level, score, rank)``, equal to ``lexical.rankings`` on the indexed chunks.
 
-    ``index`` and ``stats`` come from ``sinks.read_index``. ``report`` receives the table of block bounds with the
+    ``index``, ``chunks`` and ``stats`` come from ``sinks.read_index``. ``report`` receives the table of block bounds with the
     column ``read``, true for the blocks that were not ruled out.
     """
     cfg, rows = cfg or Retrieval(), questions.units
+    if "bm25_phrases" in branches:
+        phrases = lexical.rankings(chunks, questions, cfg, ("bm25_phrases",))
+        others = tuple(b for b in branches if b != "bm25_phrases")
+        return phrases.unionByName(ranked(index, chunks, stats, questions, cfg, others, folders, report)) if others else phrases
     units = lexical.question_units(questions.rows, cfg, branches)
     light = settled(asked_blocks(index, units, rows, folders))
     named = [r.folder for r in light.select("folder").distinct().collect()]

@@ -273,3 +273,20 @@ def test_postings_are_packed_where_the_chunk_is_read(spark, inputs):
     assert got == {1: (11, {1: 4.5, 2: 2.0, 3: 1.0}), 2: (3, {5: 1.0}), 3: (1, {})}
     counts = {r.uid: (r.df, r.total) for r in scoring.unit_counts(posts, vocabulary).collect()}
     assert counts == {0: (3, 15), 1: (1, 0), 2: (1, 0), 3: (1, 0), 5: (1, 0)}
+
+
+def test_an_index_stays_in_proportion_to_its_corpus(spark, tmp_path):
+    """Units are tokens alone, and no exchange makes them; chunks are read from the stored parents."""
+    from quillsift.operators import blockmax
+    rows = [(i, " ".join(f"w{(i * 31 + j * j) % 97}" for j in range(60))) for i in range(50)]
+    parents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("concat(doc_id, ':0') AS parent_id", "doc_id", "text")
+    cut = lambda kept: kept.selectExpr("doc_id AS chunk_id", "parent_id", "'' AS header", "text")
+    sinks.write_index(cut, parents, str(tmp_path), block_chunks=8)
+    index = sinks.read_index(spark, str(tmp_path))
+    assert index.postings.where("unit LIKE '% %'").count() == 0
+    assert index.postings.selectExpr("sum(n)", "sum(size(postings))").first()[:] == (sum(len(set(t.split())) for _, t in rows),) * 2
+    plan = blockmax.blocks(index.chunks, index.statistics)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    asked = lexical.Questions.of(spark.createDataFrame([(1, rows[3][1]), (2, "w1 w2 w3")], "qid long, question string"))
+    want = lexical.rankings(cut(parents), asked).collect()
+    assert sorted(map(tuple, index.rankings(asked).collect())) == sorted(map(tuple, want)) and want
