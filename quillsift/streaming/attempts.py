@@ -21,7 +21,7 @@ from quillsift.config import Attempts
 REPORT = "id long, attempt int, budget int, focused boolean, accepted boolean, faulty boolean, hit_token_limit boolean"
 STEP = "id long, attempts int, status string, budget int, focused boolean, waiting int, ignored int"
 MACHINE = "attempts int, status string, budget int, focused boolean, refocused boolean, ignored int"
-EARLY = "budget int, focused boolean, accepted boolean, faulty boolean, hit_token_limit boolean"
+EARLY = "attempt int, budget int, focused boolean, accepted boolean, faulty boolean, hit_token_limit boolean"
 STATES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,37 +49,51 @@ def step(state: tuple, report: tuple, ladder, policy: Attempts) -> tuple:
     return (attempts, "unresolved", budget, focused, refocused, ignored)
 
 
+def advance(now: tuple | None, held: dict[int, tuple], ladder, policy: Attempts) -> tuple | None:
+    """State after the reports whose turn has come; these leave ``held``, reports by attempt."""
+    turn = 1 if now is None else now[0] + 1 + now[5]
+    while now is not None and turn in held:
+        now = step(now, held.pop(turn), ladder, policy)
+        turn += 1
+    return now
+
+
 class AttemptMachine(StatefulProcessor):
-    """State per item: where it stands, and reports that wait for earlier ones."""
+    """State per item: where it stands, and reports that wait for earlier ones.
+
+    Either is read and written once per item and batch, since every call crosses to the JVM.
+    """
 
     def __init__(self, ladder, policy: Attempts):
         self.ladder, self.policy = tuple(ladder), policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", MACHINE)
-        self.early = handle.getMapState("early", "attempt int", EARLY)
+        self.early = handle.getListState("early", EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = tuple(self.state.get()) if self.state.exists() else None
+        before = self.state.get()
+        now = None if before is None else tuple(before)
+        held = {int(r[0]): tuple(r[1:]) for r in self.early.get()}
+        waited = bool(held)
         plain = lambda v, kind: None if pd.isna(v) else kind(v)
+        fields = ("attempt", "budget", "focused", "accepted", "faulty", "hit_token_limit")
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.attempt == 0:
+            for attempt, budget, focused, *told in zip(*(frame[c].tolist() for c in fields)):
+                if attempt == 0:
                     now = start(self.ladder) if now is None else now
                 else:
-                    report = (plain(r.budget, int), plain(r.focused, bool), bool(r.accepted), bool(r.faulty), bool(r.hit_token_limit))
-                    self.early.updateValue((int(r.attempt),), report)
-        turn = 1 if now is None else now[0] + 1 + now[5]
-        while now is not None and self.early.containsKey((turn,)):
-            now = step(now, tuple(self.early.getValue((turn,))), self.ladder, self.policy)
-            self.early.removeKey((turn,))
-            turn += 1
-        waiting = sum(1 for _ in self.early.keys())
+                    held[int(attempt)] = (plain(budget, int), plain(focused, bool), *map(bool, told))
+        now = advance(now, held, self.ladder, self.policy)
+        if held:
+            self.early.put([(n, *held[n]) for n in sorted(held)])
+        elif waited:
+            self.early.clear()
         if now is not None:
             self.state.update(now)
             attempts, status, budget, focused, _, ignored = now
             yield pd.DataFrame({"id": [key[0]], "attempts": [attempts], "status": [status], "budget": [budget], "focused": [focused],
-                                "waiting": [waiting], "ignored": [ignored]})
+                                "waiting": [len(held)], "ignored": [ignored]})
 
     def close(self) -> None:
         pass

@@ -77,3 +77,36 @@ def test_a_report_has_to_be_as_scheduled():
         attempts.step(state, (None, True, True, False, False), LADDER, Attempts())
     ended = attempts.step(state, (3072, False, True, False, False), LADDER, Attempts())
     assert ended[1] == "accepted" and attempts.step(ended, (1, True, True, True, True), LADDER, Attempts())[5] == 1
+
+
+def test_state_is_read_and_written_once_per_item_and_batch():
+    """Calls to the state do not grow with the reports of a batch; reports ahead of their turn wait in it."""
+    import pandas as pd
+
+    class Cell:
+        def __init__(self, value):
+            self.value, self.calls = value, 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def put(self, value):
+            self.value, self.calls = value, self.calls + 1
+
+        update = put
+
+        def clear(self):
+            self.value, self.calls = [], self.calls + 1
+
+    machine = attempts.AttemptMachine(LADDER, Attempts(max_attempts=1 << 30))
+    machine.state, machine.early = Cell(None), Cell([])
+    row = lambda n: (n, None, None, False, True, False)
+    names = ["attempt", "budget", "focused", "accepted", "faulty", "hit_token_limit"]
+    send = lambda numbers: list(machine.handleInputRows((7,), iter([pd.DataFrame([row(n) for n in numbers], columns=names)]), None))
+    out = send([0, *range(3, 300, 3)])[0].iloc[0]
+    assert (out.attempts, out.waiting) == (0, 99)
+    send(range(2, 300, 3))
+    out = send(range(1, 300, 3))[0].iloc[0]
+    assert (out.status, out.attempts, out.ignored, out.waiting) == ("unresolved", 2, 297, 0)
+    assert machine.state.calls == 6 and machine.early.calls == 6
