@@ -12,7 +12,9 @@ from quillsift.operators.sizing import lookup_join
 
 DIGITS = 9
 # Questions whose blocks may be broadcast, questions of a block, bytes of a pack of vectors.
-QUESTION_BOUND, BLOCK, PACK_BYTES = 20_000, 2_048, 16 << 20
+QUESTION_BOUND, BLOCK, PACK_BYTES = 20_000, 2_048, 1 << 20
+# Bytes of an Arrow batch: a row is a pack beside a block, so by rows alone a batch would hold all packs of a task.
+BATCH_BYTES = 8 << 20
 OUT = "qid long, id long, score double"
 PACK = "ids binary, matrix binary, first long"
 
@@ -84,6 +86,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int = 100,
     the ``k`` best of a pack leave the task, so no pair table is formed. Blocks are broadcast up to
     ``question_bound`` questions; beyond that packs and blocks meet in a salted join.
     """
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     count = questions.count()
     blocks = max(1, -(-count // block))
     asked = (questions.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.col("qid").cast("long").alias("qid"), "vector")
