@@ -7,7 +7,7 @@ their own, because all three- and four-token runs of a corpus take many times it
 asked ones up in one pass over the stored chunks. The light columns alone decide which blocks can matter: the sum of the largest contributions of a question's units bounds every score in a block. The most promising
 blocks are scored first; the k-th score found there is a lower bound of the final k-th score, so every block whose
 bound lies below it is out, exactly. The strict conjunction needs blocks in which enough of its terms occur at all.
-Postings of other blocks are never read into a join.
+Chunks of other blocks are not scored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillsift.config import Retrieval
 from quillsift.functions import text as tx
 from quillsift.operators import lexical, scoring
-from quillsift.operators.lexical import B, BRANCHES, HEADER_WEIGHT, K1, TEXT_WEIGHT
+from quillsift.operators.lexical import B, BRANCHES, K1
 from quillsift.operators.sizing import hinted, lookup_join
 from quillsift.session import settled
 
@@ -58,13 +58,12 @@ def folder_of(unit, folders: int):
     return F.least(part, F.lit(folders - 1)).cast("int")
 
 
-BLOCKS = ("unit string, block bigint, n bigint, most double, "
-          "postings array<struct<chunk_id:bigint,length:int,f:double>>")
+BLOCKS = "unit string, block bigint, n bigint, most double"
 
 
 def _postings(rows: pa.Table, average: float) -> pa.Table:
-    """Chunks ``(chunk_id, length, block, head, body)`` of whole blocks to one row per unit and block, without folder."""
-    chunk, length, block = (rows.column(c).to_numpy() for c in ("chunk_id", "length", "block"))
+    """Chunks ``(length, block, head, body)`` of whole blocks to one row per unit and block, without folder."""
+    length, block = (rows.column(c).to_numpy() for c in ("length", "block"))
     tokens, place, weight = [], [], []
     for name, w in scoring.WEIGHTS.items():
         column = rows.column(name).combine_chunks()
@@ -83,10 +82,8 @@ def _postings(rows: pa.Table, average: float) -> pa.Table:
     starts, size = np.flatnonzero(new), length[place]
     ends = np.append(starts, len(key))
     most = np.maximum.reduceat(impact(f, size, average), starts) if len(starts) else np.zeros(0)
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-        [pa.array(chunk[place], pa.int64()), pa.array(size, pa.int32()), pa.array(f)], ["chunk_id", "length", "f"]))
     return pa.table({"unit": coded.dictionary.take(pa.array(unit[starts])), "block": pa.array(block[place[starts]], pa.int64()),
-                     "n": pa.array(np.diff(ends), pa.int64()), "most": pa.array(most), "postings": lists})
+                     "n": pa.array(np.diff(ends), pa.int64()), "most": pa.array(most)})
 
 
 def _packed(average: float):
@@ -116,13 +113,13 @@ def _packed(average: float):
 
 
 def blocks(chunks: DataFrame, stats, folders: int = FOLDERS) -> DataFrame:
-    """Postings of ``chunks(chunk_id, header, text, length, block)`` by unit and block.
+    """Tokens of ``chunks(header, text, length, block)`` by unit and block.
 
     Units are counted where the chunks lie; a block that two tasks read has a row of either, whose sums bound it as
     well. Rows are sorted by ``folder``, a hash of the unit, so readers of few units skip pages. ``stats`` is the row
     of ``statistics``.
     """
-    cut = chunks.select("chunk_id", F.col("length").cast("int").alias("length"), "block",
+    cut = chunks.select(F.col("length").cast("int").alias("length"), "block",
                         tx.tokens(F.col("header")).alias("head"), tx.tokens(F.col("text")).alias("body"))
     average = stats.n_tokens / max(stats.n_rows, 1)
     rows = cut.where(F.col("head").isNotNull() & F.col("body").isNotNull()).mapInArrow(_packed(average), BLOCKS)
@@ -140,7 +137,7 @@ def asked_blocks(index: DataFrame, units: DataFrame, rows: int, folders: int = F
 
 def weighed_units(units: DataFrame, light: DataFrame, stats, rows: int) -> DataFrame:
     """Questions' units that occur, with their inverse document frequency and a number for each unit."""
-    df = light.groupBy("unit").agg(F.sum("n").alias("df")).withColumn("uid", F.row_number().over(Window.orderBy("unit")) - 1)
+    df = light.groupBy("unit").agg(F.sum("n").alias("df")).withColumn("uid", F.row_number().over(Window.orderBy("unit")))
     idf = lexical.inverse_frequency(F.lit(float(stats.n_rows)), F.col("df"))
     return df.join(hinted(units, rows), "unit").withColumn("idf", idf).drop("df")
 
@@ -174,19 +171,17 @@ def bounds(light: DataFrame, weighed: DataFrame, rows: int, cfg: Retrieval, bran
             .select("e.branch", "qid", "block", "e.bound", "e.filled"))
 
 
-def _scores(index: DataFrame, chosen: DataFrame, weighed: DataFrame, asked: scoring.Asked, rows: int, cfg: Retrieval,
-            average: float) -> DataFrame:
-    """Best scores among the chunks of the chosen ``(branch, qid, block)``; other blocks' postings do not leave the scan.
+def _scores(chunks: DataFrame, chosen: DataFrame, weighed: DataFrame, asked: scoring.Asked, cfg: Retrieval, average: float) -> DataFrame:
+    """Best scores among the chunks of the chosen ``(branch, qid, block)``; others are dropped before their text is cut.
 
     A block that one question needs is scored for all, which changes nothing: their best chunks lie elsewhere.
     """
     wanted = settled(chosen.select("block").distinct())
-    kept = lookup_join(index.select("unit", "block", "postings"), wanted, "block", wanted.count(), "left_semi", spread_by=["unit"])
-    named = weighed.select("unit", "uid", "idf").distinct()
-    met = lookup_join(kept, named, "unit", rows, spread_by=["block"]).repartition("block")
-    each = met.select("uid", "idf", F.explode("postings").alias("p"))
-    share = F.col("idf") * impact(F.col("p.f"), F.col("p.length"), average)
-    return scoring.best_scores(each.select(F.col("p.chunk_id").alias("chunk_id"), "uid", share.alias("s")), asked, cfg)
+    kept = lookup_join(chunks, wanted, "block", wanted.count(), "left_semi", spread_by=["chunk_id"])
+    vocabulary = scoring.Vocabulary.of(weighed.select("unit", "uid").distinct())
+    weights = scoring.Weights.of(weighed.select("uid", "idf", F.lit(average).alias("avg_length")).distinct(), vocabulary, K1, B)
+    posts = scoring.packed_postings(lexical.cut_chunks(kept), vocabulary)
+    return scoring.best_of_packed(posts, vocabulary, weights, asked, cfg)
 
 
 def ranked(index: DataFrame, chunks: DataFrame, stats, questions: lexical.Questions, cfg: Retrieval | None = None, branches=BRANCHES,
@@ -203,8 +198,6 @@ def ranked(index: DataFrame, chunks: DataFrame, stats, questions: lexical.Questi
         return phrases.unionByName(ranked(index, chunks, stats, questions, cfg, others, folders, report)) if others else phrases
     units = lexical.question_units(questions.rows, cfg, branches)
     light = settled(asked_blocks(index, units, rows, folders))
-    named = [r.folder for r in light.select("folder").distinct().collect()]
-    near = index.where(F.col("folder").isin(named))
     weighed = settled(weighed_units(units, light, stats, rows))
     bound = settled(bounds(light, weighed, rows, cfg, branches))
     average = stats.n_tokens / max(stats.n_rows, 1)
@@ -214,11 +207,11 @@ def ranked(index: DataFrame, chunks: DataFrame, stats, questions: lexical.Questi
     before = best.rowsBetween(Window.unboundedPreceding, -1)
     # Enough blocks to hold k admitted chunks; a window over the blocks of one question and branch.
     first = bound.where("filled > 0").withColumn("so_far", F.coalesce(F.sum("filled").over(before), F.lit(0))).where(F.col("so_far") < limit)
-    found = lexical.top_ranked(_scores(near, first, weighed, asked, rows, cfg, average), cfg)
+    found = lexical.top_ranked(_scores(chunks, first, weighed, asked, cfg, average), cfg)
     least = found.where(F.col("rank") == limit).select("branch", "qid", F.col("score").alias("least"))
     judged = bound.join(hinted(least, 3 * questions.count), ["branch", "qid"], "left").withColumn(
         "read", F.col("bound") >= F.coalesce(F.col("least"), F.lit(0.0)) - SLACK)
     if report is not None:
         judged = settled(judged)
         report.append(judged)
-    return lexical.top_ranked(_scores(near, judged.where("read"), weighed, asked, rows, cfg, average), cfg)
+    return lexical.top_ranked(_scores(chunks, judged.where("read"), weighed, asked, cfg, average), cfg)

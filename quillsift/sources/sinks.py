@@ -18,28 +18,28 @@ from quillsift.sources.json_objects import require_none
 
 def write_index(chunks: DataFrame | Callable[[DataFrame], DataFrame], parents: DataFrame, path: str, vectors: DataFrame | None = None,
                 block_chunks: int = blockmax.BLOCK_CHUNKS, folders: int = blockmax.FOLDERS) -> None:
-    """Write parents, chunks, postings by token and block, and optionally vectors ``(chunk_id, vector)`` of a corpus.
+    """Write parents, chunks, the blocks of every token (table ``postings``), and optionally vectors ``(chunk_id, vector)`` of a corpus.
 
     ``chunks`` may be a function of the stored parents, so that what made these is not repeated; columns of the
-    parents that only chunks need are stored as well. Postings are sorted by ``folder`` (one of ``folders``, a hash of
+    parents that only chunks need are stored as well. Blocks are sorted by ``folder`` (one of ``folders``, a hash of
     the token) in every file, so a batch of few questions skips pages. Chunk ids and parent ids that occur twice and chunks without
     parent are an error. The manifest is written last, so an unfinished index is never read.
     """
     spark = parents.sparkSession
-    parents.write.mode("overwrite").parquet(f"{path}/parents")
+    parents.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/parents")
     owners = spark.read.parquet(f"{path}/parents")
     cut = chunks(owners) if callable(chunks) else chunks
-    blockmax.with_blocks(blockmax.with_lengths(cut), block_chunks).write.mode("overwrite").parquet(f"{path}/chunks")
+    blockmax.with_blocks(blockmax.with_lengths(cut), block_chunks).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
     stored = spark.read.parquet(f"{path}/chunks")
     require_none(corpus.duplicate_ids(stored, "chunk_id"), "duplicate chunk id")
     require_none(corpus.duplicate_ids(owners, "parent_id"), "duplicate parent id")
     require_none(stored.select("parent_id").distinct().join(owners, "parent_id", "left_anti"), "chunk without parent")
     if vectors is not None:
         require_none(corpus.duplicate_ids(vectors, "chunk_id"), "duplicate vector id")
-        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        vectors.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/vectors")
     stats = blockmax.statistics(stored)
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
-    blockmax.blocks(stored, stats.first(), folders).write.mode("overwrite").parquet(f"{path}/postings")
+    blockmax.blocks(stored, stats.first(), folders).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     manifest = integrity.table_digest(stored, "chunk_id", "parent_id", "header", "text")
     manifest.withColumn("folders", F.lit(folders)).withColumn("vectors", F.lit(vectors is not None)).coalesce(1).write.mode(
         "overwrite").json(f"{path}/manifest")
@@ -58,7 +58,7 @@ class Index:
     folders: int
 
     def rankings(self, questions: lexical.Questions, cfg=None, branches=lexical.BRANCHES, report: list | None = None) -> DataFrame:
-        """``(branch, qid, chunk_id, level, score, rank)`` from the stored postings, phrases from the stored chunks."""
+        """``(branch, qid, chunk_id, level, score, rank)`` from the stored blocks and chunks."""
         return blockmax.ranked(self.postings, self.chunks, self.statistics, questions, cfg, branches, self.folders, report)
 
     def chunks_of(self, ids: DataFrame, rows: int) -> DataFrame:
