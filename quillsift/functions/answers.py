@@ -67,7 +67,11 @@ def spare(items: Column) -> Column:
 
 def repetition_ratio(text: Column) -> Column:
     """Share of repeated lines among the lines of 35 characters and more."""
-    return tx.let(tx.long_lines(text), lambda found: F.when(
+    return repeated_share(tx.lines(text))
+
+
+def repeated_share(lines: Column) -> Column:
+    return tx.let(tx.long_of(lines), lambda found: F.when(
         F.size(found) > 0, spare(found) / F.size(found)).otherwise(F.lit(0.0)))
 
 

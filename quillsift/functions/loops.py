@@ -38,7 +38,12 @@ def runs(values: Column) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """Trimmed non-blank pieces between carriage returns and line feeds."""
-    return F.filter(F.transform(F.split(text, "[\\r\\n]+"), tx.strip), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(_pieces(text), tx.strip), lambda x: F.length(x) > 0)
+
+
+def _pieces(text: Column) -> Column:
+    """Parts between carriage returns and line feeds, empty ones too; one plain character is split at without a pattern."""
+    return F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n")
 
 
 def line_loops(lines: Column, policy: RepairPolicy = RepairPolicy()) -> Column:
@@ -55,7 +60,7 @@ def item_content(line: Column) -> Column:
 
 def numbered_keys(text: Column) -> Column:
     """Per line the content of a list item with a number or letter, null for any other line."""
-    units = F.filter(F.split(text, "[\\r\\n]+"), lambda x: F.length(x) > 0)
+    units = F.filter(_pieces(text), lambda x: F.length(x) > 0)
     return F.transform(units, lambda u: F.when(u.rlike(an._wide(lx.LIST_MARKER)), item_content(u)))
 
 
@@ -68,45 +73,66 @@ def numbered_loops(keys: Column, policy: RepairPolicy = EXTENDED) -> Column:
 
 def runaway_list(text: Column, repeats: int = 4, min_chars: int = 60) -> Column:
     """A list whose numbers (or letters) go on while the text of the items stays the same."""
+    return _runaway_list(tx.lines(text), repeats, min_chars)
+
+
+def _runaway_list(lines: Column, repeats: int = 4, min_chars: int = 60) -> Column:
     pattern = f"(?iud)^{S}*(\\d+|[a-zđ])[.)]{S}+(.+)$"
     def item(line: Column) -> Column:
         parts = F.struct(F.lower(F.regexp_extract(line, pattern, 1)).alias("label"),
                          tx.squeeze(tx.fold(F.regexp_extract(line, pattern, 2))).alias("body"))
         number = lambda p: F.when(p["label"].rlike("^\\d"), p["label"].try_cast("decimal(38,0)")).otherwise(
             (F.ascii(p["label"]) - 96).cast("decimal(38,0)"))
-        return tx.let(parts, lambda p: F.when(
-            F.length(p["body"]) >= min_chars, F.struct(number(p).alias("n"), p["body"].alias("body"))))
+        return F.when(line.rlike(pattern), tx.let(parts, lambda p: F.when(
+            F.length(p["body"]) >= min_chars, F.struct(number(p).alias("n"), p["body"].alias("body")))))
 
     # Along a run of equal text the number minus the line index stays constant.
-    keys = F.transform(F.transform(tx.lines(text), item), lambda s, i: F.when(
+    keys = F.transform(F.transform(lines, item), lambda s, i: F.when(
         s.isNotNull(), F.concat_ws("|", (s["n"] - i).cast("string"), s["body"])))
     return F.exists(runs(keys), lambda r: r["value"].isNotNull() & (r["length"] >= repeats))
 
 
 def inline_phrase_loop(text: Column) -> Column:
-    """Three to 24 words repeated back to back inside a line, at least 24 words and four times.
+    """Three to 24 words repeated back to back inside a line, at least 24 words and four times."""
+    return _inline_phrase_loop(tx.lines(text))
+
+
+def _inline_phrase_loop(lines: Column) -> Column:
+    """Phrase loops of lines.
 
     For a block width the line becomes a string with one mark per word: ``a`` or ``n`` when the word
     (with or without a letter) equals the one a block later, ``-`` otherwise. A loop is a long enough
     stretch of marks that holds an ``a``.
+
+    Such a stretch has 18 marks or more, so from one of every ``step`` places on, ``near`` marks lie whole in it.
+    Lines are marked only where the words at such a place come again 3 to 24 words later, for the widths that fit.
     """
+    near, step = 6, 13
+
+    def at_places(words: Column, test) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.size(words), F.lit(step)), test)
+
+    def comes_again(words: Column) -> Column:
+        spaced = lambda at, size: F.concat(F.lit(" "), F.array_join(F.slice(words, at, F.lit(size)), " "), F.lit(" "))
+        return at_places(words, lambda at: F.contains(spaced(at + 3, 24 - 3 + near), spaced(at, near)))
+
+    def fits(words: Column, width: Column) -> Column:
+        return at_places(words, lambda at: F.slice(words, at, F.lit(near)) == F.slice(words, at + width, F.lit(near)))
 
-    def looped(words: Column, width: int) -> Column:
-        needed = max(4, -(-24 // width))
+    def looped(words: Column, width: Column) -> Column:
+        needed = F.greatest(F.lit(4), F.ceil(F.lit(24) / width).cast("int"))
         marks = F.transform(F.sequence(F.lit(1), F.size(words) - width), lambda i: F.when(
             F.element_at(words, i) != F.element_at(words, i + width), F.lit("-")).when(
             F.element_at(words, i).rlike("\\p{L}"), F.lit("a")).otherwise(F.lit("n")))
-        stretch = F.array_join(marks, "").rlike(f"(?=n*a)[an]{{{width * (needed - 1)}}}")
-        return (F.size(words) >= width * needed) & stretch
+        stretch = F.concat(F.lit("(?=n*a)[an]{"), (width * (needed - 1)).cast("string"), F.lit("}"))
+        return (F.size(words) >= width * needed) & fits(words, width) & F.rlike(F.array_join(marks, ""), stretch)
 
     def line_loops_inside(words: Column) -> Column:
-        out = F.lit(False)
-        for width in range(24, 2, -1):
-            out = looped(words, width) | out
         # Even the shortest loop repeats 18 words.
-        return F.when(an.spare(words) >= 18, out).otherwise(F.lit(False))
+        return (an.spare(words) >= 18) & comes_again(words) & F.exists(
+            F.sequence(F.lit(3), F.lit(24)), lambda width: looped(words, width))
 
-    return F.exists(F.transform(tx.lines(text), tx.tokens), line_loops_inside)
+    return F.exists(lines, lambda x: tx.let(tx.tokens(x), line_loops_inside))
 
 
 def long_numeric_run(text: Column, length: int = 20) -> Column:
@@ -117,13 +143,19 @@ def long_numeric_run(text: Column, length: int = 20) -> Column:
     # Along a run of consecutive integers the value minus the position stays constant.
     steps = lambda c: F.transform(F.regexp_extract_all(c, F.lit("\\d+"), F.lit(0)),
                                   lambda n, i: (n.cast("int") - i).cast("string"))
-    return F.exists(chains, lambda c: F.exists(runs(steps(c)), lambda r: r["length"] >= length))
+    # Texts without so many numbers in a row are not searched for whole chains.
+    enough = text.rlike(f"(?U)(?:\\d{{1,6}}+[{lx.WS},;]++){{{length - 1}}}\\d")
+    return F.when(~enough, F.lit(False)).otherwise(
+        F.exists(chains, lambda c: F.exists(runs(steps(c)), lambda r: r["length"] >= length)))
 
 
 def heading_only(text: Column, max_words: int = 16) -> Column:
     """True when an answer consists of titles, markers and lead-ins without any statement."""
-    trimmed = F.filter(F.transform(tx.lines(text), tx.strip), lambda x: F.length(x) > 0)
-    bare = F.transform(trimmed, lambda x: tx.strip(F.btrim(x, F.lit("#>*_` "))))
+    return tx.let(tx.lines(text), lambda found: _heading_only(found, max_words))
+
+
+def _heading_only(lines: Column, max_words: int = 16) -> Column:
+    bare = lambda x: tx.strip(F.btrim(x, F.lit("#>*_` ")))
     marker = "(?iu)^(?:\\d+(?:\\.\\d+)*|[a-zđ]|[ivxlcdm]+)[.)]$"
     opening = "(?iuU)^(?:căn cứ|theo)\\b"
     announcing = f"(?iu)(?:như sau|sau đây){S}*[:.]?$"
@@ -140,9 +172,12 @@ def heading_only(text: Column, max_words: int = 16) -> Column:
                 .when(~in_section & x.rlike(item), "statement")
                 .otherwise(tx.let(F.struct(in_section.alias("section"), rest.alias("rest")), judge)))
 
+    # More words than allowed, found without counting those of a long line.
+    many = f"^(?:[^{lx.WS}]++{S}++){{{max_words}}}[^{lx.WS}]"
+
     def judge(s):
         rest = s["rest"]
-        statement = (tx.word_count(rest) > max_words) | rest.rlike("[.;!?]") | rest.rlike(verb)
+        statement = rest.rlike("[.;!?]") | rest.rlike(many) | rest.rlike(verb)
         good = ~rest.rlike("(?U)\\d") & (s["section"] | F.endswith(rest, F.lit(":")) | rest.rlike(title))
         return (F.when((F.length(rest) == 0) & s["section"], "scaffold").when(F.length(rest) == 0, "nothing")
                 .when(statement, "statement").when(good, "title").otherwise("other"))
@@ -150,10 +185,12 @@ def heading_only(text: Column, max_words: int = 16) -> Column:
     def decide(kinds):
         has = lambda kind: F.array_contains(kinds, kind)
         headings = has("title") | has("other")
-        return ((F.size(kinds) > 0) & ~has("statement")
-                & F.when(headings, ~has("other")).otherwise(has("scaffold")))
+        return (F.size(kinds) > 0) & F.when(headings, ~has("other")).otherwise(has("scaffold"))
 
-    return tx.let(F.transform(bare, classify), decide)
+    # The first statement settles it; only texts without any have all their lines classified.
+    kind = lambda x: tx.let(bare(tx.strip(x)), classify)
+    kinds = F.transform(F.filter(lines, lambda x: F.length(tx.strip(x)) > 0), kind)
+    return F.when(F.exists(lines, lambda x: kind(x) == "statement"), F.lit(False)).otherwise(tx.let(kinds, decide))
 
 
 # --- block removal -----------------------------------------------------------------------------
@@ -253,10 +290,12 @@ def may_loop(text: Column, policy: RepairPolicy) -> Column:
     Lambdas are not nested here: the condition ends up in the argument of a Python function, and
     Spark does not extract one whose argument refers to the variable of an outer lambda.
     """
-    sentences = F.filter(F.transform(F.split(text, f"(?<=[.!?])(?={S})"), tx.strip), lambda x: F.length(x) > 0)
-    out = (an.spare(plain_lines(text)) >= 2) | (an.spare(sentences) >= 2)
+    # Without its final mark a repeated sentence still repeats; a lookbehind would be tried at every character.
+    sentences = F.transform(F.split(text, f"[.!?](?={S}|\\z)"), tx.strip)
+    again = lambda items: tx.let(items, an.spare)
+    out = (again(plain_lines(text)) >= 2) | (again(sentences) >= 2)
     if policy.version == 2:
-        out = out | (an.spare(F.filter(numbered_keys(text), lambda k: k.isNotNull())) >= policy.numbered_repeats - 1)
+        out = out | (again(F.filter(numbered_keys(text), lambda k: k.isNotNull())) >= policy.numbered_repeats - 1)
     return out
 
 
@@ -280,21 +319,29 @@ def with_loops_removed(df: DataFrame, column: str, policy: RepairPolicy = Repair
             .withColumn(changes, F.coalesce("_cut.changes", none)).drop("_suspect", "_cut"))
 
 
+def _named(*found: Column) -> Column:
+    return F.filter(F.array(*found), lambda r: r.isNotNull())
+
+
+def _cut_reasons(changes: Column) -> Column:
+    return _named(F.when(F.exists(changes, lambda c: c["unit"] != "numbered_loop"), F.lit("exact_adjacent_loop")),
+                  F.when(F.exists(changes, lambda c: c["unit"] == "numbered_loop"), F.lit("numbered_loop")))
+
+
+def _list_reasons(lines: Column) -> list[Column]:
+    return [F.when(an.repeated_share(lines) >= 0.25, F.lit("repeated_long_lines")),
+            F.when(_runaway_list(lines), F.lit("runaway_incrementing_list"))]
+
+
 def loop_reasons(text: Column, changes: Column) -> Column:
     """Sorted names of the loop kinds; ``changes`` comes from the extended policy on the same text."""
-    found = F.array(
-        F.when(F.exists(changes, lambda c: c["unit"] != "numbered_loop"), F.lit("exact_adjacent_loop")),
-        F.when(F.exists(changes, lambda c: c["unit"] == "numbered_loop"), F.lit("numbered_loop")),
-        F.when(an.repetition_ratio(text) >= 0.25, F.lit("repeated_long_lines")),
-        F.when(runaway_list(text), F.lit("runaway_incrementing_list")))
-    return F.filter(found, lambda r: r.isNotNull())
+    return F.concat(_cut_reasons(changes), tx.let(tx.lines(text), lambda found: _named(*_list_reasons(found))))
 
 
 def measurement_reasons(text: Column, changes: Column) -> Column:
-    """Loop reasons plus phrase loops, counting runs and answers made of headings only."""
-    more = F.array(
-        F.when(heading_only(text), F.lit("heading_only")),
-        F.when(inline_phrase_loop(text), F.lit("inline_phrase_loop")),
-        F.when(long_numeric_run(text), F.lit("long_numeric_run")))
-    both = F.concat(loop_reasons(text, changes), F.filter(more, lambda r: r.isNotNull()))
-    return F.array_sort(F.array_distinct(both))
+    """Loop reasons plus phrase loops, counting runs and answers made of headings only; the lines are cut once."""
+    of_lines = tx.let(tx.lines(text), lambda found: _named(
+        *_list_reasons(found), F.when(_heading_only(found), F.lit("heading_only")),
+        F.when(_inline_phrase_loop(found), F.lit("inline_phrase_loop"))))
+    numeric = _named(F.when(long_numeric_run(text), F.lit("long_numeric_run")))
+    return F.array_sort(F.array_distinct(F.concat(_cut_reasons(changes), of_lines, numeric)))

@@ -108,11 +108,17 @@ def words(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, f"\\r\\n|[{lx.EOL}]")
+    """Parts between line ends; a pattern with the pair as an alternative would be tried at every character."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), f"[{lx.JAVA_EOL}]")
 
 
 def long_lines(text: Column, minimum: int = 35) -> Column:
-    return F.filter(F.transform(lines(text), strip), lambda x: F.length(x) >= minimum)
+    return long_of(lines(text), minimum)
+
+
+def long_of(found: Column, minimum: int = 35) -> Column:
+    """The long ones of an array of lines, trimmed."""
+    return F.filter(F.transform(found, strip), lambda x: F.length(x) >= minimum)
 
 
 def years(text: Column) -> Column:

@@ -103,6 +103,48 @@ def test_inline_loops_numbers_and_headings(one):
                "Người lao động được nghỉ 12 ngày.", "", "Hồ sơ:\nThủ tục cấp phép", "Hà Nội") == [True, True, False, False, False, True, False]
 
 
+def plain_phrase_loop(words):
+    for width in range(3, 25):
+        needed = max(4, -(-24 // width))
+        for at in range(len(words) - width * needed + 1):
+            block = words[at:at + width]
+            if words[at:at + width * needed] == block * needed and any(c.isalpha() for w in block for c in w):
+                return True
+    return False
+
+
+def test_phrase_loops_of_every_width_and_place(one):
+    r, cases = random.Random(5), []
+    for width in range(2, 26):
+        for copies in (max(4, -(-24 // width)), max(4, -(-24 // width)) - 1):
+            for lead in r.sample(range(30), 4):
+                block = [r.choice(["điều", "khoản", "7", "a", "b"]) + str(r.randint(0, 30)) for _ in range(width)]
+                cases.append([f"trước{i}" for i in range(lead)] + block * copies + block[:r.randint(0, width - 1)] + [f"sau{i}" for i in range(r.randint(0, 9))])
+    cases += [r.choices(["a", "b", "1"], k=r.randint(20, 90)) for _ in range(150)]
+    got = one(loops.inline_phrase_loop, *[" ".join(c) for c in cases])
+    want = [plain_phrase_loop(c) for c in cases]
+    assert got == want and 50 < sum(want) < len(want) - 50
+
+
+def test_screens_before_the_full_checks(one):
+    sixteen = "Thời hạn " + " ".join(f"giờ{'x' * i}" for i in range(14))
+    assert one(loops.heading_only, sixteen, sixteen + " thêm", f"{sixteen}\r\n\n \x85#", "x\u2028Điều 5. Hà Nội", "Điều 5. Hà Nội\x1c ",
+               "字" * 50_000) == [True, False, True, False, True, False]
+    assert one(loops.long_numeric_run, " ".join(map(str, range(999_980, 1_000_000))), ";\n".join(map(str, range(19))),
+               "1234567 " + " ".join(map(str, range(20))), "7" * 100_000) == [True, False, True, False]
+    again = "Nộp hồ sơ đầy đủ tại cơ quan có thẩm quyền trong thời hạn quy định của pháp luật"
+    assert one(lambda c: loops.may_loop(c, RepairPolicy()), f" {again}. {again}.\n{again}.", f"{again}? {again}? {again}?",
+               f"{again}\r{again}\n{again}", again, "") == [True, True, True, False, False]
+    assert one(tx.lines, "a\r\nb\rc\r\r\nd\x0be\x85f\u2029g\n") == [["a", "b", "c", "", "d", "e", "f", "g", ""]]
+
+
+def test_reasons_cut_lines_once(spark):
+    reasons = loops.measurement_reasons(F.col("t"), F.col("c"))
+    rows = spark.createDataFrame([(None, [])], f"t string, c {loops.RESULT['changes'].dataType.simpleString()}").select(reasons.alias("v"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and rows.first().v == []
+
+
 def test_repetition_ratio_and_runs(spark, one):
     assert one(an.repetition_ratio, f"{SENTENCE}\n" * 4, SENTENCE, "ngắn") == [0.75, 0.0, 0.0]
     got = one(lambda c: loops.runs(F.split(c, ",")), "a,a,b,a")[0]
