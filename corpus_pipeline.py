@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded bytes of every document."""
     ship_package(spark)
-    return bpe.digests(bpe.encode(docs))
+    return bpe.encoded_digests(docs)
 
 
 STAGES = [("toxicity", toxicity_filter), ("language_id", language_filter), ("minhash_dedup", near_dedup),

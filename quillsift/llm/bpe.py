@@ -26,6 +26,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from quillsift.llm.common import lean
+
 CHUNK, OVERLAP = 1 << 16, 1 << 12
 #: Rows that a worker turns into ids at once.
 ROWS = 256
@@ -104,11 +106,16 @@ def _chunks(path: str, size: int, overlap: int):
     return run
 
 
-def encode(documents: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of every row of ``documents(doc_id, text)``."""
+def encode(documents: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP,
+           then=None, schema: str = IDS) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` of every row of ``documents(doc_id, text)``.
+
+    ``then`` may turn batches of these rows into others of ``schema``, in the worker that encoded them.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
+    whole = _whole(path) if then is None else lambda batches: then(_whole(path)(batches))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= size).mapInArrow(_whole(path), IDS)
+    short = rows.where(F.length("text") <= size).mapInArrow(lean(whole), schema)
     long = rows.where(F.length("text") > size).withColumn(
         "row", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
     # Texts that occur once per row key are chunked once; their rows find the result again by the key.
@@ -118,14 +125,16 @@ def encode(documents: DataFrame, path: str | None = None, size: int = CHUNK, ove
         "row", "chunks", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.substring(
             "text", i * size + 1, F.lit(size + overlap)))).alias("chunk", "text"))
     pieces = cut.repartition("row", "chunk").mapInArrow(
-        _chunks(path, size, overlap), "row string, chunk int, begin bigint, finish bigint, ids array<int>")
+        lean(_chunks(path, size, overlap)), "row string, chunk int, begin bigint, finish bigint, ids array<int>")
     joined = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "begin", "finish", "ids"))).alias("p"))
     sound = F.forall("p", lambda x: x.begin.isNotNull()) & F.forall(
         F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i).begin == F.get("p", i - 1).finish)
     joined = joined.select("row", F.when(sound, F.flatten(F.transform("p", lambda x: x.ids))).alias("ids"))
     found = long.join(joined, "row")
     stitched = found.where(F.col("ids").isNotNull()).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
-    left = found.where(F.col("ids").isNull()).select("doc_id", "text").mapInArrow(_whole(path), IDS)
+    if then is not None:
+        stitched = stitched.mapInArrow(lean(then), schema)
+    left = found.where(F.col("ids").isNull()).select("doc_id", "text").mapInArrow(lean(whole), schema)
     return short.unionByName(stitched).unionByName(left)
 
 
@@ -158,13 +167,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             data = [bytes(x) for x in _raw(tokens, batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id bigint, data binary")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: hashes of the ids as decimal text and of the decoded bytes."""
-    path = path or public_tokenizers.path(VOCABULARY)
-
+def _hashes(path: str):
+    """Encoded rows to hashes of the ids as decimal text and of the decoded bytes."""
     def run(batches):
         tokens, numbers = _tables(path)
         for batch in _slices(batches):
@@ -176,5 +183,15 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
             b = [hashlib.sha256(x).hexdigest() for x in _raw(tokens, ids)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(a), pa.array(b)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return run
 
-    return encoded.mapInArrow(run, DIGEST)
+
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: hashes of the ids as decimal text and of the decoded bytes."""
+    return encoded.mapInArrow(lean(_hashes(path or public_tokenizers.path(VOCABULARY))), DIGEST)
+
+
+def encoded_digests(documents: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``digests`` of ``encode`` without sending ids from one worker to another: a task needs one worker, not two."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    return encode(documents, path, size, overlap, _hashes(path), DIGEST)

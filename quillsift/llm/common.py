@@ -26,7 +26,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def released() -> None:
-    """Hand memory of finished training back to the system; a driver keeps it otherwise until it ends."""
+    """Hand freed memory back to the system; a process keeps it otherwise until it ends."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -35,6 +35,19 @@ def released() -> None:
         pass
 
 
+def lean(run):
+    """``run`` for the batches of a task, handing back what it freed when the task is over.
+
+    Workers wait for later tasks with the memory of earlier ones otherwise, and so many of them fill an executor.
+    """
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+    return task
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

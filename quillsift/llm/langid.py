@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillsift.llm.common import held_out, released
+from quillsift.llm.common import held_out, lean, released
 from quillsift.operators.sizing import hinted
 from quillsift.session import settled
 
@@ -209,7 +209,7 @@ def corpus_frequencies(known: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(out[place])], ["place", "n"])
 
     out = np.zeros(DIMENSIONS + 1, np.int64)
-    for r in known.select("text").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in known.select("text").mapInArrow(lean(count), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
         out[r.place] = r.n
     return out
 
@@ -226,7 +226,7 @@ def corpus_distances(known: DataFrame, model: Centroids) -> Counter:
         columns = list(zip(*found)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(found.values(), pa.int64())], [*names, "n"])
 
-    rows = known.select("text").mapInArrow(count, "language int, band int, kind int, slot int, n bigint")
+    rows = known.select("text").mapInArrow(lean(count), "language int, band int, kind int, slot int, n bigint")
     return Counter({tuple(r)[:4]: r.n for r in rows.groupBy(*names).agg(F.sum("n").alias("n")).collect()})
 
 
@@ -260,7 +260,7 @@ def predict(documents: DataFrame, model: Centroids) -> DataFrame:
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"])
 
-    found = documents.select("doc_id", "text").mapInArrow(label, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    found = documents.select("doc_id", "text").mapInArrow(lean(label), "doc_id bigint, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -272,4 +272,4 @@ def identified(documents: DataFrame, model: Centroids) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not r for r in shared.value.predict(batch.column("text"))[2]], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)

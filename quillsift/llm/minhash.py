@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillsift.llm.common import WordScanner, mix64, pieces, seeded64
+from quillsift.llm.common import WordScanner, lean, mix64, pieces, seeded64
 from quillsift.operators.sizing import hinted, hot_split_join
 from quillsift.operators.splits import connected
 from quillsift.session import settled
@@ -210,17 +210,17 @@ def sets_of(named: DataFrame, texts: DataFrame) -> DataFrame:
     side = hinted(named, named.count(), LOOKUP_IDS)
     rows = texts.withColumnRenamed("doc_id", "doc").join(side, "doc").select(*named.columns, "text")
     kinds = ", ".join(f"{c} bigint" for c in (*named.columns, "n"))
-    return settled(rows.mapInArrow(_sets, f"{kinds}, shingles binary"))
+    return settled(rows.mapInArrow(lean(_sets), f"{kinds}, shingles binary"))
 
 
 def by_rarity(sets: DataFrame) -> DataFrame:
     """Distinct candidates ``(u, v)`` of different roots among ``(doc, root, n, shingles)``; none that is similar is missed."""
-    shared = sets.select("shingles").mapInArrow(_slots, "slot int, c bigint").groupBy("slot").agg(
+    shared = sets.select("shingles").mapInArrow(lean(_slots), "slot int, c bigint").groupBy("slot").agg(
         F.sum("c").alias("c")).where("c > 1").toArrow()
     counts = np.ones(1 << SLOT_BITS, np.uint32)
     counts[shared.column("slot").to_numpy()] = np.minimum(shared.column("c").to_numpy(), (1 << 32) - 1)
     sets = sets.select("doc", "root", "n", "shingles")
-    heads = settled(sets.mapInArrow(_prefixes(counts), "shingle bigint, place int, doc bigint, n bigint, root bigint"))
+    heads = settled(sets.mapInArrow(lean(_prefixes(counts)), "shingle bigint, place int, doc bigint, n bigint, root bigint"))
     mixed = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     heads = heads.join(mixed.select("shingle"), "shingle", "left_semi")
     need = F.ceil(2 * SHARE * F.col("n") / (100 + SHARE))
@@ -240,7 +240,7 @@ def sieved(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         weights = pairs.groupBy(on).agg(F.count("*").alias("_n"))
         side = classes.select(F.col("doc").alias(on), F.col("sketch").alias(f"{on}_sketch")).join(weights, on)
         both = hot_split_join(both, side, on, "_n", total).drop("_n")
-    return settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_sieve, "u bigint, v bigint"))
+    return settled(both.select("u", "v", "u_sketch", "v_sketch").mapInArrow(lean(_sieve), "u bigint, v bigint"))
 
 
 def hubs(links: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def confirmed(likely: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidates ``(u, v)`` whose full sets are similar."""
     loaded = likely.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("left_set")), "v").join(
         sets.select(F.col("doc").alias("u"), F.col("shingles").alias("right_set")), "u")
-    return settled(loaded.select("u", "v", "left_set", "right_set").mapInArrow(_confirm, "u bigint, v bigint"))
+    return settled(loaded.select("u", "v", "left_set", "right_set").mapInArrow(lean(_confirm), "u bigint, v bigint"))
 
 
 def linked(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents(doc_id, text)``."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = settled(texts.mapInArrow(
-        _sign, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"))
+        lean(_sign), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = settled(classes)

@@ -23,7 +23,7 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, folder, "documents").select("doc_id", "text")))
+    return bpe.encoded_digests(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillsift.llm.common import WordScanner, held_out, mix64, pieces, released
+from quillsift.llm.common import WordScanner, held_out, lean, mix64, pieces, released
 from quillsift.session import settled
 
 WINDOW, STRIDE = 48, 24
@@ -335,7 +335,7 @@ class SparkSample:
             word = np.array(list(seen.keys()), np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-        seen = self.rows.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        seen = self.rows.select("text").mapInArrow(lean(count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         # Hashes are unsigned: those that are negative here come last.
         common = seen.where("n > 4").orderBy(F.desc("n"), F.col("word") < 0, "word").limit(VOCABULARY)
         return [r.word % (1 << 64) for r in common.collect()]
@@ -351,7 +351,7 @@ class SparkSample:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("digest"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "digest", "windows"])
 
-        rows = self.rows.select("doc_id", "digest", "text").mapInArrow(choose, "doc_id bigint, digest string, windows array<string>").collect()
+        rows = self.rows.select("doc_id", "digest", "text").mapInArrow(lean(choose), "doc_id bigint, digest string, windows array<string>").collect()
         return [r.windows for r in sorted(rows, key=lambda r: (r.doc_id, r.digest))]
 
 
@@ -454,7 +454,7 @@ def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
                 [batch.column("doc_id"), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
 
-    scored = documents.select("doc_id", "text").mapInArrow(rate, "doc_id bigint, score double, predicted int")
+    scored = documents.select("doc_id", "text").mapInArrow(lean(rate), "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -474,4 +474,4 @@ def without_toxic(documents: DataFrame, scorer: Scorer) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(own.scores(batch.column("text")) < 0.5))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)

@@ -1,6 +1,8 @@
 """The corpus pipeline on a small folder with odd rows, and on empty tables."""
 
 import hashlib
+import itertools
+import re
 
 import pytest
 
@@ -55,3 +57,15 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "ids_sha256" in out.columns
+
+
+def test_a_task_needs_one_python_worker(spark, folder):
+    """Two Python steps without a shuffle between them hold two workers in every running task."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.encode_tokens(spark, docs, folder)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    at = [(m.start(1), m[1]) for m in (re.match(r"[ :+-]*(\w+)", line) for line in plan) if m]
+    assert any(name == "MapInArrow" for _, name in at)
+    for k, (depth, name) in enumerate(at):
+        inner = [n for _, n in itertools.takewhile(lambda x: x[0] > depth, at[k + 1:])]
+        if name == "MapInArrow" and name in inner:
+            assert {"Exchange", "ObjectHashAggregate"} & set(inner[:inner.index(name)])

@@ -8,7 +8,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from quillsift.llm import bpe, quality, token_counts
+from quillsift.llm import bpe, common, quality, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,3 +104,18 @@ def test_decode_round_trip(odd):
 
 def test_empty_tables(none):
     assert quality.judge(none).count() == token_counts.count_tokens(none).count() == bpe.digests(bpe.encode(none)).count() == 0
+
+
+@pytest.mark.parametrize("size,overlap", [(1 << 16, 1 << 12), (40, 12)])
+def test_digests_in_the_encoding_worker_are_the_same(documents, odd, size, overlap):
+    for docs in (documents.where("doc_id < 60"), odd.where("doc_id <> 9 or doc_id is null") if size > 999 else odd.where("doc_id in (1, 2, 3, 4, 5, 7, 10)")):
+        want = Counter(tuple(r) for r in bpe.digests(bpe.encode(docs, size=size, overlap=overlap)).collect())
+        assert Counter(tuple(r) for r in bpe.encoded_digests(docs, size=size, overlap=overlap).collect()) == want
+
+
+def test_a_task_hands_memory_back_when_it_is_over(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "released", lambda: calls.append(1))
+    task = common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))
+    assert next(task) == 2 and not calls
+    assert list(task) == [4, 6] and calls == [1]
